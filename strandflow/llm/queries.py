@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, mixing, toxicity, urls
+from strandflow.llm import chat, html, mixing, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -14,6 +14,10 @@ URL_RULES = [
 ]
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -40,6 +44,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
