@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, html, mixing, toxicity, urls
+from strandflow.llm import chat, html, lines, mixing, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -14,6 +14,11 @@ URL_RULES = [
 ]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(load(spark, sf_dir, "pages"))
 
@@ -44,6 +49,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
     "op7_toxicity": op7_toxicity,
@@ -52,6 +58,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+t AS (SELECT doc_id, text, pos, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
+f AS (SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM t WHERE line <> '' GROUP BY line),
+h AS (SELECT line, first, n, m, 'p' AS kind, substr(line, 1, (m // 2)::INT) AS half FROM f, LATERAL (SELECT unnest([n, n - 1]) AS m) WHERE n >= 16
+      UNION ALL
+      SELECT line, first, n, m, 's', right(line, (m - m // 2)::INT) FROM f, LATERAL (SELECT unnest([n, n - 1]) AS m) WHERE n >= 16),
+near AS (SELECT DISTINCT a.line FROM h a JOIN h b ON a.m = b.m AND a.kind = b.kind AND a.half = b.half
+         WHERE b.first < a.first AND a.line <> b.line AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1),
+k AS (SELECT t.*, (t.line <> '' AND (near.line IS NOT NULL OR struct_pack(doc_id := t.doc_id, pos := t.pos) > f.first)) AS gone
+      FROM t LEFT JOIN f ON t.line = f.line LEFT JOIN near ON t.line = near.line)
+SELECT doc_id, CASE WHEN any_value(text) IS NULL THEN NULL ELSE coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') END AS text,
+       count(*)::INT AS n_lines, (count(*) FILTER (gone))::INT AS n_dropped,
+       coalesce(length(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone)), 0)::BIGINT AS n_chars
+FROM k GROUP BY doc_id
+""",
     "op4_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
