@@ -109,10 +109,11 @@ def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
              .agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
              .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_drop"))
     out = docs.join(drops, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    split = F.split(text, "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop"))
-    kept = F.transform(places, lambda i: F.get(split, i))
-    n = F.size(split)
+    # A column of its own, used more than once: inside the lambda the split would run for every line.
+    out = out.withColumn("_all", F.split(text, "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop"))
+    kept = F.transform(places, lambda i: F.get(F.col("_all"), i))
+    n = F.size("_all")
     dropped = F.coalesce(F.size("_drop"), F.lit(0))
     return out.select(*[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text"
                         else F.col(c) for c in docs.columns],

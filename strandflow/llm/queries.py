@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, html, lines, mixing, toxicity, urls
+from strandflow.llm import chat, fingerprints, html, lines, mixing, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -31,6 +31,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.train(*toxicity.training_sample(docs, load(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
