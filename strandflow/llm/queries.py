@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, fingerprints, html, lines, mixing, toxicity, urls
+from strandflow.llm import chat, fingerprints, html, lines, mixing, near, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -19,6 +19,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("k1", "k2")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(load(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprints": op6_fingerprints,
