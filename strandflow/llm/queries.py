@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, fingerprints, html, lines, mixing, near, toxicity, urls
+from strandflow.llm import chat, contamination, fingerprints, html, lines, mixing, near, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -35,6 +35,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
+    "op5_decontamination": op5_decontamination,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,

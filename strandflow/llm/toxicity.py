@@ -141,10 +141,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score what one sentence without known words scores; rows are independent of each other, so
     ties and repeated rows score alike and no rows give no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # As plain values, so that executors need not have this module.
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches):
-        model = held.value
+        model = Model(*held.value)
         for batch in batches:
             ids, out = batch.column(0), []
             for text in batch.column(1):
