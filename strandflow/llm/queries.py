@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, contamination, fingerprints, html, lines, mixing, near, toxicity, urls
+from strandflow.llm import chat, contamination, fingerprints, html, lines, lm, mixing, near, toxicity, urls
 from strandflow.llm.common import load
 
 URL_RULES = [
@@ -56,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -129,6 +134,23 @@ c AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS rest,
              coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q),
 x AS (SELECT *, CASE WHEN q IS NOT NULL AND earlier + size / 2 <= rest THEN 1 ELSE 0 END AS extra FROM c)
 SELECT doc_id, source, size, source_size, target, copies, extra, ((copies + extra) * size)::BIGINT AS taken FROM x
+""",
+    "op9_lm_score": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+t AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT rid, i, w, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), '') AS prev FROM t),
+uni AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+ctx AS (SELECT w, n FROM uni UNION ALL SELECT '', count(DISTINCT rid) FROM t),
+bi AS (SELECT prev, w, count(*) AS n FROM b GROUP BY prev, w),
+total AS (SELECT count(*)::DOUBLE AS n FROM t),
+s AS (SELECT rid, sum(CASE WHEN bi.n >= 2 THEN ln(bi.n::DOUBLE) - ln(ctx.n::DOUBLE) ELSE ln(0.4::DOUBLE) + ln(uni.n::DOUBLE) - ln(total.n) END) AS total,
+             count(*) AS n
+      FROM b JOIN bi ON bi.prev = b.prev AND bi.w = b.w JOIN ctx ON ctx.w = b.prev JOIN uni ON uni.w = b.w, total GROUP BY rid)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.total, 0.0::DOUBLE), 6) AS log_score,
+       round(s.total / s.n, 6) AS mean_log_score
+FROM d LEFT JOIN s ON d.rid = s.rid
 """,
     "op10_url_filters": r"""
 WITH p AS (
