@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import hash128
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K1, B = 1.2, 0.75
@@ -202,8 +204,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     return out.unionByName(one_pass(block)) if block else out
 
 
-def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item; all columns stay, rows with null ids are judged by their text."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all their columns, without the documents that hold a test item.  A row is judged by its text, whatever its id."""
+    key = F.concat_ws("-", *[F.hex(h) for h in hash128(F.coalesce("text", F.lit("")))])
+    keyed = docs.withColumn("_key", key)
     bad = leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(bad, "_key", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize
+from strandflow.llm.common import hash128, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0, seed: int = 20,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight_col: str | None = None, buckets: int = 4096) -> DataFrame:
+        weight_col: str | None = None, buckets: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, copies, extra, taken.
 
     A document is to be taken target / source_size times.  The whole part is allocated with certainty (copies).
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: fl
     """
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), w.alias("dw"),
+        *keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), w.alias("dw"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     base = materialize(base.withColumn("u", uniform(F.col("doc_id"), seed)), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("dw") * F.col("size")).alias("weighed"))
@@ -86,13 +86,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: fl
     inside = Window.partitionBy("source", "b").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     rows = rows.withColumn("extra", F.when(F.col("q").isNotNull() & (reached <= F.col("rest")), 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
+    return rows.select(*keep, "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
                        "extra", ((F.col("copies") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: rows of docs, each as often as the mix takes it, with copy_no counting from 1."""
-    kw.setdefault("id_col", "doc_id")
-    took = mix(docs, **kw).where("copies + extra > 0").groupBy("doc_id").agg(F.max(F.col("copies") + F.col("extra")).alias("_times"))
-    out = docs.join(took.withColumnRenamed("doc_id", "_id"), F.col(kw["id_col"]).eqNullSafe(F.col("_id")))
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_id", "_times")
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, each as often as mix() takes it, copy_no counting from 1.
+
+    Rows that agree in id and text share what they take together.
+    """
+    own = docs.withColumns(dict(zip(("_k1", "_k2"), hash128(F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text"))))))
+    times = mix(own, keep=("_k1", "_k2"), **options).groupBy("_k1", "_k2").agg(F.sum(F.col("copies") + F.col("extra")).cast("int").alias("_n"))
+    out = own.join(times.where("_n > 0"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns, "copy_no")

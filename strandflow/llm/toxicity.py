@@ -162,3 +162,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, score double, predicted int, worst_sentence string, worst_score double, offending array<int>")
+
+
+def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs, all their columns, without the rows whose score is `least` or more; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches):
+        model = Model(*held.value)
+        for batch in batches:
+            keep = [model.score(t.as_py() or "") < least for t in batch.column("text")]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
