@@ -21,7 +21,9 @@ STRIDE, WINDOWS = 32, 3
 #: Items of one index that is sent to the executors; a longer benchmark takes several passes, block by block.
 MAX_ITEMS = 2_000
 #: Items of one block, for which the largest weight of each term is kept.
-BLOCK = 16
+BLOCK = 4
+#: Part of what a block needs that its frequent terms may add.
+SPARE = 0.5
 #: Part of its own score that an item must reach in a passage, and of its question's and answer's 3-grams that must occur.
 RETRIEVE, VERIFY, GRAM = 0.5, 0.6, 3
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -31,8 +33,9 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 class Index:
     """Postings of test items by term, with the largest weight of a term in each block of items.
 
-    item_ids; terms: sorted word hashes; ptr, items, weights: postings by term; block_max: term x block;
-    need: the score an item must reach; least: the smallest need in each block; questions, answers: word hashes by item.
+    item_ids in the order of what they need; terms: sorted word hashes; ptr, items, weights: postings by term;
+    block_ptr, blocks, block_max: by term the blocks for which it is essential, with its largest weight there; need: the score an
+    item must reach; least: what the essential terms must add for any item of a block; questions, answers: word hashes by item.
     """
 
     item_ids: np.ndarray
@@ -40,6 +43,8 @@ class Index:
     ptr: np.ndarray
     items: np.ndarray
     weights: np.ndarray
+    block_ptr: np.ndarray
+    blocks: np.ndarray
     block_max: np.ndarray
     need: np.ndarray
     least: np.ndarray
@@ -71,15 +76,34 @@ def build_index(ids: list, words: list[np.ndarray], answer_from: list[int]) -> I
     df = np.bincount(term, minlength=len(terms))
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
+    # Items of like scores are neighbours, so that a block's bounds fit all of it.
     own = np.bincount(item, weight, n)
-    blocks = -(-n // BLOCK)
-    block_max = np.zeros((len(terms), blocks), np.float32)
-    np.maximum.at(block_max, (term, item // BLOCK), weight)
-    need = RETRIEVE * own
-    least = np.array([need[i * BLOCK:(i + 1) * BLOCK].min() for i in range(blocks)])
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(n, int)
+    rank[order] = np.arange(n)
+    by = np.lexsort((rank[item], term))
+    term, item, weight = term[by], rank[item][by], weight[by]
+    need = RETRIEVE * own[order]
+    starts = np.arange(0, n, BLOCK)
+    least = need[starts]
+    # Frequent terms can't lift an item over what it needs by themselves.  For each block as many of them as may be are left
+    # out of its postings, and what they can add to any of its items is counted in advance.
+    block = item // BLOCK
+    cut, rest = np.full(len(starts), df.max(initial=0) + 1), np.zeros(len(starts))
+    open_ = np.ones(len(starts), bool)
+    for c in np.unique(df)[::-1]:
+        most = np.maximum.reduceat(np.bincount(item, weight * (df[term] >= c), n), starts)
+        open_ &= most <= SPARE * least
+        cut[open_], rest[open_] = c, most[open_]
+    kept = df[term] < cut[block]
+    cell, at = np.unique(term[kept] * len(starts) + block[kept], return_inverse=True)
+    block_max = np.zeros(len(cell))
+    np.maximum.at(block_max, at, weight[kept])
+    block_ptr = np.concatenate([[0], np.cumsum(np.bincount(cell // len(starts), minlength=len(terms)))])
     ptr = np.concatenate([[0], np.cumsum(df)])
-    return Index(np.array(ids, object), terms, ptr, item, weight, block_max, need, least,
-                 [w[:a] for w, a in zip(words, answer_from)], [w[a:] for w, a in zip(words, answer_from)])
+    held = [(w[:a], w[a:]) for w, a in zip(words, answer_from)]
+    return Index(np.array(ids, object)[order], terms, ptr, item, weight, block_ptr, cell % max(len(starts), 1), block_max, need, least - rest,
+                 [held[i][0] for i in order], [held[i][1] for i in order])
 
 
 def overlap(part: np.ndarray, around: np.ndarray) -> float:
@@ -90,11 +114,18 @@ def overlap(part: np.ndarray, around: np.ndarray) -> float:
     return float(np.isin(grams(part, n), grams(around, n), assume_unique=True).mean())
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(document, item, score, question overlap, answer overlap) of all verified hits, documents laid end to end.
 
-    For every passage and block of items the sum over its words of the block's largest weights bounds the score of
-    any item in it; only blocks whose bound reaches their smallest need are scored, item by item.
+    For every passage and block of items the sum over its essential words of the block's largest weights, and what the
+    others can add at most, bounds the score of any item in it; only blocks whose bound reaches their smallest need are
+    scored, item by item.
     """
     if not len(flat) or not len(index.item_ids):
         return []
@@ -105,13 +136,13 @@ def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[in
     offset = np.cumsum(windows) - windows
     doc_of = np.repeat(np.arange(len(lengths)), windows)
     begin = starts[doc_of] + (np.arange(windows.sum()) - offset[doc_of]) * STRIDE
-    known = np.flatnonzero(at >= 0)
+    n_blocks, in_blocks, in_items = len(index.least), np.diff(index.block_ptr), np.diff(index.ptr)
+    listed = np.where(at >= 0, in_blocks[at], 0)
+    known = np.flatnonzero(listed)
     window_of = np.searchsorted(begin, known, side="right") - 1
     hits: dict[tuple[int, int], tuple[float, float, float]] = {}
-    n_blocks = index.block_max.shape[1]
-    bound = np.zeros((len(begin), n_blocks), np.float32)
-    for b in range(n_blocks):
-        bound[:, b] = np.bincount(window_of, index.block_max[at[known], b], len(begin))
+    post = _ranges(index.block_ptr[at[known]], listed[known])
+    bound = np.bincount(np.repeat(window_of, listed[known]) * n_blocks + index.blocks[post], index.block_max[post], len(begin) * n_blocks).reshape(-1, n_blocks)
     # A passage is WINDOWS neighbouring windows of one document; near the end it has fewer.
     total = bound.copy()
     for k in range(1, WINDOWS):
@@ -123,10 +154,12 @@ def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[in
         lo, hi = begin[w], min(begin[w] + STRIDE * WINDOWS, starts[d] + lengths[d])
         seen = np.unique(at[lo:hi])
         seen = seen[seen >= 0]
-        exact = index.block_max[seen].sum(0) >= index.least * (1 - 1e-6)
+        # Once more with every word counted once.
+        post = _ranges(index.block_ptr[seen], in_blocks[seen])
+        exact = np.bincount(index.blocks[post], index.block_max[post], n_blocks) >= index.least * (1 - 1e-6)
         if not exact.any():
             continue
-        posts = np.concatenate([np.arange(index.ptr[t], index.ptr[t + 1]) for t in seen])
+        posts = _ranges(index.ptr[seen], in_items[seen])
         posts = posts[exact[index.items[posts] // BLOCK]]
         score = np.bincount(index.items[posts], index.weights[posts], len(index.item_ids))
         for i in np.flatnonzero((score >= index.need * (1 - 1e-9)) & (index.need > 0)):
