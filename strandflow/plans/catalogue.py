@@ -1,4 +1,725 @@
-"""The registry of queries over the read operators and their SQL."""
+"""The registry of queries over the read operators, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over all reads derived from the documents of sf_dir; see fixtures.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandflow.functions import bases
+from strandflow.operators import align, demux, detect, filters, routing, stats, trim
+from strandflow.plans import fixtures as fx
+from strandflow.sources import adapters, fastq
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+SE, PE, BSE, BPE = ("WITH " + s for s in (fx.SQL_SE, fx.SQL_PE, fx.SQL_BARCODED_SE, fx.SQL_BARCODED_PE))
+#: One row a base in SQL.
+LONG = """,
+long AS (SELECT read_id, unnest(range(0, length(seq))) AS pos, seq, qual FROM reads_se),
+b AS (SELECT read_id, pos, substr(seq, pos + 1, 1) AS nuc, ascii(substr(qual, pos + 1, 1)) - 33 AS q FROM long)"""
+#: Changes between called bases in SQL.
+COLLAPSED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(seq, 'N', ''), 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')"
+COMPLEXITY = f"CASE WHEN length(seq) < 2 THEN 0.0::DOUBLE ELSE greatest(length({COLLAPSED}) - 1, 0)::DOUBLE / (length(seq) - 1) END"
+NS = "length(seq) - length(replace(seq, 'N', ''))"
+
+# ---- filters ----------------------------------------------------------------------------------------------------------
+
+
+@query(SE + f""",
+t AS (SELECT *, length(seq) AS n, {NS} AS ns, {COMPLEXITY} AS cx FROM reads_se),
+r AS (SELECT *, CASE WHEN n < 15 THEN 'min_length' WHEN ns > n * 0.05 THEN 'max_ns' WHEN cx < 0.3 THEN 'min_complexity' ELSE 'passed' END AS fail_reason FROM t)
+SELECT fail_reason, count(*)::BIGINT AS reads, sum(n)::BIGINT AS bases FROM r GROUP BY fail_reason""")
+def filter_summary(spark, sf_dir):
+    reads = fx.reads_se(spark, sf_dir)
+    reason = filters.fail_reason(max_ns_fraction=0.05, min_complexity=0.3)
+    return filters.filter_counts(reads.withColumn("fail_reason", reason))
+
+
+@query(SE + f""",
+m AS (SELECT read_id, sum(q)::DOUBLE / count(*) AS mq FROM (SELECT read_id, unnest(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS q FROM reads_se) GROUP BY read_id),
+t AS (SELECT r.*, length(seq) AS n, {NS} AS ns, mq FROM reads_se r JOIN m USING (read_id)),
+r AS (SELECT *, CASE WHEN n < 15 THEN 'min_length' WHEN ns > 4 THEN 'max_ns' WHEN mq < 20 THEN 'min_mean_quality' ELSE 'passed' END AS fail_reason FROM t)
+SELECT fail_reason, count(*)::BIGINT AS reads, sum(n)::BIGINT AS bases FROM r GROUP BY fail_reason""")
+def filter_mean_quality(spark, sf_dir):
+    reason = filters.fail_reason(max_ns=4, min_mean_quality=20)
+    return filters.filter_counts(fx.reads_se(spark, sf_dir).withColumn("fail_reason", reason))
+
+
+# ---- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query(SE + """,
+raw AS (SELECT read_id, CASE read_id % 3 WHEN 0 THEN lower(seq) WHEN 1 THEN replace(replace(seq, 'N', '.'), 'T', 'U') ELSE replace(seq, 'G', 'R') END AS s FROM reads_se)
+SELECT read_id, translate(upper(s), 'U.BDHKMRSVWY', 'TNNNNNNNNNNN') AS seq FROM raw""")
+def normalize_bases(spark, sf_dir):
+    k = F.col("read_id") % 3
+    raw = F.when(k == 0, F.lower("seq")).when(k == 1, F.translate("seq", "NT", ".U")).otherwise(F.translate("seq", "G", "R"))
+    return fx.reads_se(spark, sf_dir).select("read_id", bases.normalize_bases(raw, mask_degenerate=True, convert_uracils=True).alias("seq"))
+
+
+def _shift(low: int, high: int, to: Callable[[int], int]) -> str:
+    one = "".join(chr(c) for c in range(low, high + 1)).replace("'", "''")
+    two = "".join(chr(to(c)) for c in range(low, high + 1)).replace("'", "''")
+    return f"'{one}', '{two}'"
+
+
+@query(SE + f", e AS (SELECT read_id, translate(qual, {_shift(33, 95, lambda c: c + 31)}) AS q64 FROM reads_se) SELECT read_id, translate(q64, {_shift(64, 126, lambda c: c - 31)}) AS qual FROM e")
+def decode_phred64(spark, sf_dir):
+    codes = "".join(map(chr, range(33, 96))), "".join(map(chr, range(64, 127)))
+    return fx.reads_se(spark, sf_dir).select("read_id", bases.decode_quality(F.translate("qual", *codes), "64").alias("qual"))
+
+
+@query(SE + """,
+x AS (SELECT read_id, unnest(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33 - 5)) AS s, unnest(range(0, 60)) AS pos FROM reads_se)
+SELECT read_id, string_agg(chr((33 + floor(10 * log10(1 + pow(10, s / 10.0)) + 0.5))::INT), '' ORDER BY pos) AS qual FROM x GROUP BY read_id""")
+def decode_solexa(spark, sf_dir):
+    """Scores 0 to 40 read as Solexa scores of -5 to 35."""
+    codes = "".join(map(chr, range(33, 74))), "".join(map(chr, range(59, 100)))
+    return fx.reads_se(spark, sf_dir).select("read_id", bases.decode_quality(F.translate("qual", *codes), "solexa").alias("qual"))
+
+
+@query(SE + "SELECT count(*)::BIGINT AS reads, sum((regexp_full_match(qual, '[!-N]*'))::INT)::BIGINT AS valid_33, sum((regexp_full_match(qual, '[!-~]*'))::INT)::BIGINT AS valid_sam, sum((regexp_full_match(qual, '[@-~]*'))::INT)::BIGINT AS valid_64 FROM reads_se")
+def quality_encodings(spark, sf_dir):
+    reads = fx.reads_se(spark, sf_dir).withColumns({"q33": bases.decode_quality("qual", "33"), "sam": bases.decode_quality("qual", "sam")})
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return reads.agg(F.count(F.lit(1)).alias("reads"), count(F.col("q33") == F.col("qual")).alias("valid_33"),
+                     count(F.col("sam") == F.col("qual")).alias("valid_sam"), count(F.col("qual").rlike("^[@-~]*$")).alias("valid_64"))
+
+
+@query("""WITH s AS (SELECT unnest(range(0, 94)) AS score), p AS (SELECT score, pow(10, score / -10.0) AS p FROM s)
+SELECT score, round(p, 12) AS p, round(log10(p) * -10, 6) + 0.0 AS phred, chr((33 + least(round(log10(greatest(p, 5e-10)) * -10), 93))::INT) AS phred_33 FROM p""")
+def phred_probability(spark, sf_dir):
+    p = spark.range(94).withColumnRenamed("id", "score").withColumn("p", bases.phred_to_p(F.col("score")))
+    return p.select("score", F.round("p", 12).alias("p"), F.round(bases.p_to_phred("p"), 6).alias("phred"), bases.p_to_phred_33("p").alias("phred_33"))
+
+
+@query(PE + """
+SELECT read_id, regexp_extract(header2, '^@([^ ]*)/[12]( |$)', 1) AS name, regexp_extract(header2, '^@[^ ]*/([12])( |$)', 1) AS mate, regexp_extract(header2, ' (.*)$', 1) AS meta FROM reads_pe""")
+def header_parts(spark, sf_dir):
+    parts = bases.read_name("header2", "/")
+    return fx.reads_pe(spark, sf_dir).select("read_id", parts["name"].alias("name"), parts["mate"].alias("mate"), parts["meta"].alias("meta"))
+
+
+@query(PE + """
+SELECT read_id, regexp_replace(header1, '/1$', '.1') AS header1, regexp_replace(header2, '/2 ', '.2 ') AS header2, regexp_replace(header2, '/2 ', ' ') AS merged,
+       '@pre_' || substr(header1, 2) AS prefixed FROM reads_pe""")
+def mate_normalize(spark, sf_dir):
+    reads = fx.reads_pe(spark, sf_dir)
+    return reads.select("read_id", bases.normalize_mate("header1", "1", "/", ".").alias("header1"), bases.normalize_mate("header2", "2", "/", ".").alias("header2"),
+                        bases.strip_mate("header2", "/").alias("merged"), bases.add_prefix("header1", "pre_").alias("prefixed"))
+
+
+@query(PE + """,
+v AS (SELECT read_id, CASE WHEN read_id % 11 = 0 THEN replace(header2, '_', '-') WHEN read_id % 13 = 0 THEN replace(header2, '/2', '/1') ELSE header2 END AS h2, header1 FROM reads_pe),
+w AS (SELECT *, regexp_extract(header1, '^@([^ ]*)/[12]( |$)', 1) AS n1, regexp_extract(h2, '^@([^ ]*)/[12]( |$)', 1) AS n2, regexp_extract(h2, '^@[^ ]*/([12])( |$)', 1) AS m2 FROM v)
+SELECT read_id, CASE WHEN n1 <> n2 THEN 'names differ' ELSE 'inconsistent mates' END AS reason FROM w WHERE n1 <> n2 OR m2 <> '2'""")
+def pair_validate(spark, sf_dir):
+    h2 = F.when(F.col("read_id") % 11 == 0, F.replace("header2", F.lit("_"), F.lit("-"))).when(
+        F.col("read_id") % 13 == 0, F.replace("header2", F.lit("/2"), F.lit("/1"))).otherwise(F.col("header2"))
+    return fastq.pair_violations(fx.reads_pe(spark, sf_dir).withColumn("header2", h2)).select("read_id", "reason")
+
+
+def _ordinal(reads: DataFrame) -> DataFrame:
+    """read_idx by read_id."""
+    return fastq.concatenated(reads.withColumns({"file_ord": F.lit(0), "rec": F.col("read_id")})).drop("file_ord", "rec")
+
+
+@query("SELECT 'paired' AS input, '/' AS separator UNION ALL SELECT 'single', ''")
+def mate_separator(spark, sf_dir):
+    paired = fastq.mate_separator(_ordinal(fx.reads_pe(spark, sf_dir)))
+    single = fastq.mate_separator_single(_ordinal(fx.reads_se(spark, sf_dir)))
+    return spark.createDataFrame([("paired", paired), ("single", single)], "input string, separator string")
+
+
+@query(SE + """,
+h AS (SELECT read_id, CASE read_id % 4 WHEN 0 THEN '@A0' || (1000 + read_id % 9000) || ':' ELSE '@M0' || (1000 + read_id % 9000) || ':' END || read_id AS header FROM reads_se)
+SELECT regexp_matches(header, '^@(A[0-9]{5}|ADX[0-9]{5}|FS[0-9]{8}|LH[0-9]{5}|LL[0-9]{5}|MN[0-9]{5}|NB[0-9]{6}|NDX[0-9]{6}|NL[0-9]{6}|NS[0-9]{6}|SH[0-9]{5}|SL[0-9]{5}|VH[0-9]{5}|VL[0-9]{5}):') AS two_color,
+       count(*)::BIGINT AS reads FROM h GROUP BY 1""")
+def two_color(spark, sf_dir):
+    name = F.when(F.col("read_id") % 4 == 0, "@A0").otherwise("@M0")
+    header = F.concat(name, (1000 + F.col("read_id") % 9000).cast("string"), F.lit(":"), F.col("read_id").cast("string"))
+    return fx.reads_se(spark, sf_dir).groupBy(bases.is_two_color(header).alias("two_color")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+@query(SE + "SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq, reverse(qual) AS qual FROM reads_se")
+def revcomp(spark, sf_dir):
+    return fx.reads_se(spark, sf_dir).select("read_id", bases.reverse_complement("seq").alias("seq"), F.reverse("qual").alias("qual"))
+
+
+@query(SE + "SELECT read_id, substr(seq, 6, 20) AS seq, substr(qual, 6, 20) AS qual, substr(seq, 1, 3) || substr(seq, 58) AS joined FROM reads_se")
+def truncate_reads(spark, sf_dir):
+    joined = F.concat(bases.truncate("seq", 0, 3), bases.truncate("seq", 57))
+    return fx.reads_se(spark, sf_dir).select("read_id", bases.truncate("seq", 5, 20).alias("seq"), bases.truncate("qual", 5, 20).alias("qual"), joined.alias("joined"))
+
+
+@query(SE + f"SELECT read_id, length(seq)::INT AS length, ({NS})::INT AS n_count, round({COMPLEXITY}, 6) AS complexity FROM reads_se")
+def count_ns_complexity(spark, sf_dir):
+    return fx.reads_se(spark, sf_dir).select("read_id", F.length("seq").alias("length"), bases.count_ns("seq").alias("n_count"), F.round(bases.complexity("seq"), 6).alias("complexity"))
+
+
+@query(SE + LONG + "SELECT read_id, round(sum(q)::DOUBLE / count(*), 6) AS mean_quality FROM b GROUP BY read_id")
+def mean_quality(spark, sf_dir):
+    return fx.reads_se(spark, sf_dir).select("read_id", F.round(bases.mean_quality("qual"), 6).alias("mean_quality"))
+
+
+@query(SE + "SELECT (regexp_matches(name, '^[!-?A-~]+$') AND length(name) <= 254) AS valid, count(*)::BIGINT AS reads FROM (SELECT CASE WHEN read_id % 5 = 0 THEN replace(header, '_', '@') ELSE header END AS h, substr(split_part(h, ' ', 1), 2) AS name FROM reads_se) GROUP BY 1")
+def sam_name_check(spark, sf_dir):
+    header = F.when(F.col("read_id") % 5 == 0, F.replace("header", F.lit("_"), F.lit("@"))).otherwise(F.col("header"))
+    name = bases.read_name(header)["name"]
+    return fx.reads_se(spark, sf_dir).groupBy(bases.valid_sam_name(name).alias("valid")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+# ---- trimming ---------------------------------------------------------------------------------------------------------
+
+
+@query(SE + "SELECT read_id, substr(seq, 4, 50) AS seq, substr(qual, 4, 50) AS qual, 3 AS fixed_5p, 7 AS fixed_3p FROM reads_se")
+def trim_fixed(spark, sf_dir):
+    return trim.fixed(fx.reads_se(spark, sf_dir), 3, 7).drop("header")
+
+
+def _per_base_sql(threshold: int, preserve: bool) -> str:
+    left = "0" if preserve else "coalesce(min(pos) FILTER (good), 0)"
+    return SE + LONG + f""",
+g AS (SELECT *, q > {threshold} AND nuc <> 'N' AS good FROM b),
+s AS (SELECT read_id, {left} AS lo, coalesce(max(pos) FILTER (good) + 1, 0) AS hi FROM g GROUP BY read_id)
+SELECT read_id, substr(seq, lo + 1, hi - lo) AS seq, substr(qual, lo + 1, hi - lo) AS qual, lo::INT AS quality_5p, (length(seq) - hi)::INT AS quality_3p FROM reads_se JOIN s USING (read_id)"""
+
+
+@query(_per_base_sql(12, False))
+def trim_per_base(spark, sf_dir):
+    return trim.per_base(fx.reads_se(spark, sf_dir), 12).drop("header")
+
+
+@query(_per_base_sql(12, True))
+def trim_per_base_preserve5p(spark, sf_dir):
+    return trim.per_base(fx.reads_se(spark, sf_dir), 12, preserve5p=True).drop("header")
+
+
+def _mott_sql(rate: float, preserve: bool) -> str:
+    left = "0" if preserve else "lo"
+    return SE + LONG + f""",
+g AS (SELECT *, trunc({rate}::DOUBLE * 281474976710656.0::DOUBLE)::BIGINT - trunc(pow(10::DOUBLE, greatest(3, CASE WHEN nuc = 'N' THEN 0 ELSE q END) / -10.0::DOUBLE) * 281474976710656.0::DOUBLE)::BIGINT AS gain FROM b),
+c AS (SELECT *, sum(gain) OVER (PARTITION BY read_id ORDER BY pos) AS s FROM g),
+m AS (SELECT *, least(0, min(s) OVER (PARTITION BY read_id ORDER BY pos)) AS low FROM c),
+best AS (SELECT read_id, max(s - low) AS over FROM m GROUP BY read_id),
+hi AS (SELECT m.read_id, min(pos) AS i, min_by(low, pos) AS low FROM m JOIN best ON best.read_id = m.read_id AND s - low = over WHERE over > 0 GROUP BY m.read_id),
+lo AS (SELECT hi.read_id, CASE WHEN hi.low = 0 THEN 0 ELSE min(m.pos) + 1 END AS lo FROM hi JOIN m ON m.read_id = hi.read_id AND m.s = hi.low GROUP BY hi.read_id, hi.low
+       UNION ALL SELECT hi.read_id, 0 FROM hi WHERE hi.low = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.read_id = hi.read_id AND m.s = 0)),
+s AS (SELECT r.read_id, coalesce(l.lo, 0) AS lo, coalesce(h.i + 1, 0) AS hi FROM reads_se r LEFT JOIN hi h USING (read_id) LEFT JOIN lo l USING (read_id))
+SELECT read_id, substr(seq, {left} + 1, hi - {left}) AS seq, substr(qual, {left} + 1, hi - {left}) AS qual, {left}::INT AS quality_5p, (length(seq) - hi)::INT AS quality_3p FROM reads_se JOIN s USING (read_id)"""
+
+
+@query(_mott_sql(0.05, False))
+def trim_mott(spark, sf_dir):
+    return trim.mott(fx.reads_se(spark, sf_dir), 0.05).drop("header")
+
+
+@query(_mott_sql(0.02, True))
+def trim_mott_preserve5p(spark, sf_dir):
+    return trim.mott(fx.reads_se(spark, sf_dir), 0.02, preserve5p=True).drop("header")
+
+
+def _window_sql(size: float, threshold: int, preserve: bool) -> str:
+    wide = f"floor({size} * 60)::INT" if size < 1 else f"{int(size)}"
+    left = "CASE WHEN lo = 60 THEN 60 ELSE 0 END" if preserve else "lo"
+    return SE + LONG + f""",
+p AS (SELECT *, q > {threshold} AND nuc <> 'N' AS good, sum(q + 33) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {wide} - 1 FOLLOWING) // {wide} AS mean FROM b),
+w AS (SELECT *, mean > {threshold} + 33 AS high FROM p),
+lo AS (SELECT read_id, coalesce(min(pos) FILTER (good AND high AND pos + {wide} <= 60), 60) AS lo FROM w GROUP BY read_id),
+st AS (SELECT w.read_id, lo, min(pos) FILTER (pos >= lo AND pos + {wide} <= 60 AND (NOT high OR pos + {wide} = 60)) AS stop FROM w JOIN lo USING (read_id) GROUP BY w.read_id, lo),
+hi AS (SELECT st.read_id, st.lo, CASE WHEN lo = 60 THEN 60 ELSE coalesce(min(pos) FILTER (pos >= stop AND NOT good), 60) END AS hi FROM st JOIN w USING (read_id) GROUP BY st.read_id, st.lo),
+s AS (SELECT read_id, {left} AS lo, hi FROM hi)
+SELECT read_id, substr(seq, lo + 1, (hi - lo)::INT) AS seq, substr(qual, lo + 1, (hi - lo)::INT) AS qual, lo::INT AS quality_5p, (60 - hi)::INT AS quality_3p FROM reads_se JOIN s USING (read_id)"""
+
+
+@query(_window_sql(0.1, 15, False))
+def trim_window(spark, sf_dir):
+    return trim.window(fx.reads_se(spark, sf_dir), 0.1, 15).drop("header")
+
+
+@query(_window_sql(5, 18, True))
+def trim_window_preserve5p(spark, sf_dir):
+    return trim.window(fx.reads_se(spark, sf_dir), 5, 18, preserve5p=True).drop("header")
+
+
+@query(SE + """,
+t AS (SELECT read_id, seq, qual, length(regexp_extract(seq, '(A*)$', 1)) AS a, length(regexp_extract(seq, '(G*)$', 1)) AS g FROM reads_se),
+pure AS (SELECT *, CASE WHEN a >= 10 THEN a ELSE 0 END AS tail FROM t)
+SELECT read_id, tail >= 10 AS has_pure_tail, length(seq)::INT AS length FROM pure""")
+def pure_polyx_tails(spark, sf_dir):
+    """Tails without mismatches, by a pattern; the operator finds each of them, and more."""
+    reads = trim.polyx(fx.reads_se(spark, sf_dir).withColumn("whole", F.col("seq")), "A")
+    pure = F.regexp_extract("whole", "(A*)$", 1)
+    return reads.select("read_id", ((F.length(pure) >= 10) & (F.col("polyx_n") >= F.length(pure))).alias("has_pure_tail"), F.length("whole").alias("length"))
+
+
+#: The tail rule of one base as a recursion over positions from the 3' end.
+def _polyx_sql(base: str) -> str:
+    return SE + f""",
+s AS (SELECT read_id, reverse(seq) AS r, length(seq) AS n FROM reads_se),
+steps AS MATERIALIZED (SELECT read_id, unnest(range(1, n + 1)) AS i, r, n FROM s),
+c AS (SELECT read_id, i, n, substr(r, i, 1) AS c FROM steps),
+k AS (SELECT *, sum((c <> 'N')::INT) OVER w AS called, sum((c <> 'N' AND c <> '{base}')::INT) OVER w AS mm, sum((c = 'N')::INT) OVER w AS ns,
+             sum(CASE WHEN c = '{base}' THEN 1 WHEN c = 'N' THEN 0 ELSE -1 END) OVER w AS s FROM c WINDOW w AS (PARTITION BY read_id ORDER BY i)),
+walk AS (SELECT read_id, list(struct_pack(i := i, c := c, called := called, mm := mm, ns := ns) ORDER BY i) AS rows, any_value(n) AS n FROM k GROUP BY read_id),
+f AS (SELECT read_id, n, list_reduce(list_prepend(struct_pack(i := 0::BIGINT, c := '', called := 0::HUGEINT, mm := 0::HUGEINT, ns := 0::HUGEINT, score := 0, tail := 0::BIGINT, tns := 0::HUGEINT, tmm := 0::HUGEINT, seen := 0::BIGINT, stop := false),
+        list_transform(rows, lambda x: struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := 0, tail := 0::BIGINT, tns := 0::HUGEINT, tmm := 0::HUGEINT, seen := 0::BIGINT, stop := false))),
+        lambda a, x: CASE WHEN a.stop THEN a
+          WHEN x.c = '{base}' AND a.score + 1 >= 0 AND x.mm <= x.called // 8 THEN struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := 0, tail := x.i, tns := x.ns, tmm := x.mm, seen := x.i, stop := false)
+          ELSE struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := (a.score + CASE WHEN x.c = '{base}' THEN 1 WHEN x.c = 'N' THEN 0 ELSE -1 END)::INT, tail := a.tail, tns := a.tns, tmm := a.tmm, seen := x.i,
+                           stop := (x.c <> '{base}' AND x.c <> 'N' AND a.score - 1 < -5)) END) AS z FROM walk),
+e AS (SELECT f.read_id, n, z, least(length(regexp_extract(substr(r, (z.tail + 1)::INT), '^(N*)', 1)), z.seen - z.tail) AS grow FROM f JOIN s USING (read_id, n)),
+t AS (SELECT read_id, z.tail + grow AS tail, z.tail - z.tns AS called, z.seen AS seen, z.tmm AS tmm FROM e)
+SELECT read_id, (CASE WHEN called >= 10 OR (called + 1 = 10 AND called < seen AND tmm = 0) THEN tail ELSE 0 END)::INT AS polyx_n FROM t"""
+
+
+@query(_polyx_sql("A"))
+def trim_polyx(spark, sf_dir):
+    return trim.polyx(fx.reads_se(spark, sf_dir), "A").select("read_id", "polyx_n")
+
+
+@query()
+def trim_polyx_bases(spark, sf_dir):
+    """Tails of any base, by base."""
+    reads = trim.polyx(fx.reads_se(spark, sf_dir), "ACGT")
+    return reads.where("polyx_n > 0").groupBy("polyx_base").agg(F.count(F.lit(1)).alias("reads"), F.sum("polyx_n").alias("bases"))
+
+
+# ---- alignment --------------------------------------------------------------------------------------------------------
+
+ADAPTERS = [(fx.ADAPTER1, fx.ADAPTER2), ("CTGTCTCTTATACACATCT", "CTGTCTCTTATACACATCT")]
+_ALN = """
+o AS (SELECT a.adapter_id, a.a, off.o FROM (VALUES (0, '{a0}'), (1, '{a1}')) a(adapter_id, a), (SELECT unnest(range(-2, 60)) AS o) off),
+x AS (SELECT read_id, seq, adapter_id, o, greatest(o, 0) AS lo, greatest(-o, 0) AS skip, a FROM reads_se, o),
+y AS (SELECT read_id, adapter_id, o, least(60 - lo, length(a) - skip)::INT AS n, substr(seq, lo::INT + 1, least(60 - lo, length(a) - skip)::INT) AS s, substr(a, skip::INT + 1, least(60 - lo, length(a) - skip)::INT) AS t FROM x),
+z AS (SELECT *, length(s) - length(replace(s, 'N', '')) AS amb FROM y WHERE n > 0),
+c AS (SELECT *, hamming(s, t)::INT - amb AS mm FROM z),
+k AS (SELECT *, n - amb - 2 * mm AS score FROM c WHERE n - amb - 2 * mm >= 0),
+best AS (SELECT DISTINCT ON (read_id) * FROM k ORDER BY read_id, score DESC, n DESC, amb ASC, adapter_id, o),
+good AS (SELECT read_id, adapter_id, o, n, mm, amb, score, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor({rate} * (n - amb))) ELSE floor({rate} * (n - amb)) END THEN 'good' ELSE 'bad' END AS aln_type FROM best)"""
+ALN_SE = SE + "," + _ALN.format(a0=ADAPTERS[0][0], a1=ADAPTERS[1][0], rate=f"{0.1667}::DOUBLE")
+
+
+def _aligned(spark, sf_dir) -> DataFrame:
+    return align.single(fx.reads_se(spark, sf_dir), [a for a, _ in ADAPTERS])
+
+
+@query(ALN_SE + """
+SELECT r.read_id, coalesce(adapter_id, -1)::INT AS adapter_id, coalesce(o, 0)::INT AS "offset", coalesce(n, 0)::INT AS length, coalesce(mm, 0)::INT AS n_mismatches,
+       coalesce(amb, 0)::INT AS n_ambiguous, coalesce(score, 0)::INT AS score, coalesce(aln_type, 'bad') AS aln_type FROM reads_se r LEFT JOIN good g USING (read_id)""")
+def align_se(spark, sf_dir):
+    return _aligned(spark, sf_dir).select("read_id", "aln.*", "aln_type")
+
+
+@query(ALN_SE + """
+SELECT coalesce(adapter_id, -1)::INT AS adapter_id, count(*)::BIGINT AS reads, sum(60 - greatest(o, 0))::BIGINT AS bases FROM good WHERE aln_type = 'good' GROUP BY 1""")
+def adapter_trim_se(spark, sf_dir):
+    reads = align.truncate_single(_aligned(spark, sf_dir)).where("aln_type = 'good'")
+    return reads.groupBy(F.col("aln.adapter_id").alias("adapter_id")).agg(F.count(F.lit(1)).alias("reads"), F.sum("adapter_bp").alias("bases"))
+
+
+_RC2 = "reverse(translate(seq2, 'ACGT', 'TGCA'))"
+_A2RC = fx.ADAPTER2.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+ALN_PE = PE + f""",
+p AS (SELECT read_id, '{_A2RC}' || seq1 AS s1, {_RC2} || '{fx.ADAPTER1}' AS s2 FROM reads_pe),
+off AS (SELECT unnest(range({len(_A2RC)} - 100 - 2, {len(_A2RC)} + 100)) AS o),
+x AS (SELECT read_id, o - {len(_A2RC)} AS o, least(length(s1) - greatest(o, 0), length(s2) - greatest(-o, 0))::INT AS n, s1, s2, greatest(o, 0) AS lo, greatest(-o, 0) AS skip FROM p, off),
+y AS (SELECT read_id, o, n, substr(s1, lo::INT + 1, n) AS s, substr(s2, skip::INT + 1, n) AS t FROM x WHERE n > 0),
+z AS (SELECT *, n - length(replace(translate(s, 'ACGT', '1111'), 'N', '')) AS ns, s, t FROM y),
+c AS (SELECT read_id, o, n, hamming(s, t)::INT AS h, s, t, length(s) - length(replace(s, 'N', '')) AS n1, length(t) - length(replace(t, 'N', '')) AS n2 FROM z),
+u AS (SELECT read_id, o, n, h, n1 + n2 - CASE WHEN n1 > 0 AND n2 > 0 THEN len(list_filter(range(1, n + 1), lambda i: substr(s, i::INT, 1) = 'N' AND substr(t, i::INT, 1) = 'N')) ELSE 0 END AS amb, n1, n2, s, t FROM c),
+v AS (SELECT read_id, o, n, amb, h - (n1 + n2 - 2 * (n1 + n2 - amb)) AS mm FROM u),
+k AS (SELECT *, n - amb - 2 * mm AS score FROM v WHERE n - amb - 2 * mm >= 0),
+best AS (SELECT DISTINCT ON (read_id) * FROM k ORDER BY read_id, score DESC, n DESC, amb ASC, o),
+good AS (SELECT *, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor({0.1667}::DOUBLE * (n - amb))) ELSE floor({0.1667}::DOUBLE * (n - amb)) END
+                     THEN CASE WHEN n - amb >= 11 THEN 'mergeable' ELSE 'good' END ELSE 'bad' END AS aln_type FROM best),
+a AS (SELECT r.*, coalesce(g.o, 0) AS o, coalesce(g.n, 0) AS n, coalesce(g.mm, 0) AS mm, coalesce(g.amb, 0) AS amb, coalesce(g.aln_type, 'bad') AS aln_type,
+             CASE WHEN g.aln_type <> 'bad' THEN greatest(0, 100 + g.o) END AS isize FROM reads_pe r LEFT JOIN good g USING (read_id))"""
+
+
+def _aligned_pairs(spark, sf_dir) -> DataFrame:
+    return align.paired(fx.reads_pe(spark, sf_dir), ADAPTERS[:1])
+
+
+@query(ALN_PE + """
+SELECT read_id, o::INT AS "offset", n::INT AS length, mm::INT AS n_mismatches, amb::INT AS n_ambiguous, aln_type, isize::INT AS insert_size FROM a""")
+def align_pe(spark, sf_dir):
+    return _aligned_pairs(spark, sf_dir).select("read_id", "aln.offset", "aln.length", "aln.n_mismatches", "aln.n_ambiguous", "aln_type", "insert_size")
+
+
+@query(ALN_PE + """,
+k2 AS (SELECT *, CASE WHEN aln_type <> 'bad' THEN least(isize, 100) ELSE 100 END AS k1, CASE WHEN aln_type <> 'bad' AND o < 0 THEN least(isize, 100) ELSE 100 END AS k2 FROM a)
+SELECT read_id, substr(seq1, 1, k1::INT) AS seq1, substr(seq2, 1, k2::INT) AS seq2, substr(qual2, 1, k2::INT) AS qual2, (200 - k1 - k2)::INT AS adapter_bp, ((k1 < 100)::INT + (k2 < 100)::INT)::INT AS adapter_reads FROM k2""")
+def adapter_trim_pe(spark, sf_dir):
+    return align.truncate_paired(_aligned_pairs(spark, sf_dir)).select("read_id", "seq1", "seq2", "qual2", "adapter_bp", "adapter_reads")
+
+
+@query(ALN_PE + "SELECT isize::INT AS insert_size, count(*)::BIGINT AS n FROM a WHERE aln_type = 'mergeable' GROUP BY 1")
+def insert_sizes(spark, sf_dir):
+    return _aligned_pairs(spark, sf_dir).where("aln_type = 'mergeable'").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def align_multiple_adapters(spark, sf_dir):
+    """Several adapter pairs, the best of which wins."""
+    got = align.paired(fx.reads_pe(spark, sf_dir), ADAPTERS)
+    return got.groupBy("aln_type", F.col("aln.adapter_id").alias("adapter_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("insert_size").alias("insert_bases"))
+
+
+@query()
+def align_without_adapters(spark, sf_dir):
+    """Mates that must overlap end to end, as no adapters are known."""
+    got = align.paired(fx.reads_pe(spark, sf_dir), [])
+    return got.groupBy("aln_type").agg(F.count(F.lit(1)).alias("pairs"), F.sum("insert_size").alias("insert_bases"))
+
+
+def _fragments_sql() -> str:
+    return ALN_PE + """,
+fr AS (SELECT read_id, CASE WHEN aln_type <> 'bad' THEN substr(seq1, least(isize, 100)::INT + 1, 42) ELSE '' END AS f1, CASE WHEN aln_type <> 'bad' THEN substr(seq2, least(isize, 100)::INT + 1, 42) ELSE '' END AS f2, aln_type FROM a)"""
+
+
+def _fragments(spark, sf_dir) -> DataFrame:
+    return align.fragments(_aligned_pairs(spark, sf_dir))
+
+
+@query(_fragments_sql() + """,
+fl AS (SELECT unnest(range(0, length(f1))) AS pos, f1 FROM fr WHERE f1 <> ''),
+fc AS (SELECT pos, substr(f1, pos::INT + 1, 1) AS nuc, count(*) AS c FROM fl WHERE substr(f1, pos::INT + 1, 1) <> 'N' GROUP BY 1, 2),
+t AS (SELECT pos, max(c) AS best, sum(c)::BIGINT AS n, max_by(nuc, c) AS nuc, list(c) AS cs FROM fc GROUP BY pos)
+SELECT pos::INT AS pos, CASE WHEN len(list_filter(cs, lambda x: x = best)) > 1 THEN 'N' ELSE nuc END AS base,
+       CASE WHEN len(list_filter(cs, lambda x: x = best)) > 1 THEN '!' ELSE chr((33 + least(round(log10(greatest(1 - best / (1.0 + n), 5e-10)) * -10), 93))::INT) END AS quality, n FROM t""")
+def consensus_adapter(spark, sf_dir):
+    return stats.consensus(_fragments(spark, sf_dir), "fragment1")
+
+
+@query(_fragments_sql() + "SELECT substr(f1, 1, 9) AS kmer, count(*)::BIGINT AS n FROM fr WHERE length(f1) >= 9 AND substr(f1, 1, 9) NOT LIKE '%N%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_kmers(spark, sf_dir):
+    return stats.top_kmers(_fragments(spark, sf_dir), "fragment1")
+
+
+@query(_fragments_sql() + "SELECT count(*)::BIGINT AS pairs, sum((aln_type <> 'bad')::INT)::BIGINT AS aligned, sum((f1 <> '' OR f2 <> '')::INT)::BIGINT AS with_adapters FROM fr")
+def aligned_pairs(spark, sf_dir):
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return _fragments(spark, sf_dir).agg(F.count(F.lit(1)).alias("pairs"), one(F.col("aln_type") != "bad").alias("aligned"),
+                                         one((F.col("fragment1") != "") | (F.col("fragment2") != "")).alias("with_adapters"))
+
+
+# ---- merging ----------------------------------------------------------------------------------------------------------
+
+
+def _merge_sql(additive: bool) -> str:
+    same = "least(41, q1 + q2)" if additive else "greatest(q1, q2)"
+    return ALN_PE + f""",
+m_k2 AS (SELECT *, least(isize, 100)::INT AS k1, CASE WHEN o < 0 THEN least(isize, 100) ELSE 100 END::INT AS k2 FROM a WHERE aln_type = 'mergeable'),
+m_t AS (SELECT read_id, substr(seq1, 1, k1) AS r1, substr(qual1, 1, k1) AS y1, right({_RC2}, k2) AS r2, right(reverse(qual2), k2) AS y2, greatest(o, 0)::INT AS st FROM m_k2),
+m_n AS (SELECT *, (length(r1) + greatest(length(r2) - (length(r1) - st), 0))::INT AS total FROM m_t),
+m_e AS (SELECT *, unnest(range(0, total)) AS i FROM m_n),
+m_b AS (SELECT read_id, i, CASE WHEN i < length(r1) THEN substr(r1, i::INT + 1, 1) END AS b1, CASE WHEN i < length(r1) THEN ascii(substr(y1, i::INT + 1, 1)) - 33 END AS q1,
+             CASE WHEN i >= st AND i - st < length(r2) THEN substr(r2, (i - st)::INT + 1, 1) END AS b2, CASE WHEN i >= st AND i - st < length(r2) THEN ascii(substr(y2, (i - st)::INT + 1, 1)) - 33 END AS q2 FROM m_e),
+m_c AS (SELECT read_id, i, CASE WHEN b2 IS NULL THEN b1 WHEN b1 IS NULL THEN b2 WHEN b1 = b2 THEN b1 WHEN b1 = 'N' THEN b2 WHEN b2 = 'N' THEN b1 WHEN q1 > q2 THEN b1 WHEN q2 > q1 THEN b2 ELSE 'N' END AS base,
+             CASE WHEN b2 IS NULL THEN q1 WHEN b1 IS NULL THEN q2 WHEN b1 = 'N' AND b2 = 'N' THEN 0 WHEN b1 = b2 THEN {same} WHEN b1 = 'N' THEN q2 WHEN b2 = 'N' THEN q1 ELSE abs(q1 - q2) END AS q,
+             (b1 <> b2 AND b1 <> 'N' AND b2 <> 'N' AND q1 <> q2)::INT AS res, (b1 <> b2 AND b1 <> 'N' AND b2 <> 'N' AND q1 = q2)::INT AS unres, ((b1 = 'N') <> (b2 = 'N'))::INT AS ns FROM m_b)
+SELECT read_id, string_agg(base, '' ORDER BY i) AS seq, string_agg(chr((q + 33)::INT), '' ORDER BY i) AS qual, sum(coalesce(res, 0))::INT AS mm_resolved, sum(coalesce(unres, 0))::INT AS mm_unresolved,
+       sum(coalesce(ns, 0))::INT AS ns_resolved FROM m_c GROUP BY read_id"""
+
+
+def _merged(spark, sf_dir, strategy: str) -> DataFrame:
+    return align.merge(align.truncate_paired(_aligned_pairs(spark, sf_dir)), strategy)
+
+
+@query(_merge_sql(False))
+def merge_maximum(spark, sf_dir):
+    return _merged(spark, sf_dir, "maximum").select("read_id", "seq", "qual", "mm_resolved", "mm_unresolved", "ns_resolved")
+
+
+@query(_merge_sql(True))
+def merge_additive(spark, sf_dir):
+    return _merged(spark, sf_dir, "additive").select("read_id", "seq", "qual", "mm_resolved", "mm_unresolved", "ns_resolved")
+
+
+# ---- demultiplexing ---------------------------------------------------------------------------------------------------
+
+
+def _barcode_values(barcodes) -> str:
+    samples = sorted({b.sample for b in barcodes})
+    seen: dict[str, int] = {}
+    rows = []
+    for b in sorted(barcodes, key=lambda b: b.sample):
+        rows.append(f"({samples.index(b.sample)}, {seen.setdefault(b.sample, 0)}, '{b.sample}', '{b.bc1}', '{b.bc2}')")
+        seen[b.sample] += 1
+    return "bcs AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(s, i, sample, bc1, bc2))"
+
+
+def _demux_sql(paired: bool, total: int, r1: int, r2: int) -> str:
+    reads, barcodes = ("barcoded_pe", fx.BARCODES_PE) if paired else ("barcoded_se", fx.BARCODES_SE)
+    s1 = "seq1" if paired else "seq"
+    d2 = "hamming(substr(seq2, 1, 6), bc2)" if paired else "0"
+    return (BPE if paired else BSE) + ", " + _barcode_values(barcodes) + f""",
+d AS (SELECT read_id, s, i, sample, hamming(substr({s1}, 1, 6), bc1) AS d1, {d2} AS d2 FROM {reads}, bcs),
+ok AS (SELECT *, d1 + d2 AS d FROM d WHERE d1 <= {r1} AND d2 <= {r2} AND d1 + d2 <= {total}),
+m AS (SELECT *, min(d) OVER (PARTITION BY read_id) AS least FROM ok),
+g AS (SELECT read_id, count(DISTINCT s) AS ns, count(*) AS n, min(s) AS s, min(i) AS i, min(sample) AS sample FROM m WHERE d = least GROUP BY read_id),
+r AS (SELECT x.read_id, CASE WHEN g.n IS NULL THEN -1 WHEN ns > 1 THEN -2 ELSE s END AS sample_idx, CASE WHEN g.n IS NULL THEN -1 WHEN g.n > 1 THEN -2 ELSE i END AS barcode_idx, CASE WHEN g.n = 1 THEN sample END AS sample
+      FROM {reads} x LEFT JOIN g USING (read_id))"""
+
+
+_DEMUX_ROWS = "SELECT read_id, sample_idx::INT AS sample_idx, barcode_idx::INT AS barcode_idx, sample FROM r"
+
+
+@query(_demux_sql(False, 0, 0, 0) + _DEMUX_ROWS)
+def demux_se_exact(spark, sf_dir):
+    return demux.demultiplex(fx.barcoded_se(spark, sf_dir), fx.BARCODES_SE).select("read_id", "sample_idx", "barcode_idx", "sample")
+
+
+@query(_demux_sql(False, 1, 1, 0) + _DEMUX_ROWS)
+def demux_se_mm(spark, sf_dir):
+    return demux.demultiplex(fx.barcoded_se(spark, sf_dir), fx.BARCODES_SE, total=1).select("read_id", "sample_idx", "barcode_idx", "sample")
+
+
+@query(_demux_sql(True, 0, 0, 0) + _DEMUX_ROWS)
+def demux_pe_exact(spark, sf_dir):
+    return demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1", "seq2").select("read_id", "sample_idx", "barcode_idx", "sample")
+
+
+@query(_demux_sql(True, 2, 1, 1) + _DEMUX_ROWS)
+def demux_mm(spark, sf_dir):
+    return demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1", "seq2", total=2, r1=1, r2=1).select("read_id", "sample_idx", "barcode_idx", "sample")
+
+
+@query(_demux_sql(True, 2, 1, 1) + """SELECT CASE WHEN sample_idx = -2 OR barcode_idx = -2 THEN 'ambiguous' ELSE coalesce(sample, 'unidentified') END AS sample, CASE WHEN sample IS NOT NULL THEN barcode_idx END::INT AS barcode_idx,
+       (2 * count(*))::BIGINT AS reads FROM r GROUP BY ALL""")
+def demux_counts(spark, sf_dir):
+    return demux.counts(demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1", "seq2", total=2, r1=1, r2=1), weight=2)
+
+
+@query(BPE + ", " + _barcode_values(fx.BARCODES_PE) + """,
+e AS (SELECT read_id, count(*) AS n, count(DISTINCT s) AS ns, min(s) AS s, min(i) AS i FROM barcoded_pe JOIN bcs ON substr(seq1, 1, 6) = bc1 GROUP BY read_id)
+SELECT r.read_id, (CASE WHEN n IS NULL THEN -1 WHEN ns > 1 THEN -2 ELSE s END)::INT AS sample_idx, (CASE WHEN n IS NULL THEN -1 WHEN n > 1 THEN -2 ELSE i END)::INT AS barcode_idx FROM barcoded_pe r LEFT JOIN e USING (read_id)""")
+def demux_se_on_pe_table(spark, sf_dir):
+    """Single reads against double barcodes: first barcodes only."""
+    return demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1").select("read_id", "sample_idx", "barcode_idx")
+
+
+@query(_demux_sql(True, 0, 0, 0) + """SELECT r.read_id, CASE WHEN sample IS NULL THEN header1 ELSE header1 || ' BC:' || bc1 || '-' || bc2 END AS header1, CASE WHEN r.sample IS NULL THEN seq1 ELSE substr(seq1, 7) END AS seq1,
+       CASE WHEN r.sample IS NULL THEN qual2 ELSE substr(qual2, 7) END AS qual2 FROM r JOIN barcoded_pe USING (read_id) LEFT JOIN (SELECT s, i, bc1, bc2 FROM bcs) b ON b.s = r.sample_idx AND b.i = r.barcode_idx""")
+def demux_only(spark, sf_dir):
+    """Barcodes off, and in the header."""
+    got = demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1", "seq2")
+    got = demux.remove_barcodes(got, fx.BARCODES_PE, [("seq1", "qual1"), ("seq2", "qual2")])
+    return got.select("read_id", demux.barcode_comment("header1", fx.BARCODES_PE).alias("header1"), "seq1", "qual2")
+
+
+@query("WITH " + _barcode_values([b for b in fx.BARCODES_PE if b.sample != "alpha"]) + """
+SELECT sample, bc1, bc2, 'forward' AS orientation FROM bcs UNION ALL SELECT sample, bc2, bc1, 'reverse' FROM bcs""")
+def barcode_orientations(spark, sf_dir):
+    return demux.barcode_frame(spark, demux.oriented([b for b in fx.BARCODES_PE if b.sample != "alpha"], "forward"))
+
+
+@query("WITH " + _barcode_values(fx.BARCODES_PE) + f""", a AS (SELECT * FROM (VALUES (0, '{ADAPTERS[0][0]}', '{ADAPTERS[0][1]}'), (1, '{ADAPTERS[1][0]}', '{ADAPTERS[1][1]}')) v(adapter_id, a1, a2))
+SELECT sample, adapter_id::INT AS adapter_id, reverse(translate(bc2, 'ACGT', 'TGCA')) || a1 AS adapter1, reverse(translate(a2, 'ACGT', 'TGCA')) || bc1 AS adapter2 FROM bcs, a""")
+def barcode_adapters(spark, sf_dir):
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(ADAPTERS)], "adapter_id int, a1 string, a2 string")
+    return demux.adapters_behind_barcodes(demux.barcode_frame(spark, fx.BARCODES_PE), a)
+
+
+@query(_merge_sql(False).replace("SELECT read_id, string_agg", ", mg AS (SELECT read_id, string_agg").rstrip() + """)
+SELECT read_id, CASE WHEN read_id % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN read_id % 2 = 1 THEN reverse(qual) ELSE qual END AS qual FROM mg""")
+def merged_normalized(spark, sf_dir):
+    way = F.when(F.col("read_id") % 2 == 1, "reverse").otherwise("forward")
+    return demux.normalize_orientation(_merged(spark, sf_dir, "maximum").withColumn("orientation", way)).select("read_id", "seq", "qual")
+
+
+# ---- routing and records ----------------------------------------------------------------------------------------------
+
+_PE_TYPES = PE + f""",
+t AS (SELECT read_id, length(seq1) >= 15 AND length(seq1) - length(replace(seq1, 'N', '')) <= 5 AS p1, length(seq2) - length(replace(seq2, 'N', '')) <= 4 AS p2, seq1, seq2 FROM reads_pe),
+y AS (SELECT *, CASE WHEN p1 AND p2 THEN 'pe_1' WHEN p1 THEN 'singleton_1' ELSE 'pe_1_fail' END AS t1, CASE WHEN p1 AND p2 THEN 'pe_2' WHEN p2 THEN 'singleton_2' ELSE 'pe_2_fail' END AS t2 FROM t),
+r AS (SELECT t1 AS read_type, seq1 AS seq FROM y UNION ALL SELECT t2, seq2 FROM y)"""
+
+
+@query(_PE_TYPES + """
+SELECT read_type, CASE WHEN read_type = 'pe_1' THEN 'mate_1' WHEN read_type = 'pe_2' THEN 'mate_2' WHEN read_type LIKE 'singleton%' THEN 'singleton' ELSE 'discarded' END AS file, count(*)::BIGINT AS reads, sum(length(seq))::BIGINT AS bases FROM r GROUP BY 1, 2""")
+def pe_read_types(spark, sf_dir):
+    reads = fx.reads_pe(spark, sf_dir)
+    p1 = filters.fail_reason("seq1", "qual1", max_ns=5).isNull()
+    p2 = filters.fail_reason("seq2", "qual2", max_ns=4).isNull()
+    t1, t2 = routing.pair_types(p1, p2)
+    mates = reads.select(F.explode(F.array(F.struct(t1.alias("read_type"), F.col("seq1").alias("seq")), F.struct(t2.alias("read_type"), F.col("seq2").alias("seq")))).alias("m")).select("m.*")
+    return mates.groupBy("read_type", routing.file_of("read_type").alias("file")).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query(SE + "SELECT read_id, header || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS text FROM reads_se")
+def fastq_text(spark, sf_dir):
+    return fx.reads_se(spark, sf_dir).select("read_id", routing.fastq_text().alias("text"))
+
+
+@query(SE + """,
+t AS (SELECT read_id, substr(split_part(header, ' ', 1), 2) AS name, substr(seq, 1, (read_id % 60)::INT) AS seq, substr(qual, 1, (read_id % 60)::INT) AS qual, CASE WHEN read_id % 60 < 15 THEN '516' ELSE '4' END AS flag FROM reads_se)
+SELECT read_id, concat_ws(chr(9), name, flag, '*', '0', '0', '*', '*', '0', '0', CASE WHEN seq = '' THEN '*' ELSE seq END, CASE WHEN qual = '' THEN '*' ELSE qual END, 'RG:Z:1') AS text FROM t""")
+def sam_text(spark, sf_dir):
+    n = F.col("read_id") % 60
+    reads = fx.reads_se(spark, sf_dir).withColumns({"seq": bases.truncate("seq", 0, n.cast("int")), "qual": bases.truncate("qual", 0, n.cast("int"))})
+    reads = reads.withColumn("read_type", routing.single_type(filters.fail_reason(max_ns_fraction=1.0).isNull()))
+    return reads.select("read_id", routing.sam_text(read_group=F.lit("1")).alias("text"))
+
+
+@query(PE + "SELECT read_id * 2 AS read_idx, header1 AS header, seq1 AS seq, qual1 AS qual FROM reads_pe UNION ALL SELECT read_id * 2 + 1, header2, seq2, qual2 FROM reads_pe")
+def interleave(spark, sf_dir):
+    mates = [F.struct(F.col(f"header{i}").alias("header"), F.col(f"seq{i}").alias("seq"), F.col(f"qual{i}").alias("qual")).alias(f"r{i}") for i in (1, 2)]
+    return fastq.interleave(fx.reads_pe(spark, sf_dir).select(F.col("read_id").alias("read_idx"), *mates))
+
+
+@query(PE + "SELECT read_id AS read_idx, seq1, header2, qual2 FROM reads_pe")
+def deinterleave(spark, sf_dir):
+    pairs = fastq.deinterleave(interleave(spark, sf_dir))
+    return pairs.select("read_idx", F.col("r1.seq").alias("seq1"), F.col("r2.header").alias("header2"), F.col("r2.qual").alias("qual2"))
+
+
+# ---- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query(SE + "SELECT (read_id % 2)::INT AS file_ord, read_id AS rec, header, seq, qual FROM reads_se")
+def fastq_records(spark, sf_dir):
+    return fastq.records(fx.fastq_lines(spark, sf_dir))
+
+
+@query(SE + "SELECT read_id AS rec, (row_number() OVER (ORDER BY read_id % 2, read_id) - 1)::BIGINT AS read_idx FROM reads_se")
+def concatenated_files(spark, sf_dir):
+    return fastq.concatenated(fastq.records(fx.fastq_lines(spark, sf_dir))).select("rec", "read_idx")
+
+
+@query(SE + ", o AS (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS read_idx FROM reads_se) SELECT read_idx::BIGINT AS read_idx, seq FROM o WHERE read_idx < 1000")
+def head_reads(spark, sf_dir):
+    return fastq.head(_ordinal(fx.reads_se(spark, sf_dir)), fastq.parse_count("1K")).select("read_idx", "seq")
+
+
+@query(PE + ", o AS (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS read_idx FROM reads_pe) SELECT read_idx::BIGINT AS read_idx, seq1, seq2 FROM o")
+def pair_files(spark, sf_dir):
+    both = _ordinal(fx.reads_pe(spark, sf_dir))
+    mates = [both.select("read_idx", F.col(f"header{i}").alias("header"), F.col(f"seq{i}").alias("seq"), F.col(f"qual{i}").alias("qual")) for i in (1, 2)]
+    return fastq.pair_files(*mates).select("read_idx", F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"))
+
+
+_KNOWN = ", ".join(f"('{n}', {a}::VARCHAR[], {b}::VARCHAR[])" for n, a, b in adapters.KNOWN_ADAPTERS)
+
+
+@query(f"SELECT name, name || chr(9) || array_to_string(a, ',') || chr(9) || coalesce(array_to_string(b, ','), '') AS line FROM (VALUES {_KNOWN}) v(name, a, b)")
+def known_adapters_tsv(spark, sf_dir):
+    return adapters.export_tsv(adapters.known_adapters(spark))
+
+
+@query(f"SELECT DISTINCT s AS candidate FROM (SELECT unnest(list_concat(a, b)) AS s FROM (VALUES {_KNOWN}) v(name, a, b)) WHERE length(s) >= 8")
+def adapter_candidates(spark, sf_dir):
+    known = adapters.known_adapters(spark)
+    return known.select(F.explode(F.concat("adapter1", "adapter2")).alias("candidate")).where(F.length("candidate") >= detect.MIN_LENGTH).distinct()
+
+
+_TABLE = ["# adapters", "ACGTACGT TTGACA  # pair", "", "acgtacgt\tttgaca", "  CCATGG GGTACC"]
+
+
+@query("SELECT 'ACGTACGT' AS a1, 'TTGACA' AS a2, 2::BIGINT AS n")
+def adapter_table_duplicates(spark, sf_dir):
+    lines = spark.createDataFrame(list(enumerate(_TABLE)), "line_no long, value string")
+    return adapters.duplicate_adapters(adapters.adapter_table(lines))
+
+
+# ---- statistics -------------------------------------------------------------------------------------------------------
+
+
+@query(ALN_SE + ", t AS (SELECT CASE WHEN aln_type = 'good' THEN greatest(o, 0) ELSE 60 END AS n FROM reads_se LEFT JOIN good USING (read_id)) SELECT n::INT AS length, count(*)::BIGINT AS n FROM t GROUP BY 1")
+def length_hist(spark, sf_dir):
+    return stats.length_histogram(align.truncate_single(_aligned(spark, sf_dir)))
+
+
+@query(SE + LONG + "SELECT q::INT AS q, count(*)::BIGINT AS n FROM b GROUP BY 1")
+def quality_hist(spark, sf_dir):
+    return stats.quality_histogram(fx.reads_se(spark, sf_dir))
+
+
+@query(SE + LONG + "SELECT pos::INT AS pos, nuc, count(*)::BIGINT AS n, sum(q)::BIGINT AS q_sum FROM b GROUP BY 1, 2")
+def base_content(spark, sf_dir):
+    return stats.position_counts(fx.reads_se(spark, sf_dir))
+
+
+_CURVE = ", ".join(f"round(avg(q) FILTER (nuc = '{b}'), 6) AS {b.lower()}" for b in "ACGT")
+
+
+@query(SE + LONG + f"SELECT pos::INT AS pos, {_CURVE}, round(avg(q), 6) AS mean FROM b GROUP BY 1")
+def quality_curves(spark, sf_dir):
+    return stats.quality_curves(stats.position_counts(fx.reads_se(spark, sf_dir)))
+
+
+_SHARE = ", ".join(f"round((count(*) FILTER (nuc = '{b}'))::DOUBLE / count(*), 6) AS {b.lower()}" for b in "ACGTN")
+
+
+@query(SE + LONG + f"SELECT pos::INT AS pos, {_SHARE}, round(CASE WHEN count(*) FILTER (nuc <> 'N') > 0 THEN (count(*) FILTER (nuc IN ('G', 'C')))::DOUBLE / count(*) FILTER (nuc <> 'N') END, 6) AS gc FROM b GROUP BY 1")
+def content_curves(spark, sf_dir):
+    return stats.content_curves(stats.position_counts(fx.reads_se(spark, sf_dir)))
+
+
+@query(SE + """,
+g AS (SELECT length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS c, length(replace(seq, 'N', '')) AS n FROM reads_se),
+h AS (SELECT c, n, greatest(0.0::DOUBLE, 100 * (c - 0.5::DOUBLE) / n) AS lo, least(100.0::DOUBLE, 100 * (c + 0.5::DOUBLE) / n) AS hi, count(*) AS reads FROM g WHERE n > 0 GROUP BY 1, 2),
+w AS (SELECT bin, reads, greatest(0.0::DOUBLE, least(hi, bin + 1.0::DOUBLE) - greatest(lo, bin::DOUBLE)) AS x, lo, hi, c, n FROM h, (SELECT unnest(range(0, 101)) AS bin)),
+z AS (SELECT bin, reads * CASE WHEN bin = 100 AND c = n AND floor(lo) < 100 THEN 1.0::DOUBLE ELSE x END AS v, lo, hi, c, n FROM w)
+SELECT bin::INT AS bin, round(sum(v), 6) AS n FROM z WHERE bin >= floor(lo) AND bin <= CASE WHEN c = n THEN 100 ELSE floor(hi) END GROUP BY 1""")
+def gc_hist(spark, sf_dir):
+    return stats.gc_histogram(fx.reads_se(spark, sf_dir))
+
+
+@query(SE + LONG + """,
+t AS (SELECT count(*) AS bases, sum((q >= 20)::INT) AS q20, sum((q >= 30)::INT) AS q30, sum((nuc = 'N')::INT) AS ns, sum((nuc IN ('G', 'C'))::INT) AS gc FROM b)
+SELECT (SELECT count(*) FROM reads_se)::BIGINT AS reads, bases::BIGINT AS bases, round(bases::DOUBLE / (SELECT count(*) FROM reads_se), 6) AS mean_length, round(q20::DOUBLE / bases, 6) AS q20_rate, round(q30::DOUBLE / bases, 6) AS q30_rate,
+       round(ns::DOUBLE / bases, 6) AS uncalled_rate, round(gc::DOUBLE / (bases - ns), 6) AS gc_content FROM t""")
+def summary(spark, sf_dir):
+    return stats.summary(fx.reads_se(spark, sf_dir))
+
+
+@query(SE + """,
+k AS (SELECT seq, count(*) AS n FROM reads_se GROUP BY seq),
+v AS (SELECT n, count(*) AS keys FROM k GROUP BY n),
+s AS (SELECT CASE WHEN n > 10000 THEN '>10k' WHEN n > 5000 THEN '>5k' WHEN n > 1000 THEN '>1k' WHEN n > 500 THEN '>500' WHEN n > 100 THEN '>100' WHEN n > 50 THEN '>50' WHEN n > 9 THEN '>10' ELSE n::VARCHAR END AS label, sum(keys * n)::DOUBLE AS t, sum(keys)::DOUBLE AS u FROM v GROUP BY 1)
+SELECT label, round(t / (SELECT sum(t) FROM s), 6) AS total_frac, round(u / (SELECT sum(u) FROM s), 6) AS unique_frac, round((SELECT sum(u) FROM s) / (SELECT sum(t) FROM s), 6) AS unique_share FROM s""")
+def duplication(spark, sf_dir):
+    return stats.duplication(fx.reads_se(spark, sf_dir), most=10_000_000)
+
+
+@query()
+def duplication_estimate(spark, sf_dir):
+    """With fewer keys kept than there are, so that levels are corrected."""
+    return stats.duplication(fx.reads_se(spark, sf_dir), most=5_000)
+
+
+@query()
+def adapter_detect(spark, sf_dir):
+    names = detect.candidates(adapters.KNOWN_ADAPTERS)
+    reads = _ordinal(fx.reads_se(spark, sf_dir)).where(F.col("read_idx") < detect.PREFIX_READS)
+    return detect.hits(reads, names)
+
+
+@query("SELECT 1 AS mate, '" + fx.ADAPTER1 + "' AS adapter UNION ALL SELECT 2, '" + fx.ADAPTER2 + "'")
+def adapter_choice(spark, sf_dir):
+    names = detect.candidates(adapters.KNOWN_ADAPTERS)
+    reads = _ordinal(fx.reads_pe(spark, sf_dir)).where(F.col("read_idx") < detect.PREFIX_READS)
+    n = reads.count()
+    found = [(i, detect.choose(detect.hits(reads, names, seq=f"seq{i}"), n)) for i in (1, 2)]
+    return spark.createDataFrame(found, "mate int, adapter string")
