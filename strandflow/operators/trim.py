@@ -21,6 +21,8 @@ def keep_span(df: DataFrame, left: Column, right: Column, seq: str = "seq", qual
 
 def fixed(df: DataFrame, n5: int | Column = 0, n3: int | Column = 0, seq: str = "seq", qual: str = "qual", prefix: str = "fixed") -> DataFrame:
     """Removes fixed amounts from both ends: first at the 5' end, then from what is left at the 3' end."""
+    if isinstance(n5, int) and isinstance(n3, int) and n5 == n3 == 0:
+        return df.withColumns({f"{prefix}_5p": F.lit(0), f"{prefix}_3p": F.lit(0)})
     n5, n3 = (x if isinstance(x, Column) else F.lit(x) for x in (n5, n3))
     n = F.length(seq)
     left = F.least(n5, n)

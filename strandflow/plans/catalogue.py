@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.config import Config
 from strandflow.functions import bases
 from strandflow.operators import align, demux, detect, filters, routing, stats, trim
 from strandflow.plans import fixtures as fx
+from strandflow.plans import pipeline
 from strandflow.sources import adapters, fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,15 +310,15 @@ def trim_polyx_bases(spark, sf_dir):
 
 ADAPTERS = [(fx.ADAPTER1, fx.ADAPTER2), ("CTGTCTCTTATACACATCT", "CTGTCTCTTATACACATCT")]
 _ALN = """
-o AS (SELECT a.adapter_id, a.a, off.o FROM (VALUES (0, '{a0}'), (1, '{a1}')) a(adapter_id, a), (SELECT unnest(range(-2, 60)) AS o) off),
-x AS (SELECT read_id, seq, adapter_id, o, greatest(o, 0) AS lo, greatest(-o, 0) AS skip, a FROM reads_se, o),
-y AS (SELECT read_id, adapter_id, o, least(60 - lo, length(a) - skip)::INT AS n, substr(seq, lo::INT + 1, least(60 - lo, length(a) - skip)::INT) AS s, substr(a, skip::INT + 1, least(60 - lo, length(a) - skip)::INT) AS t FROM x),
+o AS (SELECT a.adapter_id, a.a, off.o FROM (VALUES (0, '{a0}'), (1, '{a1}')) a(adapter_id, a), (SELECT unnest(range(-2, {n})) AS o) off),
+x AS (SELECT read_id, seq, adapter_id, o, greatest(o, 0) AS lo, greatest(-o, 0) AS skip, a FROM {src}, o),
+y AS (SELECT read_id, adapter_id, o, least({n} - lo, length(a) - skip)::INT AS n, substr(seq, lo::INT + 1, least({n} - lo, length(a) - skip)::INT) AS s, substr(a, skip::INT + 1, least({n} - lo, length(a) - skip)::INT) AS t FROM x),
 z AS (SELECT *, length(s) - length(replace(s, 'N', '')) AS amb FROM y WHERE n > 0),
 c AS (SELECT *, hamming(s, t)::INT - amb AS mm FROM z),
 k AS (SELECT *, n - amb - 2 * mm AS score FROM c WHERE n - amb - 2 * mm >= 0),
 best AS (SELECT DISTINCT ON (read_id) * FROM k ORDER BY read_id, score DESC, n DESC, amb ASC, adapter_id, o),
 good AS (SELECT read_id, adapter_id, o, n, mm, amb, score, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor({rate} * (n - amb))) ELSE floor({rate} * (n - amb)) END THEN 'good' ELSE 'bad' END AS aln_type FROM best)"""
-ALN_SE = SE + "," + _ALN.format(a0=ADAPTERS[0][0], a1=ADAPTERS[1][0], rate=f"{0.1667}::DOUBLE")
+ALN_SE = SE + "," + _ALN.format(a0=ADAPTERS[0][0], a1=ADAPTERS[1][0], rate="0.1667::DOUBLE", n=60, src="reads_se")
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
@@ -344,13 +346,11 @@ p AS (SELECT read_id, '{_A2RC}' || seq1 AS s1, {_RC2} || '{fx.ADAPTER1}' AS s2 F
 off AS (SELECT unnest(range({len(_A2RC)} - 100 - 2, {len(_A2RC)} + 100)) AS o),
 x AS (SELECT read_id, o - {len(_A2RC)} AS o, least(length(s1) - greatest(o, 0), length(s2) - greatest(-o, 0))::INT AS n, s1, s2, greatest(o, 0) AS lo, greatest(-o, 0) AS skip FROM p, off),
 y AS (SELECT read_id, o, n, substr(s1, lo::INT + 1, n) AS s, substr(s2, skip::INT + 1, n) AS t FROM x WHERE n > 0),
-z AS (SELECT *, n - length(replace(translate(s, 'ACGT', '1111'), 'N', '')) AS ns, s, t FROM y),
-c AS (SELECT read_id, o, n, hamming(s, t)::INT AS h, s, t, length(s) - length(replace(s, 'N', '')) AS n1, length(t) - length(replace(t, 'N', '')) AS n2 FROM z),
-u AS (SELECT read_id, o, n, h, n1 + n2 - CASE WHEN n1 > 0 AND n2 > 0 THEN len(list_filter(range(1, n + 1), lambda i: substr(s, i::INT, 1) = 'N' AND substr(t, i::INT, 1) = 'N')) ELSE 0 END AS amb, n1, n2, s, t FROM c),
-v AS (SELECT read_id, o, n, amb, h - (n1 + n2 - 2 * (n1 + n2 - amb)) AS mm FROM u),
+c AS (SELECT read_id, o, n, hamming(s, t)::INT AS h, n - hamming(translate(s, 'ACGT', '1111'), translate(t, 'ACGT', '2222'))::INT AS both_n, length(s) - length(replace(s, 'N', '')) + length(t) - length(replace(t, 'N', '')) AS ns FROM y),
+v AS (SELECT read_id, o, n, ns - both_n AS amb, h - (ns - 2 * both_n) AS mm FROM c),
 k AS (SELECT *, n - amb - 2 * mm AS score FROM v WHERE n - amb - 2 * mm >= 0),
 best AS (SELECT DISTINCT ON (read_id) * FROM k ORDER BY read_id, score DESC, n DESC, amb ASC, o),
-good AS (SELECT *, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor({0.1667}::DOUBLE * (n - amb))) ELSE floor({0.1667}::DOUBLE * (n - amb)) END
+good AS (SELECT *, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor(0.1667::DOUBLE * (n - amb))) ELSE floor(0.1667::DOUBLE * (n - amb)) END
                      THEN CASE WHEN n - amb >= 11 THEN 'mergeable' ELSE 'good' END ELSE 'bad' END AS aln_type FROM best),
 a AS (SELECT r.*, coalesce(g.o, 0) AS o, coalesce(g.n, 0) AS n, coalesce(g.mm, 0) AS mm, coalesce(g.amb, 0) AS amb, coalesce(g.aln_type, 'bad') AS aln_type,
              CASE WHEN g.aln_type <> 'bad' THEN greatest(0, 100 + g.o) END AS isize FROM reads_pe r LEFT JOIN good g USING (read_id))"""
@@ -423,6 +423,68 @@ def aligned_pairs(spark, sf_dir):
                                          one((F.col("fragment1") != "") | (F.col("fragment2") != "")).alias("with_adapters"))
 
 
+# ---- whole runs -------------------------------------------------------------------------------------------------------
+
+_RUN = Config(adapters=tuple(ADAPTERS), pre_trim3p=(2, 2), quality_trimming="per-base", trim_min_quality=5, pre_trim_polyx="")
+_RUN_SE = SE + ", cut AS (SELECT read_id, header, substr(seq, 1, 58) AS seq, substr(qual, 1, 58) AS qual FROM reads_se)," + _ALN.format(
+    a0=ADAPTERS[0][0], a1=ADAPTERS[1][0], rate="0.1667::DOUBLE", n=58, src="cut") + f""",
+ad AS (SELECT c.read_id, CASE WHEN aln_type = 'good' THEN substr(seq, 1, greatest(o, 0)::INT) ELSE seq END AS seq, CASE WHEN aln_type = 'good' THEN substr(qual, 1, greatest(o, 0)::INT) ELSE qual END AS qual FROM cut c LEFT JOIN good USING (read_id)),
+lg AS (SELECT read_id, unnest(range(0, length(seq))) AS pos, seq, qual FROM ad),
+lb AS (SELECT read_id, pos, ascii(substr(qual, pos + 1, 1)) - 33 > 5 AND substr(seq, pos + 1, 1) <> 'N' AS ok FROM lg),
+sp AS (SELECT read_id, coalesce(min(pos) FILTER (ok), 0) AS lo, coalesce(max(pos) FILTER (ok) + 1, 0) AS hi FROM lb GROUP BY read_id),
+done AS (SELECT a.read_id, length(a.seq) AS before, substr(a.seq, coalesce(lo, 0) + 1, coalesce(hi - lo, 0)) AS seq, substr(a.qual, coalesce(lo, 0) + 1, coalesce(hi - lo, 0)) AS qual FROM ad a LEFT JOIN sp USING (read_id)),
+fin AS (SELECT *, CASE WHEN length(seq) < 15 THEN 'min_length' WHEN {NS} > length(seq) * 0.05 THEN 'max_ns' END AS fail_reason FROM done)"""
+
+
+@query(_RUN_SE + "SELECT read_id, seq, qual, fail_reason, CASE WHEN fail_reason IS NULL THEN 'se' ELSE 'se_fail' END AS read_type FROM fin")
+def pipeline_se(spark, sf_dir):
+    return pipeline.process_single(fx.reads_se(spark, sf_dir), _RUN).select("read_id", "seq", "qual", "fail_reason", "read_type")
+
+
+@query(_RUN_SE + """SELECT * FROM (
+SELECT 'terminal_pre' AS step, count(*)::BIGINT AS reads, (2 * count(*))::BIGINT AS bases FROM fin UNION ALL
+SELECT 'polyx_pre', 0, 0 UNION ALL SELECT 'terminal_post', 0, 0 UNION ALL SELECT 'polyx_post', 0, 0 UNION ALL
+SELECT 'adapters', sum((before < 58)::INT)::BIGINT, sum(58 - before)::BIGINT FROM fin UNION ALL
+SELECT 'low_quality', sum((before > length(seq))::INT)::BIGINT, sum(before - length(seq))::BIGINT FROM fin UNION ALL
+SELECT 'total', count(*)::BIGINT, sum(60 - length(seq))::BIGINT FROM fin)""")
+def step_counts_se(spark, sf_dir):
+    return pipeline.step_counts(pipeline.process_single(fx.reads_se(spark, sf_dir), _RUN))
+
+
+def _run_pe(spark, sf_dir, **more) -> DataFrame:
+    return pipeline.process_paired(fx.reads_pe(spark, sf_dir), Config(paired=True, adapters=tuple(ADAPTERS[:1]), pre_trim_polyx="", max_ns=6, **more))
+
+
+@query(ALN_PE + f""",
+k2 AS (SELECT *, CASE WHEN aln_type <> 'bad' AND n - amb >= 11 THEN least(isize, 100) ELSE 100 END AS k1, CASE WHEN aln_type <> 'bad' AND n - amb >= 11 AND o < 0 THEN least(isize, 100) ELSE 100 END AS k2 FROM a),
+m AS (SELECT read_id, 1 AS mate, substr(seq1, 1, k1::INT) AS seq, seq1 IS NULL AS x FROM k2 UNION ALL SELECT read_id, 2, substr(seq2, 1, k2::INT), false FROM k2),
+f AS (SELECT *, CASE WHEN length(seq) < 15 THEN 'min_length' WHEN {NS} > 6 THEN 'max_ns' END AS fail_reason FROM m)
+SELECT f.read_id, f.mate::INT AS mate, f.seq, f.fail_reason, CASE WHEN f.fail_reason IS NULL AND g.fail_reason IS NULL THEN 'pe_' || f.mate WHEN f.fail_reason IS NULL THEN 'singleton_' || f.mate ELSE 'pe_' || f.mate || '_fail' END AS read_type
+FROM f JOIN f g ON f.read_id = g.read_id AND f.mate <> g.mate""")
+def pipeline_pe(spark, sf_dir):
+    return _run_pe(spark, sf_dir, quality_trimming="none").select("read_id", "mate", "seq", "fail_reason", "read_type")
+
+
+@query()
+def pipeline_pe_merged(spark, sf_dir):
+    done = _run_pe(spark, sf_dir, merge=True)
+    return done.groupBy("read_type", "file").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.sum("n_sources").alias("sources"))
+
+
+@query()
+def step_counts_pe(spark, sf_dir):
+    return pipeline.paired_counts(_run_pe(spark, sf_dir, merge=True))
+
+
+@query()
+def pipeline_demultiplexed(spark, sf_dir):
+    """Barcoded mates by sample, then the run for each read of a sample; statistics by sample."""
+    config = Config(paired=True, barcodes=tuple(fx.BARCODES_PE), multiple_barcodes=True, barcode_mm=2, barcode_mm_r1=1, barcode_mm_r2=1)
+    got = pipeline.demultiplexed(fx.barcoded_pe(spark, sf_dir), config).where("sample is not null")
+    return stats.summary(got.select("sample", F.explode(F.array(F.struct(F.col("seq1").alias("seq"), F.col("qual1").alias("qual")),
+                                                                F.struct(F.col("seq2").alias("seq"), F.col("qual2").alias("qual")))).alias("r")).select("sample", "r.*"), "sample")
+
+
 # ---- merging ----------------------------------------------------------------------------------------------------------
 
 
