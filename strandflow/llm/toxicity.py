@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -76,28 +77,29 @@ def train(texts: list[str], labels: list[int], min_df: int = 3, lift: float = 2.
     The gradient of a sentence's logit z is p for a label 0 and -p (1 - P) / P for a label 1: the sentences of a
     positive document share its label by their scores.
     """
-    bags = [[set(WORD.findall(s.lower())) for s in sentences(t)] or [set()] for t in texts]
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         p = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return Model({}, float(np.log(p / (1 - p))))
-    df: Counter[str] = Counter()
+    # The texts are read three times, so that never more than one document's words are held.
     df1: Counter[str] = Counter()
-    for bag, label in zip(bags, labels):
-        seen = {f for w in set().union(*bag) for f in features(w)}
-        df.update(seen)
+    for text, label in zip(texts, labels):
         if label:
-            df1.update(seen)
+            df1.update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+    df1 = Counter({f: n for f, n in df1.items() if n >= min_df})
+    df: Counter[str] = Counter()
+    for text in texts:
+        df.update({f for w in set(WORD.findall(text.lower())) for f in features(w) if f in df1})
     base = y.mean()
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in df1.items() if n >= min_df and n >= lift * base * df[w]))}
-    cols, sent, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [vocab[f] for w in s for f in features(w) if f in vocab]
-            cols += ids
-            sent += [len(doc)] * len(ids)
+    vocab = {f: i for i, f in enumerate(sorted(f for f, n in df1.items() if n >= lift * base * df[f]))}
+    cols, sent, doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in sentences(text) or [""]:
+            ids = [vocab[f] for w in set(WORD.findall(s.lower())) for f in features(w) if f in vocab]
+            cols.extend(ids)
+            sent.extend([len(doc)] * len(ids))
             doc.append(d)
-    cols, sent, doc = np.array(cols, int), np.array(sent, int), np.array(doc, int)
+    cols, sent, doc = (np.array(x, np.int64) for x in (cols, sent, doc))
     w, b = np.zeros(len(vocab)), -5.0
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     for t in range(1, rounds + 1):
