@@ -240,6 +240,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all their columns, without the documents that hold a test item.  A row is judged by its text, whatever its id."""
     key = F.concat_ws("-", *[F.hex(h) for h in hash128(F.coalesce("text", F.lit("")))])
-    keyed = docs.withColumn("_key", key)
-    bad = leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    bad = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(bad, "key", "left_anti").select("row.*")

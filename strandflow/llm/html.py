@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import sys
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -32,7 +33,9 @@ HINTS = frozenset(
     "related recommended recommendations widget widgets pagination pager comment comments commentlist disqus respond reply "
     "replies discussion copyright legal disclaimer skip tags".split())
 #: A tag with quoted values; possessive, so that broken pages cost no backtracking.
-TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+TAG = re.compile(r"""</?([a-zA-Z][^\s/><]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""")
+#: The same up to the next bracket, for pages with a quote that never ends.
+BARE_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*+)([^<>]*+)>")
 ATTR = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++))""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADING = re.compile(r"h[1-6]$")
@@ -70,7 +73,7 @@ def blocks(html: str) -> list[Block]:
     encloses an article, main or h1 is no container of the kind above, whatever its name says.
     """
     parent, flags, encloses, names = [-1], [False], [False], ["#"]
-    stack, articles = [0], 0
+    stack, articles, opened, settled = [0], 0, Counter(), set()
     found: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
@@ -89,10 +92,10 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked.append(piece + " ")
 
-    i, n = 0, len(html)
+    i, n, pattern, last = 0, len(html), TAG, html.rfind(">")
     while i < n:
         j = html.find("<", i)
-        if j < 0:
+        if j < 0 or (j > last and not html.startswith(("<!", "<?"), j)):
             add(html[i:])
             break
         add(html[i:j])
@@ -104,13 +107,13 @@ def blocks(html: str) -> list[Block]:
             k = html.find(">", j)
             i = n if k < 0 else k + 1
             continue
-        m = TAG.match(html, j)
+        m = pattern.match(html, j)
+        if not m and pattern is TAG and (m := BARE_TAG.match(html, j)):
+            # Only an open quote makes the two differ: from here on quotes mean nothing.
+            pattern = BARE_TAG
         if not m:
-            if j + 1 < n and (html[j + 1].isalpha() or html[j + 1] == "/") and (k := html.find(">", j)) > 0 and (html.find("<", j + 1) < 0 or k < html.find("<", j + 1)):
-                i = k + 1
-            else:
-                add("<")
-                i = j + 1
+            add("<")
+            i = j + 1
             continue
         i = m.end()
         name, attrs, closing = m[1].lower(), m[2], html[j + 1] == "/"
@@ -121,10 +124,12 @@ def blocks(html: str) -> list[Block]:
         if closing:
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if names[stack[k]] == name:
-                    articles -= sum(names[e] in ("article", "main") for e in stack[k:])
-                    del stack[k:]
+            # Only what is open is closed, with all that it encloses.
+            while opened[name]:
+                inner = names[stack.pop()]
+                opened[inner] -= 1
+                articles -= inner in ("article", "main")
+                if inner == name:
                     break
             continue
         if name in RAW:
@@ -139,12 +144,15 @@ def blocks(html: str) -> list[Block]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "body") or HEADING.match(name):
             close = {"body": "head"}.get(name, "p" if name not in ("li", "td", "th", "tr", "dt", "dd") else name)
             if names[stack[-1]] == close:
-                stack.pop()
+                opened[names[stack.pop()]] -= 1
         elif names[stack[-1]] == "p":
-            stack.pop()
+            opened[names[stack.pop()]] -= 1
         e = len(names)
         if name in ("article", "main", "h1"):
             for x in reversed(stack):
+                if (name == "h1", x) in settled:
+                    break
+                settled.add((name == "h1", x))
                 if name != "h1" or names[x] in ("div", "section", "form", "main", "article", "header"):
                     encloses[x] = True
         parent.append(stack[-1])
@@ -152,6 +160,7 @@ def blocks(html: str) -> list[Block]:
         encloses.append(False)
         names.append(name)
         stack.append(e)
+        opened[name] += 1
         articles += name in ("article", "main")
     flush()
 

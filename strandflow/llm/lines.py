@@ -106,15 +106,13 @@ def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = hash128(F.col("doc_id"), text)
     drops = (duplicate_lines(docs.select("doc_id", "text"), min_near).groupBy("k1", "k2")
-             .agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
-             .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_drop"))
-    out = docs.join(drops, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    # A column of its own, used more than once: inside the lambda the split would run for every line.
-    out = out.withColumn("_all", F.split(text, "\n"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop"))
-    kept = F.transform(places, lambda i: F.get(F.col("_all"), i))
-    n = F.size("_all")
-    dropped = F.coalesce(F.size("_drop"), F.lit(0))
-    return out.select(*[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text"
-                        else F.col(c) for c in docs.columns],
-                      n.alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(dropped).alias("n_dropped"))
+             .agg(F.sort_array(F.collect_set("pos")).alias("drop")))
+    # The row is one column, whatever its columns are called.
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"), F.split(text, "\n").alias("all"))
+    out = rows.join(drops, ["k1", "k2"], "left")
+    # The split is a column of its own, used more than once: inside the lambda it would run for every line.
+    places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("drop"))
+    kept = F.transform(places, lambda i: F.get(F.col("all"), i))
+    new = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.size("all").alias("n_lines"),
+                      F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_dropped"))

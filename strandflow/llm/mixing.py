@@ -95,7 +95,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in id and text share what they take together.
     """
-    own = docs.withColumns(dict(zip(("_k1", "_k2"), hash128(F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text"))))))
-    times = mix(own, keep=("_k1", "_k2"), **options).groupBy("_k1", "_k2").agg(F.sum(F.col("copies") + F.col("extra")).cast("int").alias("_n"))
-    out = own.join(times.where("_n > 0"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns, "copy_no")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    k1, k2 = hash128(F.col(id_col), F.col(text_col))
+    needed = {c for c in (id_col, text_col, options.get("source_col", "source"), options.get("weight_col")) if c}
+    own = docs.select(*sorted(needed), F.struct(k1.alias("k1"), k2.alias("k2")).alias("row_key"))
+    times = (mix(own, keep=("row_key",), **options).groupBy("row_key").agg(F.sum(F.col("copies") + F.col("extra")).cast("int").alias("n"))
+             .where("n > 0").select("row_key.k1", "row_key.k2", "n"))
+    out = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(times, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return out.select("row.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
