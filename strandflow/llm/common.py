@@ -14,6 +14,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of a small table that one task takes.
+PER_TASK = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it; a local one only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,20 +59,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = materialize(
         edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"
     )
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    # Rounds over few edges need few tasks; the number grows with the edges.
+    tasks = 1 + both.count() // PER_TASK
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).coalesce(tasks)
                          .select("node", F.least("node", "m").alias("label")), "cc-labels")
     for _ in range(max_rounds):
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
-        offer = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m"))
+        near = (both.join(labels.withColumnRenamed("node", "b"), "b").coalesce(tasks)
+                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")).coalesce(tasks))
+        offer = labels.join(near, "node").coalesce(tasks).select("node", "label", F.least("label", "m").alias("m"))
         hooked = (offer.select("node", "m").unionByName(offer.select(F.col("label").alias("node"), "m"))
                   .groupBy("node").agg(F.min("m").alias("label")))
-        hooked = materialize(hooked, "cc-hooked")
+        hooked = materialize(hooked.coalesce(tasks), "cc-hooked")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        jumped = materialize(jumped, "cc-labels")
-        moved = (jumped.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count())
+        jumped = materialize(jumped.coalesce(tasks), "cc-labels")
+        settled = jumped.join(labels.withColumnRenamed("label", "old"), "node").coalesce(tasks).where("label <> old").isEmpty()
         labels = jumped
-        if not moved:
+        if settled:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
