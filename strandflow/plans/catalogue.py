@@ -785,3 +785,74 @@ def adapter_choice(spark, sf_dir):
     n = reads.count()
     found = [(i, detect.choose(detect.hits(reads, names, seq=f"seq{i}"), n)) for i in (1, 2)]
     return spark.createDataFrame(found, "mate int, adapter string")
+
+
+# ---- tables of the report ---------------------------------------------------------------------------------------------
+
+
+@query(ALN_SE + """, t AS (SELECT CASE WHEN aln_type = 'good' THEN greatest(o, 0) ELSE 60 END AS n FROM reads_se LEFT JOIN good USING (read_id))
+SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS weighted, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS deviation FROM t""")
+def length_moments(spark, sf_dir):
+    return stats.moments(length_hist(spark, sf_dir))
+
+
+@query(ALN_SE + """, t AS (SELECT CASE WHEN aln_type = 'good' THEN greatest(o, 0) ELSE 60 END AS n FROM reads_se LEFT JOIN good USING (read_id)),
+h AS (SELECT n, count(*) AS c FROM t GROUP BY n), d AS (SELECT i, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, (SELECT max(n) + 1 FROM h))) AS i) LEFT JOIN h ON n = i)
+SELECT string_agg(c::VARCHAR, ',' ORDER BY i) AS counts FROM d""")
+def length_dense(spark, sf_dir):
+    return stats.densify(length_hist(spark, sf_dir)).select(F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("counts"))
+
+
+@query(_RUN_SE + """, st AS (
+SELECT 'terminal_pre' AS step, count(*)::BIGINT AS reads, (2 * count(*))::BIGINT AS bases FROM fin UNION ALL
+SELECT 'polyx_pre', 0, 0 UNION ALL SELECT 'terminal_post', 0, 0 UNION ALL SELECT 'polyx_post', 0, 0 UNION ALL
+SELECT 'adapters', sum((before < 58)::INT)::BIGINT, sum(58 - before)::BIGINT FROM fin UNION ALL
+SELECT 'low_quality', sum((before > length(seq))::INT)::BIGINT, sum(before - length(seq))::BIGINT FROM fin UNION ALL
+SELECT 'total', count(*)::BIGINT, sum(60 - length(seq))::BIGINT FROM fin), w AS (SELECT count(*) AS n FROM reads_se)
+SELECT step, reads, round(100.0::DOUBLE * reads / n, 6) AS reads_pct, bases, round(100.0::DOUBLE * bases / (60 * n), 6) AS bases_pct, round(CASE WHEN reads > 0 THEN bases::DOUBLE / reads END, 6) AS mean_bases FROM st, w""")
+def processing_overview(spark, sf_dir):
+    total = fx.reads_se(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("b")).first()
+    return stats.overview(step_counts_se(spark, sf_dir), total["n"], total["b"])
+
+
+@query(_demux_sql(True, 2, 1, 1) + """, c AS (SELECT CASE WHEN sample_idx = -2 OR barcode_idx = -2 THEN 'ambiguous' ELSE coalesce(sample, 'unidentified') END AS sample, CASE WHEN sample IS NOT NULL THEN barcode_idx END::INT AS barcode_idx FROM r)
+SELECT sample, barcode_idx, (2 * count(*))::BIGINT AS reads, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM c), 6) AS pct FROM c GROUP BY ROLLUP (sample, barcode_idx) HAVING NOT (sample IS NOT NULL AND barcode_idx IS NULL AND GROUPING(barcode_idx) = 0)""")
+def demux_overview(spark, sf_dir):
+    """Reads by barcode, by sample and in all, with their share."""
+    counts = demux_counts(spark, sf_dir)
+    total = counts.agg(F.sum("reads")).first()[0]
+    got = counts.rollup("sample", "barcode_idx").agg(F.sum("reads").alias("reads"), F.grouping("barcode_idx").alias("g"))
+    got = got.where("not (sample is not null and barcode_idx is null and g = 0)")
+    return got.select("sample", "barcode_idx", "reads", F.round(100 * F.col("reads") / total, 6).alias("pct"))
+
+
+@query(_demux_sql(True, 2, 1, 1) + """, u AS (SELECT sample, 1 AS mate, seq1 AS seq FROM r JOIN barcoded_pe USING (read_id) UNION ALL SELECT sample, 2, seq2 FROM r JOIN barcoded_pe USING (read_id))
+SELECT sample, mate::INT AS mate, count(*)::BIGINT AS reads, sum(length(seq))::BIGINT AS bases FROM u WHERE sample IS NOT NULL GROUP BY GROUPING SETS ((mate), (sample, mate))""")
+def summary_by_sample(spark, sf_dir):
+    """Streams of the whole run and of every sample at once."""
+    got = demux.demultiplex(fx.barcoded_pe(spark, sf_dir), fx.BARCODES_PE, "seq1", "seq2", total=2, r1=1, r2=1).where("sample is not null")
+    mates = got.select("sample", F.posexplode(F.array("seq1", "seq2")).alias("m", "seq")).withColumn("mate", F.col("m") + 1)
+    sums = [F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases")]
+    return mates.groupingSets([("mate",), ("sample", "mate")], "sample", "mate").agg(*sums)
+
+
+@query(SE + f"""SELECT read_id, string_agg(CASE WHEN substr(seq, i::INT, 1) = 'N' THEN '*' WHEN substr(seq, i::INT, 1) = substr('{fx.ADAPTER1}', i::INT, 1) THEN '|' ELSE ' ' END, '' ORDER BY i) AS marks
+FROM (SELECT read_id, seq, unnest(range(1, {len(fx.ADAPTER1) + 1})) AS i FROM reads_se) GROUP BY read_id""")
+def reference_marks(spark, sf_dir):
+    return fx.reads_se(spark, sf_dir).select("read_id", stats.compare_sequences(F.col("seq"), F.lit(fx.ADAPTER1)).alias("marks"))
+
+
+@query("SELECT 'CGCCTTGGCCGTACAGCAC' AS sequence, 'Life Technologies SOLiD small RNA' AS source, 'CGCCTTGGCCGTACAGCAG' AS adapter UNION ALL SELECT 'AACTGTAGGCACC', 'QIAGEN QIAseq miRNA', 'AACTGTAGGCACCATCAAT'")
+def closest_adapter(spark, sf_dir):
+    rows = [(s, *detect.closest(s, adapters.KNOWN_ADAPTERS)) for s in ("CGCCTTGGCCGTACAGCAC", "AACTGTAGGCACC")]
+    return spark.createDataFrame(rows, "sequence string, source string, adapter string")
+
+
+@query(SE + """, m AS (SELECT read_id, seq, CASE WHEN read_id % 2 = 0 THEN 'se' ELSE 'se_fail' END AS t FROM reads_se)
+SELECT (row_number() OVER (ORDER BY read_id, mate) - 1)::BIGINT AS place, read_id AS read_idx, mate FROM (SELECT read_id, unnest([1, 2])::INT AS mate FROM m WHERE read_id % 100000 < 3)""")
+def interleaved_output(spark, sf_dir):
+    """Two outputs of one file, in input order."""
+    reads = fx.reads_se(spark, sf_dir).where("read_id % 100000 < 3").select(F.col("read_id").alias("read_idx"))
+    both = routing.interleaved([reads.withColumn("mate", F.lit(i)) for i in (1, 2)])
+    keyed = both.select(F.lit(0).alias("file_ord"), (F.col("read_idx") * 2 + F.col("mate")).alias("rec"), "read_idx", "mate").withColumnRenamed("read_idx", "r")
+    return fastq.concatenated(keyed).select(F.col("read_idx").alias("place"), F.col("r").alias("read_idx"), "mate")
