@@ -35,7 +35,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialize() made and that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash128(*cols: Column) -> list[Column]:
@@ -74,7 +83,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         jumped = hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         jumped = materialize(jumped.coalesce(tasks), "cc-labels")
         settled = jumped.join(labels.withColumnRenamed("label", "old"), "node").coalesce(tasks).where("label <> old").isEmpty()
+        discard(hooked)
+        discard(labels)
         labels = jumped
         if settled:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
