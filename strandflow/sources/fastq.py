@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import logging
 import sys
+import zlib
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -130,6 +133,44 @@ def pair_violations(pairs: DataFrame, separator: str = "/") -> DataFrame:
 MAGIC = b"\x1f\x8b"
 
 
+class Members(io.RawIOBase):
+    """The content of a gzip file member by member.  What follows the last member and isn't one is left out with a warning;
+    a file that ends within a member raises EOFError."""
+
+    def __init__(self, path: str):
+        self.file, self.path, self.packed, self.held, self.member = open(path, "rb"), path, b"", b"", None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            self.packed = self.packed or self.file.read(1 << 20)
+            if self.member is None:
+                if len(self.packed) < 2:
+                    self.packed += self.file.read(1 << 20)
+                if not self.packed:
+                    return 0
+                if self.packed[:2] != MAGIC:
+                    logging.getLogger(__name__).warning("ignoring what follows the last gzip member of %s", self.path)
+                    return 0
+                self.member = zlib.decompressobj(31)
+            if not self.packed:
+                raise EOFError(f"{self.path} ends within a gzip member")
+            self.held = self.member.decompress(self.packed, 1 << 20)
+            if self.member.eof:
+                self.packed, self.member = self.member.unused_data, None
+            else:
+                self.packed = self.member.unconsumed_tail
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 class Split(InputPartition):
     def __init__(self, path: str, file_ord: int, start: int, end: int | None):
         self.path, self.file_ord, self.start, self.end = path, file_ord, start, end
@@ -157,13 +198,11 @@ class FastqReader(DataSourceReader):
         return out
 
     def read(self, split: Split) -> Iterator[tuple]:
-        import gzip
-
-        with (gzip.open if split.end is None else open)(split.path, "rb") as f:
+        with io.BufferedReader(Members(split.path)) if split.end is None else open(split.path, "rb") as f:
             place = split.start
             if split.start:
                 place = _next_record(f, split.start)
-            f.seek(place)
+                f.seek(place)
             while split.end is None or place < split.end:
                 start, lines = place, []
                 while len(lines) < 4:

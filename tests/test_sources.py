@@ -33,6 +33,14 @@ def test_compressed_files_are_known_by_content_and_follow_each_other(spark, tmp_
     assert rows(fastq.read_fastq(spark, [str(tmp_path / "a.fastq"), str(tmp_path / "b")])) == RECORDS + RECORDS
 
 
+def test_what_follows_compressed_data_is_left_out(spark, tmp_path):
+    (tmp_path / "a").write_bytes(gzip.compress(TEXT.encode()) + gzip.compress(TEXT.encode()) + b"\0rest")
+    assert rows(fastq.read_fastq(spark, [str(tmp_path / "a")])) == RECORDS + RECORDS
+    (tmp_path / "b").write_bytes(gzip.compress(TEXT.encode())[:-20])
+    with pytest.raises(Exception, match="within a gzip member"):
+        fastq.read_fastq(spark, [str(tmp_path / "b")]).collect()
+
+
 @pytest.mark.parametrize("text", ["@a\nAC\n+\n", "@a\nAC\n+\nI\n", "a\nAC\n+\nII\n", "@\nAC\n+\nII\n", "@a\nAC\n-\nII\n"])
 def test_broken_files_fail(spark, tmp_path, text):
     (tmp_path / "a.fastq").write_text(text)
