@@ -9,6 +9,8 @@ from strandflow.llm.common import hash128, materialize
 
 #: Lines of fewer code points are compared exactly: one edit changes too much of them.
 MIN_NEAR = 16
+#: Variants that one task makes.
+PER_TASK = 500_000
 EDGE = " \t\r\x0b\x0c"
 
 
@@ -66,7 +68,9 @@ def duplicate_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
            .dropDuplicates(["h1", "h2"]))
     own = materialize(own, "line-candidates")
 
-    chars = (own.repartition("h1", "h2").select("h1", "h2", "first", F.posexplode(F.split("line", "")).alias("i", "c"))
+    # Tasks by the variants they make, not by the bytes of the lines they get.
+    total = own.agg(F.sum(F.length("line"))).first()[0] or 0
+    chars = (own.repartition(1 + total // PER_TASK, "h1", "h2").select("h1", "h2", "first", F.posexplode(F.split("line", "")).alias("i", "c"))
              .withColumn("here", F.xxhash64("c", "i")).withColumn("left", F.xxhash64("c", F.col("i") - 1)))
     line = Window.partitionBy("h1", "h2")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -108,8 +112,8 @@ def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     drops = (duplicate_lines(docs.select("doc_id", "text"), min_near).groupBy("k1", "k2")
              .agg(F.sort_array(F.collect_set("pos")).alias("drop")))
     # The row is one column, whatever its columns are called.
-    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"), F.split(text, "\n").alias("all"))
-    out = rows.join(drops, ["k1", "k2"], "left")
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
+    out = rows.join(drops, ["k1", "k2"], "left").withColumn("all", F.split(F.coalesce("row.text", F.lit("")), "\n"))
     # The split is a column of its own, used more than once: inside the lambda it would run for every line.
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("drop"))
     kept = F.transform(places, lambda i: F.get(F.col("all"), i))

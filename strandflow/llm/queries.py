@@ -155,16 +155,28 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.total, 0.
 FROM d LEFT JOIN s ON d.rid = s.rid
 """,
     "op10_url_filters": r"""
-WITH p AS (
-  SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
-s AS (SELECT page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p),
+WITH RECURSIVE pg AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+tags AS (SELECT url AS a, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS link,
+                regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS meta FROM pg WHERE url IS NOT NULL),
+found AS (SELECT a, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS t FROM tags
+          UNION ALL SELECT a, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) FROM tags),
+links AS (SELECT a, replace(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '(?s)^(.*?:)//', 1) || t
+                                 WHEN starts_with(t, '/') THEN regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) || t END, '&amp;', '&') AS b FROM found WHERE t <> ''),
+us AS (SELECT DISTINCT u FROM (SELECT url AS u FROM pg UNION ALL SELECT b FROM links) WHERE u IS NOT NULL),
+bare AS (SELECT u, regexp_replace(u, '(?s)#.*$', '') AS bare, regexp_extract(u, '(?s)^.*?://(.*)$', 1) AS rest FROM us),
+part AS (SELECT u, bare, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM bare),
+named AS (SELECT *, CASE WHEN contains(bare, '://') THEN lower(regexp_extract(bare, '(?s)^(.*?)://', 1)) || '://' || host || regexp_extract(bare, '(?s)^.*?://[^/?#]*(.*)$', 1) ELSE bare END AS node FROM part),
 r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
                             ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS v(action, rhost, rpath)),
-m AS (SELECT s.page_id, s.url, s.host, s.path, max_by(rhost || rpath, length(rhost || rpath)) AS rule,
-             max_by(action, length(rhost || rpath)) AS action
-      FROM s LEFT JOIN r ON (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)
-      GROUP BY ALL)
-SELECT page_id, url, host, path, rule, coalesce(action, 'allow') AS verdict, false AS by_alias FROM m
+ruled AS (SELECT u, node, host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
+          FROM named LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+e0 AS (SELECT DISTINCT x.node AS a, y.node AS b FROM links JOIN named x ON x.u = links.a JOIN named y ON y.u = links.b WHERE x.node <> y.node),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+reach AS (SELECT a AS x, b AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+acts AS (SELECT node, min(action) AS action FROM ruled GROUP BY node),
+alias AS (SELECT x AS node, CASE WHEN bool_or(action = 'allow') THEN 'allow' WHEN bool_or(action = 'block') THEN 'block' END AS alias FROM reach JOIN acts ON acts.node = y GROUP BY x)
+SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, alias, 'allow') AS verdict, action IS NULL AND alias IS NOT NULL AS by_alias
+FROM pg LEFT JOIN ruled ON ruled.u = pg.url LEFT JOIN alias USING (node)
 """,
 }

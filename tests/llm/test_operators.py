@@ -451,6 +451,15 @@ def test_aliases(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {x["page_id"]: (x["verdict"], x["by_alias"]) for x in urls.filter_urls(df, RULES).collect()}
     assert got == {1: ("block", True), 2: ("block", True), 3: ("allow", False), 4: ("allow", False), 5: ("allow", True), 6: ("allow", False), 7: ("allow", False), 8: ("block", True), 9: ("allow", False)}
+    import duckdb
+
+    from strandflow.llm import queries
+    from tests.compare import assert_same
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [*pages, (10, None, None), (11, "no scheme", "")])
+    assert_same(urls.filter_urls(df.unionByName(spark.createDataFrame([(10, None, None), (11, "no scheme", "")], df.schema)), RULES), queries.ORACLES["op10_url_filters"], con)
     more = spark.createDataFrame([("http://e.org/5", "http://d.org/4"), ("http://d.org/4", "http://z.net/fr/")], "a string, b string")
     got = {x["page_id"]: x["verdict"] for x in urls.filter_urls(df, RULES, redirects=more).collect()}
     assert got[4] == "allow" and got[3] == "allow" and got[5] == "allow"
