@@ -154,3 +154,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     wanted = {tuple(r) for r in streaming.running_counts(pipeline.process_single(reads, config)).collect()}
     assert {tuple(r) for r in spark.sql("select * from running").collect()} == wanted
+
+
+def test_command_line(spark, tmp_path):
+    from strandflow.__main__ import main
+
+    reads = fx.reads_pe(spark, SF_DIR).orderBy("read_id").limit(150).collect()
+    for i in (1, 2):
+        (tmp_path / f"r{i}.fastq").write_text("".join(f"{r[f'header{i}']}\n{r[f'seq{i}']}\n+\n{r[f'qual{i}']}\n" for r in reads))
+    one, two, out = (str(tmp_path / x) for x in ("r1.fastq", "r2.fastq", "out"))
+    assert main(["--in-file1", one, "--in-file2", two, "--merge", "--out-prefix", out, "--out-json", f"{out}.json", "--out-html", f"{out}.html", "--report-sample-rate", "1.0",
+                 "--head", "0.1K", "--report-duplication"]) == 0
+    report = json.loads((tmp_path / "out.json").read_text())
+    assert report["summary"]["input"]["reads"] == 200 and {s["step"] for s in report["processing"]} >= {"merged", "adapters"}
+    assert spark.read.text(f"{out}.merged.fastq.gz").count() % 4 == 0 and report["analyses"]["duplication"] and report["analyses"]["insert_sizes"]
+    assert main(["--in-file1", one, "--out-prefix", f"{out}2", "--adapter1", fx.ADAPTER1, "--out-format", "sam"]) == 0
+    assert spark.read.text(f"{out}2.sam").where("value like '@%'").count() == 2
+    table = tmp_path / "barcodes.txt"
+    table.write_text("a ACGT\nb TTTT # none\n")
+    assert main(["--in-file1", one, "--barcode-table", str(table), "--demultiplex-only", "--out-prefix", f"{out}3"]) == 0
+    assert main(["--in-file1", one, "--report-only", "--out-json", f"{out}4.json"]) == 0
+    assert main(["--in-file1", one, one]) == 1 and main(["--in-file1", str(tmp_path / "none")]) == 1 and main(["--in-file1", one, "--merge"]) == 1
