@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,14 @@ PER_TASK = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it; a local one only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "strandflow-checkpoints")
-    return path.rstrip("/")
+    return path.rstrip("/") if path else _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="strandflow-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
