@@ -77,9 +77,12 @@ def duplicate_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     chars = (chars.withColumn("before", F.bit_xor("here").over(upto).bitwiseXOR(F.col("here")))
              .withColumn("whole", F.bit_xor("here").over(line))
              .withColumn("after", F.bit_xor("left").over(line).bitwiseXOR(F.bit_xor("left").over(upto))))
-    removed = chars.select("h1", "h2", "first", F.col("before").bitwiseXOR(F.col("after")).alias("v"), "i")
-    selves = chars.where("i = 0").select("h1", "h2", "first", F.col("whole").alias("v"), F.lit(-1).alias("i"))
-    variants = removed.unionByName(selves).withColumn("me", F.struct("first", "h1", "h2"))
+    without = F.struct(F.col("before").bitwiseXOR(F.col("after")).alias("v"), F.col("i"))
+    itself = F.struct(F.col("whole").alias("v"), F.lit(-1).alias("i"))
+    variants = chars.select(F.struct("first", "h1", "h2").alias("me"),
+                            F.explode(F.when(F.col("i") == 0, F.array(without, itself)).otherwise(F.array(without))).alias("x")).select("me", "x.v", "x.i")
+    # Dealt out once by the variant, which serves the groups by variant and by variant and place.
+    variants = variants.repartition(1 + total // PER_TASK, "v")
     group, place = Window.partitionBy("v"), Window.partitionBy("v", "i")
     variants = (variants.withColumn("same_place", F.min("me").over(place))
                 .withColumn("shorter", F.min(F.when(F.col("i") < 0, F.col("me"))).over(group))
