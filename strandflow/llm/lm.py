@@ -168,8 +168,9 @@ def _count(frequent: Frequent, rows: list):
     blocks, at = np.unique(np.array([r["block"] for r in kept], np.int64), return_inverse=True)
     first = np.concatenate([np.repeat(_from_six(r["a"]), _from_small(r["b"])) for r in kept])
     second = np.concatenate([_from_six(r["c"])[_from_small(r["d"])] for r in kept])
-    docs = [_from_small(r["e"]) for r in kept]
-    at, doc = np.repeat(at, [len(d) for d in docs]), np.concatenate(docs)
+    docs = [_from_small(r["e"]).astype(np.int32) for r in kept]
+    at, doc = np.repeat(at.astype(np.int32), [len(d) for d in docs]), np.concatenate(docs)
+    del docs, kept[1:]
     by = np.lexsort((second, first))
     first, second, at, doc = first[by], second[by], at[by], doc[by]
     own = np.concatenate([[True], first[1:] != first[:-1]])
@@ -178,6 +179,7 @@ def _count(frequent: Frequent, rows: list):
     n1, n12 = np.diff(own_at, append=len(first)), np.diff(pair_at, append=len(first))
     words = first[own_at]
     known = frequent.count(words)
+    del by
     c1 = np.repeat(np.where(known > 0, known, n1), n1)
     c12 = np.repeat(n12, n12)
     table = (known == 0) & (words != START)
