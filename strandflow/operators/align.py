@@ -96,3 +96,14 @@ def merge(df: DataFrame, strategy: str = "maximum", max_quality: int = 41, mate_
         "header": strip_mate("header1", mate_separator), "seq": F.col("_m.seq"), "qual": F.col("_m.qual"), "mm_resolved": F.col("_m.resolved"),
         "mm_unresolved": F.col("_m.unresolved"), "ns_resolved": F.col("_m.ns_resolved"),
     }).drop("_m")
+
+
+def merge_all(df: DataFrame, strategy: str = "maximum", max_quality: int = 41, mate_separator: str = "/") -> DataFrame:
+    """All pairs, with header0, seq0, qual0 and the counts of merge(): the consensus of mergeable mates, empty for others."""
+    on = F.col("aln_type") == "mergeable"
+    inputs = [F.when(on, F.col(c)).otherwise("") for c in ("seq1", "qual1", "rc2", "rq2")]
+    df = df.withColumn("_m", kernels.merge_column(*inputs, F.when(on, F.col("aln.offset")).otherwise(0), strategy, max_quality))
+    return df.withColumns({
+        "header0": strip_mate("header1", mate_separator), "seq0": F.col("_m.seq"), "qual0": F.col("_m.qual"), "mm_resolved": F.col("_m.resolved"),
+        "mm_unresolved": F.col("_m.unresolved"), "ns_resolved": F.col("_m.ns_resolved"),
+    }).drop("_m")

@@ -105,45 +105,39 @@ def process_paired(reads: DataFrame, config: Config) -> DataFrame:
     out = align.truncate_paired(out.withColumns({"n1": F.length("seq1"), "n2": F.length("seq2")}))
     common = ["read_id", "aln", "aln_type", "insert_size", "adapter_bp", "adapter_reads", "in1", "in2",
               *(f"pre{i}_{e}" for i in (1, 2) for e in ("5p", "3p")), *(f"pre_polyx{i}_{e}" for i in (1, 2) for e in ("base", "n"))]
-    parts = []
+    # Merged reads are a third read beside the mates.  Whichever of them don't apply to a pair are empty, so one scan serves both.
+    mergeable = F.lit(config.merge) & (F.col("aln_type") == "mergeable")
+    third = [("seq0", "qual0")] if config.merge else []
     if config.merge:
-        parts.append(_merged(out, config, separator, common))
-        out = out.where("aln_type <> 'mergeable'")
-    for i, (seq, qual) in enumerate(mates, 1):
-        prefix = (config.prefix_read1, config.prefix_read2)[i - 1]
+        out = align.merge_all(out, config.merge_strategy, config.merge_quality_max, separator)
+        out = out.withColumns({c: F.when(F.col("aln_type") == "mergeable", "").otherwise(F.col(c)) for pair in mates for c in pair})
+    for i, (seq, qual) in enumerate([*third, *mates], 0 if config.merge else 1):
+        prefix = (config.prefix_merged, config.prefix_read1, config.prefix_read2)[i]
         if prefix:
             out = out.withColumn(f"header{i}", bases.add_prefix(f"header{i}", prefix))
-        out = trim.fixed(out, config.post_trim5p[i - 1], config.post_trim3p[i - 1], seq, qual, prefix=f"post{i}")
-        out = trim.polyx(out, config.post_trim_polyx.upper(), config.trim_polyx_threshold, seq, qual, prefix=f"post_polyx{i}")
-        out = trim.quality(out, config.quality_trimming, config.preserve5p, config.trim_mott_rate, config.trim_windows, config.trim_min_quality,
-                           seq=seq, qual=qual, prefix=f"quality{i}")
-    out = out.withColumns({"fail1": _reason("seq1", "qual1", config), "fail2": _reason("seq2", "qual2", config)})
+        # A merged read ends with the 5' end of mate 2.
+        n5, n3 = (config.post_trim5p[0], config.post_trim5p[1]) if i == 0 else (config.post_trim5p[i - 1], config.post_trim3p[i - 1])
+        out = trim.fixed(out, n5, n3, seq, qual, prefix=f"post{i}")
+        if i:
+            out = trim.polyx(out, config.post_trim_polyx.upper(), config.trim_polyx_threshold, seq, qual, prefix=f"post_polyx{i}")
+        strategy = "none" if i == 0 and config.preserve5p else config.quality_trimming
+        out = trim.quality(out, strategy, config.preserve5p, config.trim_mott_rate, config.trim_windows, config.trim_min_quality, seq=seq, qual=qual, prefix=f"quality{i}")
+        out = out.withColumn(f"fail{i}", _reason(seq, qual, config))
     t1, t2 = routing.pair_types(F.col("fail1").isNull(), F.col("fail2").isNull())
-    both = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("mate"), F.col(f"header{i}").alias("header"), F.col(f"seq{i}").alias("seq"), F.col(f"qual{i}").alias("qual"),
-                 F.col(f"quality{i}_5p").alias("quality_5p"), F.col(f"quality{i}_3p").alias("quality_3p"), F.col(f"fail{i}").alias("fail_reason"), t.alias("read_type"),
-                 (F.col(f"in{i}") - F.length(f"seq{i}")).alias("total_trimmed"))
-        for i, t in ((1, t1), (2, t2))])).alias("m")
-    single = out.select(*common, both).select(*common, "m.*", F.lit(1).alias("n_sources"), F.lit(0).alias("mm_resolved"), F.lit(0).alias("mm_unresolved"),
-                                               F.lit(0).alias("ns_resolved"))
-    parts.append(single)
-    done = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return done.withColumn("file", routing.file_of("read_type"))
 
+    def read(i: int, kind: Column, before: Column, sources: int) -> Column:
+        counts = [(F.col(c) if i == 0 else F.lit(0)).alias(c) for c in ("mm_resolved", "mm_unresolved", "ns_resolved")]
+        return F.struct(
+            F.lit(i).alias("mate"), F.col(f"header{i}").alias("header"), F.col(f"seq{i}").alias("seq"), F.col(f"qual{i}").alias("qual"), F.col(f"quality{i}_5p").alias("quality_5p"),
+            F.col(f"quality{i}_3p").alias("quality_3p"), F.col(f"fail{i}").alias("fail_reason"), kind.alias("read_type"), (before - F.length(f"seq{i}")).alias("total_trimmed"),
+            F.lit(sources).alias("n_sources"), *counts)
 
-def _merged(out: DataFrame, config: Config, separator: str, common: list[str]) -> DataFrame:
-    """Merged pairs: prefix, fixed trimming with the 5' amounts of both mates, quality trimming unless 5' ends are preserved."""
-    m = align.merge(out, config.merge_strategy, config.merge_quality_max, separator)
-    if config.prefix_merged:
-        m = m.withColumn("header", bases.add_prefix("header", config.prefix_merged))
-    m = trim.fixed(m, config.post_trim5p[0], config.post_trim5p[1], prefix="post")
-    strategy = "none" if config.preserve5p else config.quality_trimming
-    m = trim.quality(m, strategy, False, config.trim_mott_rate, config.trim_windows, config.trim_min_quality)
-    m = m.withColumn("fail_reason", _reason("seq", "qual", config))
-    m = m.withColumns({"mate": F.lit(0), "n_sources": F.lit(2), "read_type": routing.merged_type(F.col("fail_reason").isNull()),
-                       "total_trimmed": F.col("in1") + F.col("in2") - F.length("seq")})
-    return m.select(*common, "mate", "header", "seq", "qual", "quality_5p", "quality_3p", "fail_reason", "read_type", "total_trimmed", "n_sources", "mm_resolved",
-                    "mm_unresolved", "ns_resolved")
+    reads_out = F.array(read(1, t1, F.col("in1"), 1), read(2, t2, F.col("in2"), 1))
+    if config.merge:
+        merged = read(0, routing.merged_type(F.col("fail0").isNull()), F.col("in1") + F.col("in2"), 2)
+        reads_out = F.when(mergeable, F.array(merged)).otherwise(reads_out)
+    done = out.select(*common, F.explode(reads_out).alias("m")).select(*common, "m.*")
+    return done.withColumn("file", routing.file_of("read_type"))
 
 
 def demultiplexed(reads: DataFrame, config: Config) -> DataFrame:
