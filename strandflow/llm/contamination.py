@@ -16,7 +16,8 @@ from strandflow.llm.common import hash128
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K1, B = 1.2, 0.75
-#: Passages are this many windows of STRIDE words; each overlaps the next by all windows but one.
+#: Passages are this many windows of STRIDE words; each overlaps the next by all windows but one.  So an item of up to
+#: WINDOWS - 1 windows lies whole in one of them; for longer items windows are twice, four times ... as long.
 STRIDE, WINDOWS = 32, 3
 #: Items of one index that is sent to the executors; a longer benchmark takes several passes, block by block.
 MAX_ITEMS = 2_000
@@ -35,7 +36,8 @@ class Index:
 
     item_ids in the order of what they need; terms: sorted word hashes; ptr, items, weights: postings by term;
     block_ptr, blocks, block_max: by term the blocks for which it is essential, with its largest weight there; need: the score an
-    item must reach; least: what the essential terms must add for any item of a block; questions, answers: word hashes by item.
+    item must reach; least: what the essential terms must add for any item of a block; questions, answers: word hashes by item;
+    strides: the words of a window by item.
     """
 
     item_ids: np.ndarray
@@ -50,6 +52,15 @@ class Index:
     least: np.ndarray
     questions: list
     answers: list
+    strides: np.ndarray
+
+
+def stride_of(words: int) -> int:
+    """The least doubling of STRIDE for which an item of so many words lies whole in a passage, wherever it begins."""
+    stride = STRIDE
+    while words > stride * (WINDOWS - 1):
+        stride *= 2
+    return stride
 
 
 def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -103,7 +114,7 @@ def build_index(ids: list, words: list[np.ndarray], answer_from: list[int]) -> I
     ptr = np.concatenate([[0], np.cumsum(df)])
     held = [(w[:a], w[a:]) for w, a in zip(words, answer_from)]
     return Index(np.array(ids, object)[order], terms, ptr, item, weight, block_ptr, cell % max(len(starts), 1), block_max, need, least - rest,
-                 [held[i][0] for i in order], [held[i][1] for i in order])
+                 [held[i][0] for i in order], [held[i][1] for i in order], np.array([stride_of(len(words[i])) for i in order], int))
 
 
 def overlap(part: np.ndarray, around: np.ndarray) -> float:
@@ -125,17 +136,24 @@ def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[in
 
     For every passage and block of items the sum over its essential words of the block's largest weights, and what the
     others can add at most, bounds the score of any item in it; only blocks whose bound reaches their smallest need are
-    scored, item by item.
+    scored, item by item.  Items of like length are searched for together, in passages as long as they need.
     """
     if not len(flat) or not len(index.item_ids):
         return []
+    return sorted(hit for stride in np.unique(index.strides) for hit in _search_by(index, flat, lengths, int(stride)))
+
+
+def _search_by(index: Index, flat: np.ndarray, lengths: np.ndarray, stride: int) -> list[tuple[int, int, float, float, float]]:
+    """search() for the items whose windows have `stride` words."""
+    mine = index.strides == stride
+    least = np.where(np.logical_or.reduceat(mine, np.arange(0, len(mine), BLOCK)), index.least, np.inf)
     at = np.searchsorted(index.terms, flat)
     at = np.where(index.terms[np.minimum(at, len(index.terms) - 1)] == flat, at, -1)
     starts = np.cumsum(lengths) - lengths
-    windows = -(-lengths // STRIDE)
+    windows = -(-lengths // stride)
     offset = np.cumsum(windows) - windows
     doc_of = np.repeat(np.arange(len(lengths)), windows)
-    begin = starts[doc_of] + (np.arange(windows.sum()) - offset[doc_of]) * STRIDE
+    begin = starts[doc_of] + (np.arange(windows.sum()) - offset[doc_of]) * stride
     n_blocks, in_blocks, in_items = len(index.least), np.diff(index.block_ptr), np.diff(index.ptr)
     listed = np.where(at >= 0, in_blocks[at], 0)
     known = np.flatnonzero(listed)
@@ -149,26 +167,26 @@ def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[in
         same = doc_of[:-k] == doc_of[k:]
         total[:-k] += np.where(same[:, None], bound[k:], 0)
     real = (np.arange(len(begin)) - offset[doc_of]) <= np.maximum(windows[doc_of] - WINDOWS, 0)
-    for w in np.flatnonzero(real & (total >= index.least * (1 - 1e-6)).any(1)):
+    for w in np.flatnonzero(real & (total >= least * (1 - 1e-6)).any(1)):
         d = doc_of[w]
-        lo, hi = begin[w], min(begin[w] + STRIDE * WINDOWS, starts[d] + lengths[d])
+        lo, hi = begin[w], min(begin[w] + stride * WINDOWS, starts[d] + lengths[d])
         seen = np.unique(at[lo:hi])
         seen = seen[seen >= 0]
         # Once more with every word counted once.
         post = _ranges(index.block_ptr[seen], in_blocks[seen])
-        exact = np.bincount(index.blocks[post], index.block_max[post], n_blocks) >= index.least * (1 - 1e-6)
+        exact = np.bincount(index.blocks[post], index.block_max[post], n_blocks) >= least * (1 - 1e-6)
         if not exact.any():
             continue
         posts = _ranges(index.ptr[seen], in_items[seen])
         posts = posts[exact[index.items[posts] // BLOCK]]
         score = np.bincount(index.items[posts], index.weights[posts], len(index.item_ids))
-        for i in np.flatnonzero((score >= index.need * (1 - 1e-9)) & (index.need > 0)):
+        for i in np.flatnonzero((score >= index.need * (1 - 1e-9)) & (index.need > 0) & mine):
             # Verified with a window to either side, so that no item is cut by the passage's ends.
-            around = flat[max(starts[d], lo - STRIDE):min(starts[d] + lengths[d], hi + STRIDE)]
+            around = flat[max(starts[d], lo - stride):min(starts[d] + lengths[d], hi + stride)]
             q, a = overlap(index.questions[i], around), overlap(index.answers[i], around)
             if q >= VERIFY and a >= VERIFY and score[i] > hits.get((d, i), (0,))[0]:
                 hits[d, i] = (float(score[i]), q, a)
-    return [(int(d), int(i), *v) for (d, i), v in sorted(hits.items())]
+    return [(int(d), int(i), *v) for (d, i), v in hits.items()]
 
 
 def _terms(text: Column) -> Column:
@@ -181,7 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) of documents that hold test items.
 
     docs: doc_id, text; benchmark: item_id, text.  Words are lower-cased runs of letters and digits.  A document is
-    a series of overlapping passages of 96 words, every 32 words, each of them a query; an item is retrieved if its
+    a series of overlapping passages of 96 words, every 32 words, each of them a query; for an item of more than 64 words
+    both are doubled until a passage holds it whole wherever it begins; an item is retrieved if its
     BM25 score is half of what it scores against itself, and holds if 0.6 of the 3-grams of its question and of its
     answer (the last sentence) occur there.  The best passage of a document and item is reported.
     Null and empty texts hold nothing and are held by nothing; rows that repeat are reported each; null ids pass
