@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import hash128
+from strandflow.llm.common import hash128, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -75,17 +75,24 @@ def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
     return np.unique(h)
 
 
-def build_index(ids: list, words: list[np.ndarray], answer_from: list[int]) -> Index:
-    """BM25 weights with idf over the items; answer_from[i]: the word with which the answer of item i begins."""
+def build_index(ids: list, words: list[np.ndarray], answer_from: list[int], whole: tuple[int, float, list[np.ndarray]] | None = None) -> Index:
+    """BM25 weights with idf over the items; answer_from[i]: the word with which the answer of item i begins.
+
+    whole: if these are not all items, the number of all, their mean length, and for each word of these the number of all
+    items that hold it.
+    """
     n = len(ids)
     lengths = np.array([len(w) for w in words], float)
-    mean = max(lengths.mean(), 1.0) if n else 1.0
+    mean = max(whole[1] if whole else lengths.mean(), 1.0) if n else 1.0
     terms, at = np.unique(np.concatenate([np.empty(0, np.uint64), *words]), return_inverse=True)
     item = np.repeat(np.arange(n), lengths.astype(int))
     pair, tf = np.unique(at * max(n, 1) + item, return_counts=True)
     term, item = pair // max(n, 1), pair % max(n, 1)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    held = df = np.bincount(term, minlength=len(terms))
+    if whole:
+        df = np.zeros(len(terms), int)
+        df[at] = np.concatenate([np.empty(0, int), *whole[2]])
+    idf = np.log1p(((whole[0] if whole else n) - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
     # Items of like scores are neighbours, so that a block's bounds fit all of it.
     own = np.bincount(item, weight, n)
@@ -111,10 +118,10 @@ def build_index(ids: list, words: list[np.ndarray], answer_from: list[int]) -> I
     block_max = np.zeros(len(cell))
     np.maximum.at(block_max, at, weight[kept])
     block_ptr = np.concatenate([[0], np.cumsum(np.bincount(cell // len(starts), minlength=len(terms)))])
-    ptr = np.concatenate([[0], np.cumsum(df)])
-    held = [(w[:a], w[a:]) for w, a in zip(words, answer_from)]
+    ptr = np.concatenate([[0], np.cumsum(held)])
+    parts = [(w[:a], w[a:]) for w, a in zip(words, answer_from)]
     return Index(np.array(ids, object)[order], terms, ptr, item, weight, block_ptr, cell % max(len(starts), 1), block_max, need, least - rest,
-                 [held[i][0] for i in order], [held[i][1] for i in order], np.array([stride_of(len(words[i])) for i in order], int))
+                 [parts[i][0] for i in order], [parts[i][1] for i in order], np.array([stride_of(len(words[i])) for i in order], int))
 
 
 def overlap(part: np.ndarray, around: np.ndarray) -> float:
@@ -195,6 +202,17 @@ def _terms(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _with_counts(items: DataFrame) -> tuple[DataFrame, float]:
+    """items with counts, for each word of q and then a the number of items that hold it; and the mean length."""
+    rows = materialize(items.withColumn("row", F.monotonically_increasing_id()), "leak-items")
+    words = rows.select("row", F.posexplode(F.concat("q", "a")).alias("pos", "word"))
+    found = words.groupBy("word").agg(F.count_distinct("row").alias("n"))
+    counts = (words.join(found, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("c"))
+              .select("row", F.col("c.n").alias("counts")))
+    out = materialize(rows.join(counts, "row").drop("row"), "leak-items")
+    return out, out.agg(F.avg(F.size("counts"))).first()[0]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) of documents that hold test items.
 
@@ -205,7 +223,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     answer (the last sentence) occur there.  The best passage of a document and item is reported.
     Null and empty texts hold nothing and are held by nothing; rows that repeat are reported each; null ids pass
     through; equal items are reported each; an empty benchmark or no documents give no rows.
-    The index is sent to the executors in blocks of max_items items, so the benchmark may have any size.
+    The index is sent to the executors in blocks of max_items items, so the benchmark may have any size; scores are over
+    all items, whatever the blocks.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -216,6 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     items = benchmark.select("item_id", "text", question.alias("q"), answer.alias("a"))
     items = items.select("item_id", _terms(F.when(F.col("a") == "", F.col("text")).otherwise(F.col("q"))).alias("q"), _terms(F.col("a")).alias("a"))
     items = items.where("size(q) + size(a) > 0")
+    n_items, whole = items.count(), None
+    if n_items > max_items:
+        items, whole = _with_counts(items)
     tokens = docs.select("doc_id", _terms(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     out = spark.createDataFrame([], schema)
     block: list = []
@@ -224,7 +246,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
         # As a plain dictionary, so that executors need not have this module.
         held = spark.sparkContext.broadcast(vars(build_index(
             [r["item_id"] for r in rows], [np.array(r["q"] + r["a"], np.int64).view(np.uint64) for r in rows],
-            [len(r["q"]) for r in rows])))
+            [len(r["q"]) for r in rows], whole and (n_items, whole, [np.array(r["counts"], int) for r in rows]))))
 
         def run(batches):
             index = Index(**held.value)

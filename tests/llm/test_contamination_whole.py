@@ -18,3 +18,18 @@ def test_long_items_are_found_wherever_they_begin(spark, length):
     got = sorted((x["doc_id"], x["item_id"]) for x in contamination.leaks(docs, items).collect())
     assert got == [(10 * item + i, item) for item in (1, 2) for i in range(len(before))]
     assert [x["doc_id"] for x in contamination.drop_leaks(docs, items).collect()] == [99]
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    """Items share words within and across blocks; with any number of items a block, rows and scores are the same."""
+    words = prose(30, 12).split()
+    texts = [" ".join(words[i % 3:i % 3 + 6]) + " " + prose(40 + i, 3 + 7 * (i % 4)) for i in range(11)]
+    items = spark.createDataFrame([(i // 2 or None, t) for i, t in enumerate(texts)], ITEMS)
+    docs = spark.createDataFrame([(i, f"{prose(60 + i, 20)} {t} {prose(80 + i, 20)}") for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def rows(max_items):
+        got = contamination.leaks(docs, items, max_items=max_items).collect()
+        return sorted((x["doc_id"], x["item_id"] or 0, round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in got)
+
+    whole = rows(2000)
+    assert len(whole) >= 11 and rows(1) == whole and rows(4) == whole
