@@ -109,39 +109,44 @@ def window_spans(seq: np.ndarray, qual: np.ndarray, lengths: np.ndarray, size: f
     return left, right
 
 
+#: A tail holds at most one other base in so many called ones, and the search ends once it has lost more than LOST.
+PER_MISMATCH, LOST = 8, 5
+
+
 def polyx_tails(seq: np.ndarray, lengths: np.ndarray, base: int, least: int) -> np.ndarray:
-    """Length of every read's tail of one base, mismatches and Ns in it included, or 0."""
+    """Length of every read's tail of one base, mismatches and Ns in it included, or 0.
+
+    All positions are counted from the 3' end.  S adds one for the base and takes one off for any other called base.  A position of
+    the base can end a tail if at most one in PER_MISMATCH called bases up to it differs.  The search ends at the first
+    other base where S is more than LOST below the best S of such an end (or 0) so far; of the ends before, the
+    farthest with the largest S is the tail's, if that isn't negative.  Ns that follow it within the search belong to it.
+    """
     n, width = seq.shape
-    rows = np.arange(n)
-    tail, seen, uncalled, mismatches, tail_n, tail_mm, score = (np.zeros(n, np.int64) for _ in range(7))
-    active = lengths >= least
-    for step in range(width):
-        active &= step < lengths
-        if not active.any():
-            break
-        here = seq[rows, np.maximum(lengths - 1 - step, 0)]
-        seen += active
-        match, is_n = active & (here == base), active & (here == N)
-        other = active & ~match & ~is_n
-        score += match
-        score -= other
-        uncalled += is_n
-        mismatches += other
-        take = match & (score >= 0) & (mismatches <= (seen - uncalled) // 8)
-        score[take] = 0
-        tail, tail_n, tail_mm = np.where(take, seen, tail), np.where(take, uncalled, tail_n), np.where(take, mismatches, tail_mm)
-        active &= ~(other & (score < -5))
-    grow = lengths >= least
-    while True:
-        grow &= tail < seen
-        grow &= seq[rows, np.clip(lengths - tail - 1, 0, max(width - 1, 0))] == N if width else False
-        if not grow.any():
-            break
-        tail += grow
-        tail_n += grow
-    called = tail - tail_n
-    short = (called + 1 == least) & (called < seen) & (tail_mm == 0) & ((called + 1) // 8 >= 1)
-    return np.where((lengths >= least) & ((called >= least) | short), tail, 0)
+    if not width:
+        return np.zeros(n, np.int64)
+    rows, steps = np.arange(n), np.arange(1, width + 1)
+    inside = steps <= lengths[:, None]
+    back = np.where(inside, seq[rows[:, None], np.maximum(lengths[:, None] - steps, 0)], 0)
+    match, unknown = back == base, back == N
+    other = inside & ~match & ~unknown
+    called = np.cumsum(match | other, axis=1, dtype=np.int32)
+    differ = np.cumsum(other, axis=1, dtype=np.int32)
+    total = called - 2 * differ
+    ends = match & (PER_MISMATCH * differ <= called)
+    best = np.maximum(np.maximum.accumulate(np.where(ends, total, 0), axis=1), 0)
+    lost = other & (best - total > LOST)
+    searched = np.where(lost.any(axis=1), lost.argmax(axis=1) + 1, lengths)
+    value = np.where(ends & (steps <= searched[:, None]), total, -1)
+    # The last of the largest: the first one seen from the other end.
+    tail = width - value[:, ::-1].argmax(axis=1)
+    tail = np.where(value[rows, tail - 1] >= 0, tail, 0)
+    stays = (steps <= tail[:, None]) | (unknown & (steps <= searched[:, None]))
+    whole = np.where(stays.all(axis=1), width, (~stays).argmax(axis=1))
+    held = np.where(tail > 0, called[rows, tail - 1], 0)
+    pure = np.where(tail > 0, differ[rows, tail - 1], 0) == 0
+    # One called base short of the threshold is enough where none differs and more was searched.
+    nearly = pure & (held + 1 == least) & (held < searched) & (held + 1 >= PER_MISMATCH)
+    return np.where((lengths >= least) & ((held >= least) | nearly), whole, 0)
 
 
 # ---- alignment --------------------------------------------------------------------------------------------------------

@@ -274,32 +274,30 @@ def pure_polyx_tails(spark, sf_dir):
     return reads.select("read_id", ((F.length(pure) >= 10) & (F.col("polyx_n") >= F.length(pure))).alias("has_pure_tail"), F.length("whole").alias("length"))
 
 
-#: The tail rule of one base as a recursion over positions from the 3' end.
-def _polyx_sql(base: str) -> str:
+#: The tail rule in sets, for every base of a list: prefix sums from the 3' end, the best end so far, and where the search stops.
+def _polyx_sql(letters: str) -> str:
+    values = ", ".join(f"({i}, '{b}')" for i, b in enumerate(letters))
     return SE + f""",
-s AS (SELECT read_id, reverse(seq) AS r, length(seq) AS n FROM reads_se),
-steps AS MATERIALIZED (SELECT read_id, unnest(range(1, n + 1)) AS i, r, n FROM s),
-c AS (SELECT read_id, i, n, substr(r, i, 1) AS c FROM steps),
-k AS (SELECT *, sum((c <> 'N')::INT) OVER w AS called, sum((c <> 'N' AND c <> '{base}')::INT) OVER w AS mm, sum((c = 'N')::INT) OVER w AS ns,
-             sum(CASE WHEN c = '{base}' THEN 1 WHEN c = 'N' THEN 0 ELSE -1 END) OVER w AS s FROM c WINDOW w AS (PARTITION BY read_id ORDER BY i)),
-walk AS (SELECT read_id, list(struct_pack(i := i, c := c, called := called, mm := mm, ns := ns) ORDER BY i) AS rows, any_value(n) AS n FROM k GROUP BY read_id),
-f AS (SELECT read_id, n, list_reduce(list_prepend(struct_pack(i := 0::BIGINT, c := '', called := 0::HUGEINT, mm := 0::HUGEINT, ns := 0::HUGEINT, score := 0, tail := 0::BIGINT, tns := 0::HUGEINT, tmm := 0::HUGEINT, seen := 0::BIGINT, stop := false),
-        list_transform(rows, lambda x: struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := 0, tail := 0::BIGINT, tns := 0::HUGEINT, tmm := 0::HUGEINT, seen := 0::BIGINT, stop := false))),
-        lambda a, x: CASE WHEN a.stop THEN a
-          WHEN x.c = '{base}' AND a.score + 1 >= 0 AND x.mm <= x.called // 8 THEN struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := 0, tail := x.i, tns := x.ns, tmm := x.mm, seen := x.i, stop := false)
-          ELSE struct_pack(i := x.i, c := x.c, called := x.called, mm := x.mm, ns := x.ns, score := (a.score + CASE WHEN x.c = '{base}' THEN 1 WHEN x.c = 'N' THEN 0 ELSE -1 END)::INT, tail := a.tail, tns := a.tns, tmm := a.tmm, seen := x.i,
-                           stop := (x.c <> '{base}' AND x.c <> 'N' AND a.score - 1 < -5)) END) AS z FROM walk),
-e AS (SELECT f.read_id, n, z, least(length(regexp_extract(substr(r, (z.tail + 1)::INT), '^(N*)', 1)), z.seen - z.tail) AS grow FROM f JOIN s USING (read_id, n)),
-t AS (SELECT read_id, z.tail + grow AS tail, z.tail - z.tns AS called, z.seen AS seen, z.tmm AS tmm FROM e)
-SELECT read_id, (CASE WHEN called >= 10 OR (called + 1 = 10 AND called < seen AND tmm = 0) THEN tail ELSE 0 END)::INT AS polyx_n FROM t"""
-
-
-@query(_polyx_sql("A"))
+px_s AS (SELECT read_id, nth, x, reverse(seq) AS r, length(seq) AS n FROM reads_se, (VALUES {values}) v(nth, x)),
+px_c AS (SELECT read_id, nth, x, n, i, substr(r, i::INT, 1) AS c FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM px_s)),
+px_k AS (SELECT *, sum((c <> 'N')::INT) OVER w AS called, sum((c NOT IN ('N', x))::INT) OVER w AS mm FROM px_c WINDOW w AS (PARTITION BY read_id, nth ORDER BY i)),
+px_e AS (SELECT *, c = x AND mm * 8 <= called AS fits, called - 2 * mm AS s FROM px_k),
+px_b AS (SELECT *, greatest(0, coalesce(max(s) FILTER (fits) OVER (PARTITION BY read_id, nth ORDER BY i), 0)) AS best FROM px_e),
+px_stop AS (SELECT read_id, nth, coalesce(min(i) FILTER (c NOT IN ('N', x) AND best - s > 5), any_value(n)) AS seen FROM px_b GROUP BY read_id, nth),
+px_top AS (SELECT b.read_id, b.nth, any_value(seen) AS seen, max(struct_pack(s := s, i := i)) FILTER (fits AND s >= 0 AND i <= seen) AS top FROM px_b b JOIN px_stop USING (read_id, nth) GROUP BY b.read_id, b.nth),
+px_t AS (SELECT b.read_id, b.nth, any_value(x) AS x, any_value(seen) AS seen, coalesce(any_value(top).i, 0) AS tail, coalesce(max(called) FILTER (i = top.i), 0) AS held, coalesce(max(mm) FILTER (i = top.i), 0) AS tail_mm,
+                coalesce(min(i) FILTER (i > coalesce(top.i, 0) AND i <= seen AND c <> 'N') - 1, any_value(seen)) AS whole FROM px_b b JOIN px_top USING (read_id, nth) GROUP BY b.read_id, b.nth),
+px AS (SELECT read_id, nth, x, CASE WHEN held >= 10 OR (held + 1 = 10 AND held < seen AND tail_mm = 0) THEN whole ELSE 0 END::INT AS polyx_n FROM px_t)
+"""
+
+
+@query(_polyx_sql("A") + "SELECT read_id, polyx_n FROM px")
 def trim_polyx(spark, sf_dir):
     return trim.polyx(fx.reads_se(spark, sf_dir), "A").select("read_id", "polyx_n")
 
 
-@query()
+@query(_polyx_sql("ACGT") + """, longest AS (SELECT read_id, max(polyx_n) AS polyx_n, arg_max(x, polyx_n * 4 - nth) AS polyx_base FROM px GROUP BY read_id)
+SELECT polyx_base, count(*)::BIGINT AS reads, sum(polyx_n)::BIGINT AS bases FROM longest WHERE polyx_n > 0 GROUP BY 1""")
 def trim_polyx_bases(spark, sf_dir):
     """Tails of any base, by base."""
     reads = trim.polyx(fx.reads_se(spark, sf_dir), "ACGT")
@@ -765,10 +763,23 @@ def duplication(spark, sf_dir):
     return stats.duplication(fx.reads_se(spark, sf_dir), most=10_000_000)
 
 
-@query()
+#: The factors of 1 - drawn / (total - j) over a level's reads make the share of its keys that weren't seen.
+_LEVEL = "CASE WHEN n > 10000 THEN '>10k' WHEN n > 5000 THEN '>5k' WHEN n > 1000 THEN '>1k' WHEN n > 500 THEN '>500' WHEN n > 100 THEN '>100' WHEN n > 50 THEN '>50' WHEN n > 9 THEN '>10' ELSE n::VARCHAR END"
+
+
+@query(SE + f""",
+k AS (SELECT seq, count(*) AS n, min(read_id) AS first FROM reads_se GROUP BY seq),
+edge AS (SELECT min(first) AS e FROM (SELECT first FROM k ORDER BY first OFFSET 2000 LIMIT 1)),
+v AS (SELECT n, count(*) AS keys FROM k, edge WHERE e IS NULL OR first < e GROUP BY n),
+d AS (SELECT count(*) FILTER (read_id <= e) AS drawn, count(*) AS total, any_value(e) AS e FROM reads_se, edge),
+p AS (SELECT n, keys, CASE WHEN e IS NULL OR total - keys < drawn OR total - n < drawn THEN 0.0::DOUBLE
+                           ELSE exp(list_sum(list_transform(range(0, n), lambda j: ln(1 - drawn::DOUBLE / (total - j))))) END AS p FROM v, d),
+c AS (SELECT n, CASE WHEN p >= 0.01 / (keys + 0.01) THEN keys / (1 - p) ELSE keys::DOUBLE END AS keys FROM p),
+s AS (SELECT {_LEVEL} AS label, sum(keys * n) AS t, sum(keys) AS u FROM c GROUP BY 1)
+SELECT label, round(t / (SELECT sum(t) FROM s), 6) AS total_frac, round(u / (SELECT sum(u) FROM s), 6) AS unique_frac, round((SELECT sum(u) FROM s) / (SELECT sum(t) FROM s), 6) AS unique_share FROM s""")
 def duplication_estimate(spark, sf_dir):
     """With fewer keys kept than there are, so that levels are corrected."""
-    return stats.duplication(fx.reads_se(spark, sf_dir), most=5_000)
+    return stats.duplication(fx.reads_se(spark, sf_dir), most=2_000)
 
 
 @query()
@@ -849,10 +860,10 @@ def closest_adapter(spark, sf_dir):
 
 
 @query(SE + """, m AS (SELECT read_id, seq, CASE WHEN read_id % 2 = 0 THEN 'se' ELSE 'se_fail' END AS t FROM reads_se)
-SELECT (row_number() OVER (ORDER BY read_id, mate) - 1)::BIGINT AS place, read_id AS read_idx, mate FROM (SELECT read_id, unnest([1, 2])::INT AS mate FROM m WHERE read_id % 100000 < 3)""")
+SELECT (row_number() OVER (ORDER BY read_id, mate) - 1)::BIGINT AS place, read_id AS read_idx, mate FROM (SELECT read_id, unnest([1, 2])::INT AS mate FROM m)""")
 def interleaved_output(spark, sf_dir):
     """Two outputs of one file, in input order."""
-    reads = fx.reads_se(spark, sf_dir).where("read_id % 100000 < 3").select(F.col("read_id").alias("read_idx"))
+    reads = fx.reads_se(spark, sf_dir).select(F.col("read_id").alias("read_idx"))
     both = routing.interleaved([reads.withColumn("mate", F.lit(i)) for i in (1, 2)])
     keyed = both.select(F.lit(0).alias("file_ord"), (F.col("read_idx") * 2 + F.col("mate")).alias("rec"), "read_idx", "mate").withColumnRenamed("read_idx", "r")
     return fastq.concatenated(keyed).select(F.col("read_idx").alias("place"), F.col("r").alias("read_idx"), "mate")

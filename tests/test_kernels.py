@@ -79,6 +79,58 @@ def test_polyx_examples():
         assert int(k.polyx_tails(s, n, ord("T"), least)[0]) == tail, seq
 
 
+def polyx_rule(seq, base, least):
+    """The rule of the tail, every score counted anew from the two places it lies between."""
+    back = seq[::-1]
+
+    def score(start, end):
+        return sum(1 if b == base else -1 if b != "N" else 0 for b in back[start:end])
+
+    def share_ok(end):
+        called = [b for b in back[:end] if b != "N"]
+        return 8 * sum(b != base for b in called) <= len(called)
+
+    ends, examined = [0], len(seq)
+    for i, b in enumerate(back, 1):
+        if b == base and share_ok(i) and score(ends[-1], i) >= 0:
+            ends.append(i)
+        elif b not in (base, "N") and score(ends[-1], i) < -5:
+            examined = i
+            break
+    tail = ends[-1]
+    grown = tail
+    while grown < examined and back[grown] == "N":
+        grown += 1
+    called = [b for b in back[:tail] if b != "N"]
+    enough = len(called) >= least or (len(called) + 1 == least and len(called) < examined and set(called) <= {base} and least >= 8)
+    return grown if len(seq) >= least and enough else 0
+
+
+@pytest.mark.parametrize("letters,most", [("AAAAAAAACN", 60), ("AAAAG", 30), ("AANNC", 40), ("AC", 25)])
+@pytest.mark.parametrize("least", [1, 5, 10, 20])
+def test_polyx_tails_follow_their_rule(letters, most, least):
+    rows = [s for s, _ in reads(400, most, letters)] + ["A" * i + "C" * j + "A" * k for i in (0, 9) for j in (1, 6, 7) for k in (0, 8, 9, 40)]
+    s, n = k_matrix(rows)
+    assert k.polyx_tails(s, n, ord("A"), least).tolist() == [polyx_rule(x, "A", least) for x in rows]
+
+
+def k_matrix(rows):
+    return k.matrix(pa.array(rows))
+
+
+def test_missed_share_is_the_product_over_the_reads_drawn():
+    from fractions import Fraction
+
+    from strandflow.operators.stats import missed_share
+
+    for level, drawn, total in [(1, 5, 10), (3, 5, 10), (6, 5, 10), (5, 5, 10), (40, 300, 1000), (1, 999, 1000)]:
+        exact = Fraction(1)
+        for i in range(drawn):
+            exact *= Fraction(max(total - i - level, 0), total - i)
+        assert missed_share(level, drawn, total) == pytest.approx(float(exact), rel=1e-9)
+    assert missed_share(200_000, 1_000, 10**9) == pytest.approx((1 - 1e-6) ** 200_000, rel=1e-3)
+
+
 def align_loop(a, b, low, high):
     best = (0, 0, 0)
     out = (0, 0, 0, 0)
