@@ -21,9 +21,17 @@ PER_TASK = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a local one only where none is set."""
+    """The folder that all executors share, as the cluster names it.
+
+    Where none is named, a local one serves a session in one process only; a cluster without one is refused, as each executor would
+    write to its own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else _local_dir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return _local_dir()
 
 
 @functools.cache
@@ -33,6 +41,14 @@ def _local_dir() -> str:
     return path
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import hash128, materialize
+from strandflow.llm.common import hash128, materialize, unused
 
-#: Lines of fewer code points are compared exactly: one edit changes too much of them.
+#: The edit bound is 1 from so many code points on and 0 below, where one edit changes too much of a line.  It is a parameter.
 MIN_NEAR = 16
 #: Variants that one task makes.
 PER_TASK = 500_000
@@ -108,18 +108,33 @@ def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """docs with the columns they have; text is without the lines duplicate_lines() names, and n_lines, n_dropped follow.
 
     Null and empty texts stay as they are; rows that agree in doc_id and text are one document and get one result;
-    null ids come first in order; of documents with one id the order is by a hash; no rows give no rows.
+    null ids come first in order; of documents with one id the order is by a hash; columns of the caller that are called n_lines or
+    n_dropped stay, and the new ones get an underscore behind their name; no rows give no rows.
     """
+    out, counts = _without_lines(docs, min_near)
+    return out.select("row.*", *[c.alias(unused(n, docs.columns)) for n, c in counts.items()])
+
+
+def kept_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
+    """The columns of docs alone, texts as dedup_lines() leaves them, and n_chars, where there is one, that of the text that is left."""
+    out, _ = _without_lines(docs, min_near)
+    if "n_chars" not in docs.columns:
+        return out.select("row.*")
+    n = F.coalesce(F.length("row.text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(F.col("row").withField("n_chars", n).alias("row")).select("row.*")
+
+
+def _without_lines(docs: DataFrame, min_near: int) -> tuple[DataFrame, dict]:
+    """Rows as one column `row`, whatever its columns are called, with the new text; and the counts by name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = hash128(F.col("doc_id"), text)
     drops = (duplicate_lines(docs.select("doc_id", "text"), min_near).groupBy("k1", "k2")
              .agg(F.sort_array(F.collect_set("pos")).alias("drop")))
-    # The row is one column, whatever its columns are called.
     rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
     out = rows.join(drops, ["k1", "k2"], "left").withColumn("all", F.split(F.coalesce("row.text", F.lit("")), "\n"))
     # The split is a column of its own, used more than once: inside the lambda it would run for every line.
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("drop"))
     kept = F.transform(places, lambda i: F.get(F.col("all"), i))
     new = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.size("all").alias("n_lines"),
-                      F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_dropped"))
+    out = out.select(F.col("row").withField("text", new).alias("row"), "all", "drop")
+    return out, {"n_lines": F.size("all"), "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))}

@@ -114,10 +114,12 @@ SELECT conv_id, 'messages' AS layout, count(*)::BIGINT AS n_turns,
 FROM esc GROUP BY conv_id
 """,
     "op8_mixing": r"""
-WITH base AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+base AS (
+  SELECT *, (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '') || '|' || digest || '|' || coalesce(source, '') || '|' || (row_number() OVER (PARTITION BY doc_id, digest, source))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+         round(-2 * log2(greatest(size, 1)))::INT AS grade
+  FROM sized),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
              3.0::DOUBLE * source_size AS cap FROM src),
@@ -127,13 +129,17 @@ f AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total,
 l AS (SELECT *, (total - cap_before) / w_left AS level FROM f),
 m AS (SELECT max(level) AS final FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, coalesce(least(cap, final * w), cap) AS target FROM l, m),
-r AS (SELECT b.*, t.source_size, t.target,
-             CASE WHEN t.source_size > 0 THEN least(t.target * 1.0::DOUBLE / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS expected
-      FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+cls AS (SELECT b.source, grade, sum(size)::BIGINT AS words, any_value(t.target) AS target, pow(2.0::DOUBLE, grade / 8.0::DOUBLE) AS w
+        FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source GROUP BY b.source, grade),
+lv AS (SELECT *, (target - 3.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY grade DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / nullif(sum(w * words) OVER (PARTITION BY source ORDER BY grade DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM cls),
+ex AS (SELECT source, grade, least(coalesce(max(level) FILTER (level * w <= 3) OVER (PARTITION BY source) * w, 3.0::DOUBLE), 3.0::DOUBLE) AS expected FROM lv),
+r AS (SELECT b.*, t.source_size, t.target, ex.expected FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+      JOIN ex ON ex.source IS NOT DISTINCT FROM b.source AND ex.grade = b.grade),
 p AS (SELECT *, floor(expected)::BIGINT AS copies, expected - floor(expected) AS p FROM r),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),
 c AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS rest,
-             coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q),
+             coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q),
 x AS (SELECT *, CASE WHEN q IS NOT NULL AND earlier + size / 2 <= rest THEN 1 ELSE 0 END AS extra FROM c)
 SELECT doc_id, source, size, source_size, target, copies, extra, ((copies + extra) * size)::BIGINT AS taken FROM x
 """,

@@ -60,11 +60,11 @@ def test_lines_equal_brute_force(spark):
 
 
 def test_odd_lines(odd, none):
-    got = lines.dedup_lines(clashing(odd)).select("doc_id", "text", "n_lines", "n_dropped", "source").collect()
+    got = lines.dedup_lines(clashing(odd)).select("doc_id", "text", "n_lines_", "n_dropped_", "source").collect()
     assert len(got) == odd.count()
     by = {x["doc_id"]: x for x in got}
-    assert by[5]["text"] is None and by[6]["text"] == "" and by[2]["text"] == "" and by[2]["n_dropped"] == 1 and by[1]["n_dropped"] == 0
-    assert by[11]["text"].startswith("Zeile\r\n\u00e9") and by[8]["n_dropped"] == 0
+    assert by[5]["text"] is None and by[6]["text"] == "" and by[2]["text"] == "" and by[2]["n_dropped_"] == 1 and by[1]["n_dropped_"] == 0
+    assert by[11]["text"].startswith("Zeile\r\n\u00e9") and by[8]["n_dropped_"] == 0
     assert lines.dedup_lines(none).count() == 0
 
 
@@ -391,6 +391,51 @@ def test_unequal_weights(spark):
     assert own[own.doc_id % 2 == 1].taken.sum() > 2 * own[own.doc_id % 2 == 0].taken.sum()
 
 
+def test_documents_of_a_source_have_unequal_odds(spark):
+    """Short documents are taken more often than long ones, by the fourth root of their sizes; few of one size stay below the cap."""
+    rows = [(i, "w " * (16 if i % 2 else 256), "a", ) for i in range(2000)] + [(9000 + i, "w " * 300, "b") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 4)).toPandas()
+    own = got[got.source == "a"]
+    short, long = (own[own["size"] == n] for n in (16, 256))
+    rate = lambda x: (x.copies + x.extra).mean()
+    assert rate(short) == pytest.approx(2 * rate(long), rel=0.15)
+    for _, x in got.groupby("source"):
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 150
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A thousand rows without an id, and a thousand of one id, are not taken or left as one block."""
+    rows = [(None, f"w{i} " * 10, "a") for i in range(1000)] + [(7, f"w{i} " * 10, "b") for i in range(1000)] + [(8, "x " * 10, "b")] * 50
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).toPandas()
+    for _, x in got.groupby("source"):
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 5 and x.extra.sum() not in (0, len(x))
+
+
+def test_sources_are_not_mixed_up(spark):
+    """One id and text under two sources are two documents."""
+    docs = spark.createDataFrame([(1, "a b c", s) for s in ("x", "y")] + [(i, f"w{i} " * 30, "y") for i in range(2, 40)], "doc_id long, text string, source string")
+    wanted = {(r["doc_id"], r["source"]): r["copies"] + r["extra"] for r in mixing.mix(docs).collect() if r["copies"] + r["extra"]}
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.mixed_documents(docs).collect()) == wanted
+
+
+def test_stages_keep_clashing_columns(spark, odd):
+    """Columns with the names of outputs stay as they are."""
+    docs = clashing(odd)
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines_", "n_dropped_"] and {r["n_lines"] for r in out.collect()} == {"x"}
+    assert lines.kept_lines(docs).columns == docs.columns and lines.kept_lines(docs).count() == docs.count()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == [*docs.columns, "copy_no_"] and {r["copy_no"] for r in mixed.collect()} == {"x"}
+    assert near.drop_near_copies(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("n", [15, 16, 17])
+def test_the_edit_bound_begins_at_its_length(spark, n):
+    rows = [(1, "a" * n), (2, "a" * (n - 1) + "b")]
+    got = {r["doc_id"]: r["text"] for r in lines.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "" if n >= 16 else rows[1][1]}
+
+
 def test_odd_mix(odd, none):
     got = mixing.mix(clashing(odd)).collect()
     assert len(got) == odd.count() and all(x["taken"] == 0 for x in got if x["size"] == 0)

@@ -84,6 +84,21 @@ def test_run(spark, corpus):
     assert got.count() > 50 and got.columns[-1] == "copy_no" and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_with_clashing_columns_and_string_ids(spark, corpus):
+    """Every stage keeps further columns, whatever they are called, and takes ids of any type."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.helpers import clashing
+
+    docs = clashing(spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(60))
+    for kind in ("long", "string"):
+        typed = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, typed, corpus[0])
+            assert out.columns == [*docs.columns, *(["copy_no_"] if name == "mixing" else [])]
+            assert out.where("copy_no <> 'x' or score <> 'x'").count() == 0
+
+
 def test_empty_tables(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{corpus[0]}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
