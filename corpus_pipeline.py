@@ -7,38 +7,54 @@ one's docs.  All but the last return the columns of documents; the last adds cop
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandflow.llm import contamination, lines, mixing, near, toxicity
 from strandflow.llm.common import load, materialize
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; the classifier learns from the labelled documents of the training folds."""
+    """Documents scored 0.5 or more go; the classifier learns from the labelled documents of the training folds.
+
+    Null and empty texts score as a sentence without known words does and stay; null ids are judged like others; rows that repeat
+    or tie are judged alike; without labels nothing is known to be toxic and all rows stay; no rows give no rows.
+    """
     model = toxicity.train(*toxicity.training_sample(docs, load(spark, sf_dir, "labels")))
     return toxicity.drop_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the lines that an earlier one has; n_chars is that of the text that is left."""
-    out = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Every document stays, without the lines that an earlier one has; n_chars is that of the text that is left.
+
+    Null and empty texts stay as they are; rows that repeat one id and text are one document and get one result; a text of which
+    nothing is left is empty; any further columns stay as they are; no rows give no rows.
+    """
+    return lines.kept_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, the one with the least id, null ids last.
+
+    Null texts are empty; texts without words are near only to equal ones, so one of them stays; of rows that repeat the chosen one
+    a single row stays; any further columns stay as they are; no rows give no rows.
+    """
     return near.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold nothing and stay, as do all rows if there are no items; a row is judged by its text, so rows that
+    repeat go or stay together, whatever their ids; items that are null or empty are held by nothing; no rows give no rows.
+    """
     return contamination.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources to their target weights."""
+    """The mix of the sources to their target weights: each document as often as it is taken, with copy_no.
+
+    Null sources are one source, the last; null and empty texts have no words; rows that agree in id, text and source share what
+    they take; a column of the input that is called copy_no stays, and the new one gets an underscore; no rows give no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
