@@ -1,351 +1,114 @@
-"""LM scoring: stupid backoff over a word bigram model whose count tables are partitioned by hash."""
+"""LM scoring: stupid backoff over a trigram model of all other documents, as joins of exploded n-grams with their counts."""
 
 from __future__ import annotations
 
-import sys
-from collections import defaultdict
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import words_of
+from strandflow.llm.common import materialize, words_of
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+ALPHA = 0.4
+#: Documents from which frequent n-grams are guessed, the share of them that makes an n-gram frequent, and the most of these.  They are
+#: dealt out by document as well; no score depends on which they are.
+SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 2000, 0.02, 20_000
+SALTS = 64
+#: What a row says of its n-gram besides its number: a count of 1 and more is that of the longer n-gram, which scored.
+BACK, CONTEXT, ENTRY = 0, -1, -2
 
-ALPHA, MIN_COUNT = 0.4, 2
-#: About so many n-grams meet in one partition of the count tables.
-PER_PARTITION = 2_000_000
-#: About so many words make one block of documents.
-PER_BLOCK = 1_500_000
-#: Documents from which frequent words and pairs are guessed; their counts are taken over all documents.
-SAMPLE_DOCS = 2000
-#: Marks of a text's two ends.  Six bytes of a word's hash are kept; these two values are left free.
-START, END = np.uint64(1), np.uint64(0)
-WORD_MASK = np.uint64((1 << 48) - 1)
-ROW = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary"
-HEAD, PAIRS, COUNTS, BACK, SUMS = range(5)
 
+def _grams(numbered: DataFrame) -> DataFrame:
+    """Rows (rid, u, v, w): every word with the two before it, as 64-bit hashes; null before the text begins."""
+    words = F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w))
+    before = lambda n: F.concat(F.array_repeat(F.lit(None).cast("long"), n), F.col("ws"))
+    rows = numbered.select("rid", words.alias("ws"))
+    rows = rows.select("rid", F.explode(F.arrays_zip(F.col("ws").alias("w"), before(1).alias("v"), before(2).alias("u"))).alias("g"))
+    return rows.select("rid", "g.u", "g.v", "g.w").where("w is not null")
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def frequent(numbered: DataFrame, n_docs: int) -> DataFrame:
+    """The hashes (g) of n-grams of any order that many documents of a bounded sample hold; MOST_FREQUENT at most."""
+    sample = numbered.where(F.pmod(F.xxhash64("rid"), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0)
+    keys = F.array(F.xxhash64("w"), F.when(F.col("v").isNotNull(), F.xxhash64("v", "w")), F.when(F.col("u").isNotNull(), F.xxhash64("u", "v", "w")))
+    held = _grams(sample).select("rid", F.explode(keys).alias("g")).where("g is not null").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
+    least = max(4, int(FREQUENT * min(n_docs, SAMPLE_DOCS)))
+    return held.where(F.col("docs") >= least).orderBy(F.desc("docs"), "g").limit(MOST_FREQUENT).select("g")
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(_mix(a) ^ (b * np.uint64(0x9E3779B97F4A7C15)))
 
+def _counted(rows: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """Rows (rid, *key, n, c, s) -> one row a document and n-gram: own (its occurrences there), others (those in all other
+    documents), back and context (how many words ask for it as their n-gram or as what precedes them), s (what is scored so far).
 
-def _six(words: np.ndarray) -> bytes:
-    """The low six bytes of each."""
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _small(values: np.ndarray) -> bytes:
-    """Unsigned integers in the least width that holds them, which the first byte names."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
-
-
-def _from_small(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value of each wanted key, 0 where it is unknown; keys are sorted."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
-
-
-def _blocks(batches, column: int):
-    """Word hashes of blocks of documents: (first row, last row, batch, flat, lengths)."""
-    for batch in batches:
-        tokens = batch.column(column)
-        offsets = tokens.offsets.to_numpy().astype(np.int64)
-        lengths = np.diff(offsets)
-        flat = tokens.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].view(np.uint64) & WORD_MASK
-        flat = np.where(flat <= START, flat + np.uint64(2), flat)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        lo = 0
-        while lo < len(lengths):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PER_BLOCK, side="right")) - 1)
-            yield lo, hi, batch, flat[ends[lo]:ends[hi]], lengths[lo:hi]
-            lo = hi
-
-
-def _bigrams(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, second word, document) of every neighbouring pair with the ends marked; texts without words have none."""
-    doc = np.flatnonzero(lengths)
-    n = lengths[doc]
-    at = np.cumsum(n + 1) - (n + 1)
-    total = int((n + 1).sum())
-    first = np.empty(total, np.uint64)
-    inner = np.ones(total, bool)
-    inner[at] = False
-    first[at], first[inner] = START, flat
-    second = np.empty(total, np.uint64)
-    last = at + n
-    inner = np.ones(total, bool)
-    inner[last] = False
-    second[last], second[inner] = END, flat
-    return first, second, np.repeat(doc, n + 1)
-
-
-class Frequent:
-    """Words and pairs whose exact counts every task knows; total and texts are the words and texts of the corpus."""
-
-    def __init__(self, words, word_counts, pairs, pair_counts, total, parts):
-        self.words, self.word_counts, self.pairs, self.pair_counts, self.total, self.parts = words, word_counts, pairs, pair_counts, total, parts
-
-    def count(self, words: np.ndarray) -> np.ndarray:
-        return _lookup(self.words, self.word_counts, words)
-
-
-def _scores(c12: np.ndarray, c1: np.ndarray) -> np.ndarray:
-    return np.log(c12) - np.log(c1)
-
-
-def _deal(frequent: Frequent, batches):
-    """Documents -> what frequent pairs score, by block, and all other bigrams by the partition of their first word."""
-    seq, task = 0, TaskContext.get().partitionId()
-    for lo, hi, batch, flat, lengths in _blocks(batches, 1):
-        block, seq = (task << 32) | seq, seq + 1
-        first, second, doc = _bigrams(flat, lengths)
-        known = _lookup(frequent.pairs, frequent.pair_counts, _pair(first, second)) if len(frequent.pairs) else np.zeros(len(first), np.int64)
-        done = known >= MIN_COUNT
-        use = done & (second != END)
-        sums = np.bincount(doc[use], _scores(known[use], frequent.count(first[use])), hi - lo) if use.any() else np.zeros(hi - lo)
-        ids = batch.column(0)[lo:hi].cast(pa.int64())
-        yield [int(_mix(np.array([block], np.uint64))[0] % np.uint64(frequent.parts)), HEAD, block, ids.fill_null(0).to_numpy().tobytes(),
-               _small(np.asarray(ids.is_null()).astype(np.int64)), _small(lengths), sums.tobytes(), b""]
-        first, second, doc = first[~done], second[~done], doc[~done]
-        often = frequent.count(first) > 0
-        part = (np.where(often, _pair(first, second), _mix(first)) % np.uint64(frequent.parts)).astype(np.int64)
-        by = np.lexsort((first, part))
-        first, second, doc, part = first[by], second[by], doc[by], part[by]
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.array([0])
-        for x, y in zip(edges[:-1], edges[1:]):
-            context, counts = np.unique(first[x:y], return_counts=True)
-            follow, which = np.unique(second[x:y], return_inverse=True)
-            yield [int(part[x]), PAIRS, block, _six(context), _small(counts), _six(follow), _small(which), _small(doc[x:y])]
-
-
-def _sum_rows(parts: int, blocks: np.ndarray, at: np.ndarray, doc: np.ndarray, value: np.ndarray):
-    """Sums of value by document as rows by block.  at: the place of a row's block in blocks."""
-    by = np.lexsort((doc, at))
-    at, doc, value = at[by], doc[by], value[by]
-    if not len(at):
-        return
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
-    starts = np.flatnonzero(new)
-    value, at, doc = np.add.reduceat(value, starts), at[starts], doc[starts]
-    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-    for x, y in zip(edges[:-1], edges[1:]):
-        block = int(blocks[at[x]])
-        yield [int(_mix(np.array([block], np.uint64))[0] % np.uint64(parts)), SUMS, block, _small(np.diff(doc[x:y], prepend=0)), value[x:y].tobytes(), b"", b"", b""]
-
-
-def _count(frequent: Frequent, rows: list):
-    """One partition of bigrams -> sums of seen bigrams, its table of word counts, and words to back off to."""
-    kept = [r for r in rows if r["kind"] == PAIRS]
-    for r in rows:
-        if r["kind"] != PAIRS:
-            yield [r["part"], r["kind"], r["block"], r["a"], r["b"], r["c"], r["d"], r["e"]]
-    if not kept:
-        return
-    blocks, at = np.unique(np.array([r["block"] for r in kept], np.int64), return_inverse=True)
-    first = np.concatenate([np.repeat(_from_six(r["a"]), _from_small(r["b"])) for r in kept])
-    second = np.concatenate([_from_six(r["c"])[_from_small(r["d"])] for r in kept])
-    docs = [_from_small(r["e"]).astype(np.int32) for r in kept]
-    at, doc = np.repeat(at.astype(np.int32), [len(d) for d in docs]), np.concatenate(docs)
-    del docs, kept[1:]
-    by = np.lexsort((second, first))
-    first, second, at, doc = first[by], second[by], at[by], doc[by]
-    own = np.concatenate([[True], first[1:] != first[:-1]])
-    pair = own | np.concatenate([[True], second[1:] != second[:-1]])
-    own_at, pair_at = np.flatnonzero(own), np.flatnonzero(pair)
-    n1, n12 = np.diff(own_at, append=len(first)), np.diff(pair_at, append=len(first))
-    words = first[own_at]
-    known = frequent.count(words)
-    del by
-    c1 = np.repeat(np.where(known > 0, known, n1), n1)
-    c12 = np.repeat(n12, n12)
-    table = (known == 0) & (words != START)
-    if table.any():
-        yield [int(kept[0]["part"]), COUNTS, 0, _six(words[table]), _small(n1[table]), b"", b"", b""]
-    said = second != END
-    seen = said & (c12 >= MIN_COUNT)
-    back = said & ~seen
-    value = np.zeros(len(first))
-    value[seen] = _scores(c12[seen], c1[seen])
-    far = frequent.count(second)
-    near = back & (far > 0)
-    value[near] = np.log(ALPHA) + np.log(far[near]) - np.log(frequent.total)
-    use = seen | near
-    yield from _sum_rows(frequent.parts, blocks, at[use], doc[use], value[use])
-    rest = back & ~near
-    word, at, doc = second[rest], at[rest], doc[rest]
-    part = (_mix(word) % np.uint64(frequent.parts)).astype(np.int64)
-    by = np.lexsort((doc, at, part))
-    word, at, doc, part = word[by], at[by], doc[by], part[by]
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.array([0])
-    for x, y in zip(edges[:-1], edges[1:]):
-        there, sizes = np.unique(at[x:y], return_counts=True)
-        steps = np.diff(doc[x:y], prepend=0)
-        heads = np.cumsum(sizes) - sizes
-        steps[heads] = doc[x:y][heads]
-        yield [int(part[x]), BACK, 0, _six(word[x:y]), blocks[there].tobytes(), _small(sizes), _small(steps), b""]
-
-
-def _back_off(frequent: Frequent, rows: list):
-    """One partition of word counts and of words to back off to -> sums by block; what is summed already passes."""
-    words = [np.empty(0, np.uint64)]
-    counts = [np.empty(0, np.int64)]
-    for r in rows:
-        if r["kind"] in (HEAD, SUMS):
-            yield [r["part"], r["kind"], r["block"], r["a"], r["b"], r["c"], r["d"], r["e"]]
-        elif r["kind"] == COUNTS:
-            words.append(_from_six(r["a"]))
-            counts.append(_from_small(r["b"]))
-    words, counts = np.concatenate(words), np.concatenate(counts)
-    by = np.argsort(words)
-    words, counts = words[by], counts[by]
-    got: defaultdict[int, list] = defaultdict(list)
-    for r in rows:
-        if r["kind"] != BACK:
-            continue
-        value = np.log(ALPHA) + np.log(_lookup(words, counts, _from_six(r["a"]))) - np.log(frequent.total)
-        sizes, steps = _from_small(r["c"]), _from_small(r["d"])
-        heads = np.cumsum(sizes) - sizes
-        doc = np.cumsum(steps)
-        doc -= np.repeat(np.concatenate([[0], doc[heads[1:] - 1]]) if len(heads) else doc[:0], sizes)
-        for block, x, n in zip(np.frombuffer(r["b"], np.int64), heads, sizes):
-            got[int(block)].append((doc[x:x + n], value[x:x + n]))
-    for block, pieces in got.items():
-        doc, value = (np.concatenate(p) for p in zip(*pieces))
-        yield from _sum_rows(frequent.parts, np.array([block]), np.zeros(len(doc), int), doc, value)
-
-
-def _finish(rows: list):
-    """The rows of one block -> (doc_id, words, score) of its documents."""
-    head = next(r for r in rows if r["kind"] == HEAD)
-    ids, null, lengths = np.frombuffer(head["a"], np.int64), _from_small(head["b"]).astype(bool), _from_small(head["c"])
-    total = np.frombuffer(head["d"], np.float64).copy()
-    # In a fixed order, so that reruns agree to the last digit.
-    for r in sorted((r for r in rows if r["kind"] == SUMS), key=lambda r: (r["a"], r["b"])):
-        total[np.cumsum(_from_small(r["a"]))] += np.frombuffer(r["b"], np.float64)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(lengths, pa.int64()), pa.array(total, pa.float64())],
-                                      ["doc_id", "n_words", "total"])
-
-
-def _as_batches(rows, size: int = 64):
-    names = ["part", "kind", "block", "a", "b", "c", "d", "e"]
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-
-
-def _table(rows) -> pa.Table:
-    names = ["part", "kind", "block", "a", "b", "c", "d", "e"]
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    rows = list(rows)
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
-
-
-def frequent_counts(tokens: DataFrame, n_docs: int) -> tuple:
-    """What Frequent takes: words and pairs that a sample shows to be frequent, with their exact counts over all documents.
-
-    The lists hold at most 16 x partitions entries each.  What they miss is only dealt less evenly; no score depends on them.
+    The n-grams of all documents are dealt out by hash, frequent ones by document besides; where they meet, they are counted by
+    document, and the sum over documents is the count table that every document's row is joined with: a window for most, and
+    for frequent ones a table of their sums, which holds no more than MOST_FREQUENT rows.
     """
-    every = max(1, n_docs // SAMPLE_DOCS)
-    sample = tokens.where(F.pmod(F.xxhash64("doc_id", F.size("tokens")), F.lit(every)) == 0).select("tokens").limit(2 * SAMPLE_DOCS).toArrow()
-    shown = [np.array([], np.uint64)], [np.array([], np.uint64)]
-    n_sample = 0
-    for _, _, _, flat, lengths in _blocks(sample.to_batches(), 0):
-        first, second, _ = _bigrams(flat, lengths)
-        shown[0].append(first)
-        shown[1].append(_pair(first, second))
-        n_sample += len(lengths)
-    firsts, pairs = (np.concatenate(x) for x in shown)
-    words_in_all = len(firsts) / max(n_sample, 1) * n_docs
-    parts = int(max(4, np.ceil(words_in_all / PER_PARTITION)))
-    least = max(4, len(firsts) / (16 * parts))
-    u, n = np.unique(firsts, return_counts=True)
-    hot = np.union1d(u[n >= least], [START])
-    v, n = np.unique(pairs, return_counts=True)
-    hot_pairs = v[n >= least]
-
-    def run(batches):
-        word_counts, pair_counts, total = np.zeros(len(hot), np.int64), np.zeros(len(hot_pairs), np.int64), 0
-        for _, _, _, flat, lengths in _blocks(batches, 0):
-            first, second, _ = _bigrams(flat, lengths)
-            total += len(flat)
-            for keys, counts, x in ((hot, word_counts, first), (hot_pairs, pair_counts, _pair(first, second))):
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                    counts += np.bincount(at[keys[at] == x], minlength=len(keys))
-        out = np.concatenate([[total], word_counts, pair_counts])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int64()), pa.array(out, pa.int64())], ["i", "n"])
-
-    counted = tokens.select("tokens").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(1 + len(hot) + len(hot_pairs), np.int64)
-    n[counted["i"].to_numpy()] = counted["n"].to_numpy()
-    # The first word of a frequent pair is at least as frequent, so its count is known as well.
-    return hot, n[1:1 + len(hot)], hot_pairs, n[1 + len(hot):], int(n[0]), parts
+    n, c = F.col("n"), F.col("c")
+    rows = rows.join(F.broadcast(hot), F.xxhash64(*key) == F.col("g"), "left")
+    rows = rows.withColumn("salt", F.when(F.col("g").isNotNull(), F.pmod("rid", F.lit(SALTS))).otherwise(-1)).drop("g")
+    by_doc = rows.repartition(*key, "salt").groupBy(*key, "salt", "rid").agg(
+        F.sum(F.when(c != CONTEXT, n).otherwise(0)).alias("own"), F.sum(F.when(c.isin(BACK, ENTRY), n).otherwise(0)).alias("back"),
+        F.sum(F.when(c == CONTEXT, n).otherwise(0)).alias("context"),
+        F.sum(F.col("s") + F.when(c > 0, n * F.log(c.cast("double"))).when(c == BACK, n * math.log(ALPHA)).otherwise(0.0)).alias("s"))
+    table = by_doc.where("salt >= 0").groupBy(*key).agg(F.sum("own").alias("all_own"))
+    table = table.select(*[F.col(k).alias(f"t_{k}") for k in key], "all_own")
+    here = F.sum("own").over(Window.partitionBy(*key, "salt"))
+    out = by_doc.withColumn("here", here).join(F.broadcast(table), [F.col(k) == F.col(f"t_{k}") for k in key], "left")
+    return out.select("rid", *key, "own", "back", "context", "s", (F.coalesce("all_own", "here") - F.col("own")).alias("others"))
+
+
+def _next(counted: DataFrame, own: list[str], before: list[str]) -> DataFrame:
+    """What the n-grams one word shorter are asked for: `own` backs off if no other document has the longer one; else the score is divided by `before`.
+
+    The row of `own` also counts the n-gram itself, and carries the scores.
+    """
+    seen = F.col("others") > 0
+    score = F.col("s") + F.when(seen, F.col("back") * F.log(F.col("others").cast("double"))).otherwise(0.0) - F.when(
+        F.col("context") > 0, F.col("context") * F.log(F.col("others").cast("double"))).otherwise(0.0)
+    rows = F.array(
+        # Words that need nothing more of the shorter n-gram only count it.
+        F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(own)], (F.col("own") - F.when(seen, 0).otherwise(F.col("back"))).alias("n"), F.lit(1).alias("c"), score.alias("s")),
+        F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(own)], F.when(seen, 0).otherwise(F.col("back")).alias("n"), F.lit(BACK).alias("c"), F.lit(0.0).alias("s")),
+        F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(before)], F.when(seen, F.col("back")).otherwise(0).alias("n"), F.lit(CONTEXT).alias("c"), F.lit(0.0).alias("s")))
+    out = counted.select("rid", F.explode(F.filter(rows, lambda r: (r["n"] > 0) | (r["s"] != 0))).alias("r"))
+    return out.select("rid", *[F.col(f"r.k{i}") for i in range(len(own))], "r.n", "r.c", "r.s")
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, log_score, mean_log_score, by a bigram model of docs itself.
+    """Per row of docs (doc_id, text): doc_id, n_words, log_score, mean_log_score, by a model of all other rows of docs.
 
-    Words are lower-cased and separated by white space.  The score of a word after another is count(pair) / count(first)
-    where the pair occurs MIN_COUNT times or more in the corpus, else ALPHA x count(word) / words of the corpus; a text begins
-    after a start mark, whose count is the number of texts with words.  log_score is the sum over the text.
-    Null and empty texts have no words, log_score 0 and a null mean; null ids pass through; rows that repeat are counted and
-    scored each; no rows give no rows.
+    Words are lower-cased and separated by white space.  Counts are those of all documents without the scored one's own.  A word scores
+    count(u v w) / count(u v) where other documents have the trigram, else ALPHA x count(v w) / count(v) where they have that, else
+    ALPHA x count(w) / words; a word that no other document has scores ALPHA / words.  The first word of a text has no n-gram
+    but itself, the second a bigram.  log_score is the sum of logarithms over the text.
 
-    Bigrams travel in blocks to the partition of their first word, where pairs and first words are counted; pairs below
-    MIN_COUNT go on to the partition of their second word; sums come back by block.  Frequent words are dealt by the pair
-    and frequent pairs are scored where they are, both from exact counts taken beforehand.
+    Trigrams, bigrams and words are dealt out by hash in turn.  At each step the n-grams meet with their counts, what is known adds to
+    the score, and the n-gram one word shorter is asked for what is left.
+    Null and empty texts have no words, log_score 0 and a null mean; null ids pass through; rows that repeat are documents of their
+    own, so each is known to the other; without other documents words / ALPHA is 1; no rows give no rows.
     """
-    docs = docs.select("doc_id", F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)).alias("tokens"))
-    n_docs = docs.select("doc_id").count()
-    args = frequent_counts(docs, n_docs)
-    hot, hot_n, hot_pairs, hot_pair_n, total, parts = args
-    held = docs.sparkSession.sparkContext.broadcast(args)
-
-    def deal(batches):
-        yield from _as_batches(_deal(Frequent(*held.value), batches))
-
-    def count(table: pa.Table) -> pa.Table:
-        return _table(_count(Frequent(*held.value), table.to_pylist()))
-
-    def back_off(table: pa.Table) -> pa.Table:
-        return _table(_back_off(Frequent(*held.value), table.to_pylist()))
-
-    def finish(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_finish(table.to_pylist())])
-
-    dealt = docs.mapInArrow(deal, ROW)
-    counted = dealt.groupBy("part").applyInArrow(count, ROW)
-    backed = counted.groupBy("part").applyInArrow(back_off, ROW)
-    done = backed.groupBy("block").applyInArrow(finish, "doc_id long, n_words long, total double")
-    return done.select("doc_id", "n_words", F.round("total", 6).alias("log_score"),
-                       F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6)).alias("mean_log_score"))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), "lm-texts")
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sizes = materialize(numbered.select("rid", "doc_id", size.alias("n_words")), "lm-sizes")
+    n_docs, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    hot = materialize(frequent(numbered, n_docs), "lm-frequent")
+    one, none = F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("s")
+
+    grams = _grams(numbered).withColumns({"n": F.lit(1).cast("long"), "c": F.lit(ENTRY), "s": F.lit(0.0)})
+    three = _counted(grams.where("u is not null"), ["u", "v", "w"], hot)
+    # The first two words of a text, split from the rest of it, enter at the orders they have.
+    head = numbered.select("rid", F.transform(F.slice(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+", 4), lambda w: w != ""), 1, 2), lambda w: F.xxhash64(w)).alias("h"))
+    second = head.where(F.size("h") > 1).select("rid", F.get("h", F.lit(0)).alias("k0"), F.get("h", F.lit(1)).alias("k1"), one, F.lit(ENTRY).alias("c"), none)
+    two = _next(three, ["v", "w"], ["u", "v"]).unionByName(second)
+    two = _counted(two, ["k0", "k1"], hot)
+    first = head.where(F.size("h") > 0).select("rid", F.get("h", F.lit(0)).alias("k0"), one, F.lit(ENTRY).alias("c"), none)
+    words = _counted(_next(two, ["k1"], ["k0"]).unionByName(first), ["k0"], hot)
+    known = F.when(F.col("others") > 0, F.log(F.col("others").cast("double")))
+    sums = words.groupBy("rid").agg(
+        F.sum(F.col("s") + F.col("back") * F.coalesce(known, F.lit(math.log(ALPHA))) - F.when(F.col("context") > 0, F.col("context") * known).otherwise(0.0)).alias("s"),
+        F.sum("back").alias("by_word"))
+    others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
+    scored = sizes.join(sums, "rid", "left").withColumn("total", F.coalesce(F.col("s") - F.col("by_word") * others, F.lit(0.0)))
+    return scored.select("doc_id", "n_words", F.round("total", 6).alias("log_score"),
+                         F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6)).alias("mean_log_score"))

@@ -148,16 +148,23 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 t AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-b AS (SELECT rid, i, w, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), '') AS prev FROM t),
-uni AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-ctx AS (SELECT w, n FROM uni UNION ALL SELECT '', count(DISTINCT rid) FROM t),
-bi AS (SELECT prev, w, count(*) AS n FROM b GROUP BY prev, w),
-total AS (SELECT count(*)::DOUBLE AS n FROM t),
-s AS (SELECT rid, sum(CASE WHEN bi.n >= 2 THEN ln(bi.n::DOUBLE) - ln(ctx.n::DOUBLE) ELSE ln(0.4::DOUBLE) + ln(uni.n::DOUBLE) - ln(total.n) END) AS total,
-             count(*) AS n
-      FROM b JOIN bi ON bi.prev = b.prev AND bi.w = b.w JOIN ctx ON ctx.w = b.prev JOIN uni ON uni.w = b.w, total GROUP BY rid)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.total, 0.0::DOUBLE), 6) AS log_score,
-       round(s.total / s.n, 6) AS mean_log_score
+g AS (SELECT rid, w, lag(w) OVER k AS v, lag(w, 2) OVER k AS u FROM t WINDOW k AS (PARTITION BY rid ORDER BY i)),
+o1 AS (SELECT rid, w, count(*) AS o FROM g GROUP BY ALL), c1 AS (SELECT w, sum(o) AS c FROM o1 GROUP BY ALL),
+o2 AS (SELECT rid, v, w, count(*) AS o FROM g WHERE v IS NOT NULL GROUP BY ALL), c2 AS (SELECT v, w, sum(o) AS c FROM o2 GROUP BY ALL),
+o3 AS (SELECT rid, u, v, w, count(*) AS o FROM g WHERE u IS NOT NULL GROUP BY ALL), c3 AS (SELECT u, v, w, sum(o) AS c FROM o3 GROUP BY ALL),
+r1 AS (SELECT rid, w, (c - o)::DOUBLE AS n FROM o1 JOIN c1 USING (w)),
+r2 AS (SELECT rid, v, w, (c - o)::DOUBLE AS n FROM o2 JOIN c2 USING (v, w)),
+r3 AS (SELECT rid, u, v, w, (c - o)::DOUBLE AS n FROM o3 JOIN c3 USING (u, v, w)),
+x AS (SELECT g.rid, g.u, g.v, r3.n AS n3, r2.n AS n2, r1.n AS n1, b2.n AS b2, b1.n AS b1 FROM g
+      JOIN r1 ON r1.rid = g.rid AND r1.w = g.w LEFT JOIN r2 ON r2.rid = g.rid AND r2.v = g.v AND r2.w = g.w
+      LEFT JOIN r3 ON r3.rid = g.rid AND r3.u = g.u AND r3.v = g.v AND r3.w = g.w
+      LEFT JOIN r2 b2 ON b2.rid = g.rid AND b2.v = g.u AND b2.w = g.v LEFT JOIN r1 b1 ON b1.rid = g.rid AND b1.w = g.v),
+s AS (SELECT x.rid, sum(CASE WHEN n3 > 0 THEN ln(n3) - ln(b2) ELSE CASE WHEN u IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+             + CASE WHEN n2 > 0 THEN ln(n2) - ln(b1) ELSE CASE WHEN v IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+             + CASE WHEN n1 > 0 THEN ln(n1) ELSE ln(0.4::DOUBLE) END - ln(greatest((SELECT count(*) FROM t) - len(ws), 1)::DOUBLE) END END) AS total
+      FROM x JOIN d USING (rid) GROUP BY x.rid)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s.total, 0.0::DOUBLE), 6) AS log_score,
+       CASE WHEN len(ws) > 0 THEN round(s.total / len(ws), 6) END AS mean_log_score
 FROM d LEFT JOIN s ON d.rid = s.rid
 """,
     "op10_url_filters": r"""

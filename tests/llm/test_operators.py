@@ -448,27 +448,43 @@ def test_odd_mix(odd, none):
 
 
 def scores_by_hand(rows):
-    """rows: (doc_id, text).  Bigrams with a start mark, those of two or more in the corpus, else the word by itself."""
+    """rows: (doc_id, text).  Each is scored by the counts of all others, from three words down."""
     words = [(t or "").lower().split() for _, t in rows]
-    uni, bi = Counter(w for ws in words for w in ws), Counter(p for ws in words if ws for p in zip([None, *ws], ws))
-    uni_total = sum(uni.values())
-    first = Counter({**uni, None: sum(1 for ws in words if ws)})
-    return [(d, len(ws), sum(np.log(bi[p] / first[p[0]]) if bi[p] >= 2 else np.log(0.4 * uni[p[1]] / uni_total) for p in zip([None, *ws], ws))) for (d, _), ws in zip(rows, words)]
+    grams = lambda ws, k: Counter(tuple(ws[i:i + k]) for i in range(len(ws) - k + 1))
+    every = sum((grams(ws, k) for ws in words for k in (1, 2, 3)), Counter())
+    total, out = sum(map(len, words)), []
+    for (d, _), ws in zip(rows, words):
+        own = sum((grams(ws, k) for k in (1, 2, 3)), Counter())
+        rest = lambda g: every[g] - own[g]
+        value = 0.0
+        for i in range(len(ws)):
+            g = tuple(ws[max(0, i - 2):i + 1])
+            while len(g) > 1 and not rest(g):
+                g, value = g[1:], value + np.log(0.4)
+            value += np.log(rest(g) / rest(g[:-1])) if len(g) > 1 else np.log(max(rest(g), 0.4) / max(total - len(ws), 1))
+        out.append((d, len(ws), value))
+    return out
 
 
-@pytest.mark.parametrize("block,partition", [(1_500_000, 2_000_000), (300, 200)])
-def test_scores_equal_brute_force(spark, monkeypatch, block, partition):
-    monkeypatch.setattr(lm, "PER_BLOCK", block)
-    monkeypatch.setattr(lm, "PER_PARTITION", partition)
-    monkeypatch.setattr(lm, "SAMPLE_DOCS", 20)
+@pytest.mark.parametrize("frequent,salts", [(0.02, 64), (0.3, 3), (2.0, 1)])
+def test_scores_equal_brute_force(spark, monkeypatch, frequent, salts):
+    """Whichever n-grams are dealt out by document."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "SALTS", salts)
     r = random.Random(6)
-    rows = [(i, " ".join(r.choice("a b c d the of x1 x2 x3 x4 x5 x6 x7 x8".split()) for _ in range(r.randint(0, 40)))) for i in range(150)] + [(500, None), (None, "a b c"), (3, "a b"), (3, "a b")]
+    rows = [(i, " ".join(r.choice("a b c d the of x1 x2 x3 x4 x5 x6 x7 x8".split()) for _ in range(r.randint(0, 40)))) for i in range(150)]
+    rows += [(500, None), (None, "a b c"), (3, "a b"), (3, "a b"), (600, "never seen"), (601, "  One"), (602, "\tThe of\n"), (603, "x1 x1 x1 x1 x1")]
     got = sorted(((x["doc_id"] if x["doc_id"] is not None else -1, x["n_words"], x["log_score"]) for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     wanted = sorted((d if d is not None else -1, n, s) for d, n, s in scores_by_hand(rows))
     assert [g[:2] for g in got] == [w[:2] for w in wanted]
     np.testing.assert_allclose([g[2] for g in got], [w[2] for w in wanted], atol=2e-6)
 
 
+def test_a_single_document_has_no_model(spark):
+    got = lm.score(spark.createDataFrame([(1, "a b c")], "doc_id string, text string")).first()
+    assert got["log_score"] == pytest.approx(6 * np.log(0.4), abs=1e-5)
+
+
 def test_odd_scores(odd, none):
     got = lm.score(clashing(odd)).collect()
     assert len(got) == odd.count() and lm.score(none).count() == 0
