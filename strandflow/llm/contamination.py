@@ -1,4 +1,4 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, block-max pruning, overlap verification."""
+"""Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND, and overlap verification."""
 
 from __future__ import annotations
 
@@ -23,8 +23,10 @@ STRIDE, WINDOWS = 32, 3
 MAX_ITEMS = 2_000
 #: Items of one block, for which the largest weight of each term is kept.
 BLOCK = 4
-#: Part of what a block needs that its frequent terms may add.
+#: Part of what an item needs that its frequent terms may add.
 SPARE = 0.5
+#: Words that are searched at once; a longer text is searched piece by piece.
+CHUNK = 200_000
 #: Part of its own score that an item must reach in a passage, and of its question's and answer's 3-grams that must occur.
 RETRIEVE, VERIFY, GRAM = 0.5, 0.6, 3
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -32,12 +34,14 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Index:
-    """Postings of test items by term, with the largest weight of a term in each block of items.
-
-    item_ids in the order of what they need; terms: sorted word hashes; ptr, items, weights: postings by term;
-    block_ptr, blocks, block_max: by term the blocks for which it is essential, with its largest weight there; need: the score an
-    item must reach; least: what the essential terms must add for any item of a block; questions, answers: word hashes by item;
-    strides: the words of a window by item.
+    """Postings of test items by term, all of them and those of essential terms, with block maxima of the latter.
+
+    item_ids in the order of what they need; terms: sorted word hashes; term t has the postings ptr[t] to ptr[t + 1] of items and
+    weights, by item.  An item's frequent terms, which can't lift it over what it needs, have no essential posting:
+    e_ptr, e_items, e_weights are the others, e_max the largest weight of a term, and of_blocks and block_max, at b_ptr[t] to
+    b_ptr[t + 1], the blocks of a term's essential postings with the largest weight there.  need: the score an item must reach;
+    least: what essential terms must add to any item from this one on.  questions, answers: word hashes by item; strides: the words
+    of a window by item.
     """
 
     item_ids: np.ndarray
@@ -45,8 +49,12 @@ class Index:
     ptr: np.ndarray
     items: np.ndarray
     weights: np.ndarray
-    block_ptr: np.ndarray
-    blocks: np.ndarray
+    e_ptr: np.ndarray
+    e_items: np.ndarray
+    e_weights: np.ndarray
+    e_max: np.ndarray
+    b_ptr: np.ndarray
+    of_blocks: np.ndarray
     block_max: np.ndarray
     need: np.ndarray
     least: np.ndarray
@@ -102,25 +110,25 @@ def build_index(ids: list, words: list[np.ndarray], answer_from: list[int], whol
     by = np.lexsort((rank[item], term))
     term, item, weight = term[by], rank[item][by], weight[by]
     need = RETRIEVE * own[order]
-    starts = np.arange(0, n, BLOCK)
-    least = need[starts]
-    # Frequent terms can't lift an item over what it needs by themselves.  For each block as many of them as may be are left
-    # out of its postings, and what they can add to any of its items is counted in advance.
-    block = item // BLOCK
-    cut, rest = np.full(len(starts), df.max(initial=0) + 1), np.zeros(len(starts))
-    open_ = np.ones(len(starts), bool)
-    for c in np.unique(df)[::-1]:
-        most = np.maximum.reduceat(np.bincount(item, weight * (df[term] >= c), n), starts)
-        open_ &= most <= SPARE * least
-        cut[open_], rest[open_] = c, most[open_]
-    kept = df[term] < cut[block]
-    cell, at = np.unique(term[kept] * len(starts) + block[kept], return_inverse=True)
+    # From the most frequent terms on, as many of an item's as may be are not essential; what they add at most is counted in advance.
+    often = np.lexsort((weight, -df[term], item))
+    so_far = np.cumsum(weight[often])
+    begins = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=n))])
+    so_far -= np.repeat(np.concatenate([[0], so_far])[begins[:-1]], np.diff(begins))
+    kept = np.ones(len(term), bool)
+    kept[often] = so_far > SPARE * need[item[often]]
+    rest = np.bincount(item, weight * ~kept, n)
+    least = np.minimum.accumulate((need - rest)[::-1])[::-1] * (1 - 1e-9) if n else need
+    ptr, e_ptr = (np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(terms)))]) for t in (term, term[kept]))
+    e_max = np.zeros(len(terms))
+    np.maximum.at(e_max, term[kept], weight[kept])
+    blocks = n // BLOCK + 1
+    cell, at = np.unique(term[kept] * blocks + item[kept] // BLOCK, return_inverse=True)
     block_max = np.zeros(len(cell))
     np.maximum.at(block_max, at, weight[kept])
-    block_ptr = np.concatenate([[0], np.cumsum(np.bincount(cell // len(starts), minlength=len(terms)))])
-    ptr = np.concatenate([[0], np.cumsum(held)])
+    b_ptr = np.concatenate([[0], np.cumsum(np.bincount(cell // blocks, minlength=len(terms)))])
     parts = [(w[:a], w[a:]) for w, a in zip(words, answer_from)]
-    return Index(np.array(ids, object)[order], terms, ptr, item, weight, block_ptr, cell % max(len(starts), 1), block_max, need, least - rest,
+    return Index(np.array(ids, object)[order], terms, ptr, item, weight, e_ptr, item[kept], weight[kept], e_max, b_ptr, cell % blocks, block_max, need, least,
                  [parts[i][0] for i in order], [parts[i][1] for i in order], np.array([stride_of(len(words[i])) for i in order], int))
 
 
@@ -138,62 +146,126 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _seek(keys: np.ndarray, ptr: np.ndarray, span: int, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The place of each term's first posting from an item on, the end of its postings if there is none; keys are term x span + item."""
+    return np.minimum(np.searchsorted(keys, term * span + item), ptr[term + 1])
+
+
+def wand(index: Index, query: np.ndarray, term: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score) of all wanted items that score what they need; (query, term) are the distinct terms of each query, by query.
+
+    Every essential term of a query has a cursor in its postings.  Of a query's cursors by their items, the pivot is the
+    first with which the largest weights so far reach what items from there on need; nothing before it can.  If the maxima
+    of the pivot's block don't reach it either, all cursors up to it go beyond that block, or to the item of the cursor behind the
+    pivot; else the item is scored with all its terms, and they go on by one.  Queries without a pivot are done.  One step is
+    taken for all queries at once.
+    """
+    n = len(index.item_ids)
+    span, blocks = n + 1, n // BLOCK + 1
+    keys, e_keys, b_keys = (np.repeat(np.arange(len(index.terms)), np.diff(p)) * w + i for p, w, i in (
+        (index.ptr, span, index.items), (index.e_ptr, span, index.e_items), (index.b_ptr, blocks, index.of_blocks)))
+    least = np.append(index.least, np.inf)
+    items = np.append(index.e_items, n)
+    first_term = np.searchsorted(query, np.arange((query[-1] if len(query) else 0) + 2))
+    own = index.e_ptr[term + 1] > index.e_ptr[term]
+    q, t = query[own], term[own]
+    at = index.e_ptr[t]
+    found: list = []
+    while len(q):
+        done = at >= index.e_ptr[t + 1]
+        q, t, at = q[~done], t[~done], at[~done]
+        here = items[at]
+        # By query and item; queries stay as they are in order.
+        by = np.argsort(q * span + here, kind="stable")
+        q, t, at, here = q[by], t[by], at[by], here[by]
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, int)
+        sizes = np.diff(np.append(starts, len(q)))
+        total = np.cumsum(index.e_max[t])
+        total -= np.repeat(total[starts] - index.e_max[t[starts]], sizes)
+        reached = np.flatnonzero(total * (1 + 1e-9) >= least[here])
+        _, first = np.unique(q[reached], return_index=True)
+        pivot = reached[first]
+        # Only what belongs to queries with a pivot goes on.
+        alive = np.zeros(len(starts), bool)
+        which = np.searchsorted(starts, pivot, "right") - 1
+        alive[which] = True
+        stays = np.repeat(alive, sizes)
+        place = np.cumsum(stays) - 1
+        q, t, at, here, pivot = q[stays], t[stays], at[stays], here[stays], place[pivot]
+        if not len(q):
+            break
+        starts, sizes = place[starts[alive]], sizes[alive]
+        group = np.repeat(np.arange(len(starts)), sizes)
+        goal = here[pivot]
+        upto = here <= goal[group]
+        cell = np.minimum(np.searchsorted(b_keys, t * blocks + goal[group] // BLOCK), len(b_keys) - 1)
+        there = (b_keys[cell] == t * blocks + goal[group] // BLOCK) & upto
+        bound = np.bincount(group, np.where(there, index.block_max[cell], 0), len(starts))
+        open_ = bound * (1 + 1e-9) >= least[goal]
+        after = np.full(len(starts), n)
+        np.minimum.at(after, group[~upto], here[~upto])
+        target = np.where(open_, goal + 1, np.minimum((goal // BLOCK + 1) * BLOCK, after))
+        who, what = q[starts][open_], goal[open_]
+        if len(who):
+            counts = first_term[who + 1] - first_term[who]
+            pair = np.repeat(np.arange(len(who)), counts)
+            terms = term[_ranges(first_term[who], counts)]
+            key = terms * span + what[pair]
+            post = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            score = np.bincount(pair, np.where(keys[post] == key, index.weights[post], 0), len(who))
+            hit = (score >= index.need[what] * (1 - 1e-9)) & (index.need[what] > 0) & wanted[what]
+            found.append((who[hit], what[hit], score[hit]))
+        behind = upto
+        at[behind] = _seek(e_keys, index.e_ptr, span, t[behind], target[group[behind]])
+    return tuple(np.concatenate([np.empty(0, kind), *[f[i] for f in found]]) for i, kind in enumerate((int, int, float)))
+
+
 def search(index: Index, flat: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(document, item, score, question overlap, answer overlap) of all verified hits, documents laid end to end.
 
-    For every passage and block of items the sum over its essential words of the block's largest weights, and what the
-    others can add at most, bounds the score of any item in it; only blocks whose bound reaches their smallest need are
-    scored, item by item.  Items of like length are searched for together, in passages as long as they need.
+    Every passage is a query for all items of like length, in passages as long as they need.  Memory is bounded by words: texts
+    are searched some passages at a time, whatever document they are of.
     """
+    hits: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(flat) or not len(index.item_ids):
         return []
-    return sorted(hit for stride in np.unique(index.strides) for hit in _search_by(index, flat, lengths, int(stride)))
-
-
-def _search_by(index: Index, flat: np.ndarray, lengths: np.ndarray, stride: int) -> list[tuple[int, int, float, float, float]]:
-    """search() for the items whose windows have `stride` words."""
-    mine = index.strides == stride
-    least = np.where(np.logical_or.reduceat(mine, np.arange(0, len(mine), BLOCK)), index.least, np.inf)
     at = np.searchsorted(index.terms, flat)
     at = np.where(index.terms[np.minimum(at, len(index.terms) - 1)] == flat, at, -1)
     starts = np.cumsum(lengths) - lengths
-    windows = -(-lengths // stride)
-    offset = np.cumsum(windows) - windows
-    doc_of = np.repeat(np.arange(len(lengths)), windows)
-    begin = starts[doc_of] + (np.arange(windows.sum()) - offset[doc_of]) * stride
-    n_blocks, in_blocks, in_items = len(index.least), np.diff(index.block_ptr), np.diff(index.ptr)
-    listed = np.where(at >= 0, in_blocks[at], 0)
-    known = np.flatnonzero(listed)
-    window_of = np.searchsorted(begin, known, side="right") - 1
-    hits: dict[tuple[int, int], tuple[float, float, float]] = {}
-    post = _ranges(index.block_ptr[at[known]], listed[known])
-    bound = np.bincount(np.repeat(window_of, listed[known]) * n_blocks + index.blocks[post], index.block_max[post], len(begin) * n_blocks).reshape(-1, n_blocks)
-    # A passage is WINDOWS neighbouring windows of one document; near the end it has fewer.
-    total = bound.copy()
-    for k in range(1, WINDOWS):
-        same = doc_of[:-k] == doc_of[k:]
-        total[:-k] += np.where(same[:, None], bound[k:], 0)
-    real = (np.arange(len(begin)) - offset[doc_of]) <= np.maximum(windows[doc_of] - WINDOWS, 0)
-    for w in np.flatnonzero(real & (total >= least * (1 - 1e-6)).any(1)):
-        d = doc_of[w]
-        lo, hi = begin[w], min(begin[w] + stride * WINDOWS, starts[d] + lengths[d])
-        seen = np.unique(at[lo:hi])
-        seen = seen[seen >= 0]
-        # Once more with every word counted once.
-        post = _ranges(index.block_ptr[seen], in_blocks[seen])
-        exact = np.bincount(index.blocks[post], index.block_max[post], n_blocks) >= least * (1 - 1e-6)
-        if not exact.any():
-            continue
-        posts = _ranges(index.ptr[seen], in_items[seen])
-        posts = posts[exact[index.items[posts] // BLOCK]]
-        score = np.bincount(index.items[posts], index.weights[posts], len(index.item_ids))
-        for i in np.flatnonzero((score >= index.need * (1 - 1e-9)) & (index.need > 0) & mine):
-            # Verified with a window to either side, so that no item is cut by the passage's ends.
-            around = flat[max(starts[d], lo - stride):min(starts[d] + lengths[d], hi + stride)]
-            q, a = overlap(index.questions[i], around), overlap(index.answers[i], around)
-            if q >= VERIFY and a >= VERIFY and score[i] > hits.get((d, i), (0,))[0]:
-                hits[d, i] = (float(score[i]), q, a)
-    return [(int(d), int(i), *v) for (d, i), v in hits.items()]
+    for stride in np.unique(index.strides).tolist():
+        windows = np.maximum(-(-lengths // stride) - WINDOWS + 1, 1) * (lengths > 0)
+        doc = np.repeat(np.arange(len(lengths)), windows)
+        begin = starts[doc] + (np.arange(windows.sum()) - (np.cumsum(windows) - windows)[doc]) * stride
+        end = np.minimum(begin + stride * WINDOWS, (starts + lengths)[doc])
+        per = max(1, CHUNK // (stride * WINDOWS))
+        for lo in range(0, len(doc), per):
+            _search_passages(index, flat, at, starts, lengths, doc[lo:lo + per], begin[lo:lo + per], end[lo:lo + per], stride, hits)
+    return sorted((int(d), int(i), *v) for (d, i), v in hits.items())
+
+
+def _search_passages(index: Index, flat, at, starts, lengths, doc, begin, end, stride: int, hits: dict) -> None:
+    """Adds to hits what the given passages hold, the best passage of each document and item."""
+    words = at[_ranges(begin, end - begin)]
+    query = np.repeat(np.arange(len(doc)), end - begin)[words >= 0]
+    pairs = np.unique(query * len(index.terms) + words[words >= 0])
+    query, term = pairs // len(index.terms), pairs % len(index.terms)
+    for w, i, score in zip(*wand(index, query, term, index.strides == stride)):
+        d = doc[w]
+        # Verified with a window to either side, so that no item is cut by the passage's ends.
+        around = flat[max(starts[d], begin[w] - stride):min(starts[d] + lengths[d], end[w] + stride)]
+        q, a = overlap(index.questions[i], around), overlap(index.answers[i], around)
+        if q >= VERIFY and a >= VERIFY and score > hits.get((d, i), (0,))[0]:
+            hits[d, i] = (float(score), q, a)
+
+
+def _pieces(lengths: np.ndarray):
+    """Ranges of documents of about CHUNK words together, one document at least."""
+    ends = np.cumsum(lengths)
+    lo = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _terms(text: Column) -> Column:
@@ -256,8 +328,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
                 flat = tokens.values.to_numpy(zero_copy_only=False)[tokens.offsets[0].as_py():].view(np.uint64)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 ids = batch.column(0)
-                for lo in range(0, len(lengths), 500):
-                    hi = min(lo + 500, len(lengths))
+                for lo, hi in _pieces(lengths):
                     got = search(index, flat[ends[lo]:ends[hi]], lengths[lo:hi])
                     if got:
                         d, i, s, q, a = zip(*got)

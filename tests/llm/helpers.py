@@ -31,5 +31,6 @@ def clashing(df):
     for name in ("k1", "k2", "h1", "pos", "line", "key", "words", "tokens", "score", "size", "u", "node", "fp", "_k1", "_drop", "_n", "_key", "_a", "row", "n_lines", "n_dropped", "copy_no", "copies", "extra", "taken",
                  "target", "source_size", "grade", "given", "digest", "w", "class_id", "class_size", "kept", "predicted", "item_id", "t", "n", "part", "spot", "in_doc_id",
                  "fingerprint", "edited", "next_text", "bucket", "rid", "total"):
-        df = df.withColumn(name, F.lit("x"))
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit("x"))
     return df
