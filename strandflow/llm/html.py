@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import random
 import re
 import sys
 from collections import Counter
@@ -22,10 +23,10 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split())
-#: Containers that are not the article by their name; header counts outside an article only.
+#: Elements that say of themselves that they aren't the article; header counts outside an article only.
 ASIDE = frozenset("nav aside footer form dialog menu head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class and id that name such containers.
+#: Words in class and id that often name such containers.  They are hints: what a container holds decides with them.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notification alert popup modal overlay newsletter subscribe subscription signup login register search share sharing "
@@ -39,6 +40,8 @@ BARE_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*+)([^<>]*+)>")
 ATTR = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++))""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADING = re.compile(r"h[1-6]$")
+#: What begins like a tag, or ends the page before it says what it begins.
+OPENS = re.compile(r"</?(?:[a-zA-Z]|\Z)")
 
 
 @dataclass
@@ -50,29 +53,31 @@ class Block:
     feats: dict = field(default_factory=dict)
 
 
-def _flagged(name: str, attrs: str, in_article: bool) -> bool:
+def _flagged(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element says that it is no part of the article, and whether its class or id hints at that."""
     if name in ASIDE or (name == "header" and not in_article):
-        return True
+        return True, False
     if not attrs or name in ("html", "body"):
-        return False
+        return False, False
+    hint = False
     for key, *values in ATTR.findall(attrs):
         value, key = next((v for v in values if v), ""), key.lower()
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in HINTS for w in NAME.findall(value)):
-            return not (in_article and {w.lower() for w in NAME.findall(value)} <= {"header", "post", "entry", "article"})
-        if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"\shidden(?=[\s/]|$)", attrs))
+        if key == "role" and value.lower() in ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
+            return True, hint
+        if key in ("class", "id"):
+            words = {w.lower() for w in NAME.findall(value)}
+            hint |= bool(words & HINTS) and not (in_article and words <= {"header", "post", "entry", "article"})
+    return bool(re.search(r"\shidden(?=[\s/]|$)", attrs)), hint
 
 
 def blocks(html: str) -> list[Block]:
     """Flat blocks of a page in order, white space made single, references decoded, each with its features.
 
-    One pass over the page with a stack of open elements; wrong nesting closes what it encloses.  An element that
-    encloses an article, main or h1 is no container of the kind above, whatever its name says.
+    One pass over the page with a stack of open elements; wrong nesting closes what it encloses.  Only void elements have no
+    content; a tag that the page's end cuts off is none of its text.  An element that encloses an article, main or h1 isn't hinted at,
+    whatever its name says.
     """
-    parent, flags, encloses, names = [-1], [False], [False], ["#"]
+    parent, flags, hints, encloses, names = [-1], [False], [False], [False], ["#"]
     stack, articles, opened, settled = [0], 0, Counter(), set()
     found: list[Block] = []
     text: list[str] = []
@@ -95,10 +100,12 @@ def blocks(html: str) -> list[Block]:
     i, n, pattern, last = 0, len(html), TAG, html.rfind(">")
     while i < n:
         j = html.find("<", i)
-        if j < 0 or (j > last and not html.startswith(("<!", "<?"), j)):
+        if j < 0:
             add(html[i:])
             break
         add(html[i:j])
+        if j > last and OPENS.match(html, j):
+            break
         if html.startswith("<!--", j):
             k = html.find("-->", j + 4)
             i = n if k < 0 else k + 3
@@ -133,13 +140,13 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            if not attrs.endswith("/"):
+            if not (name == "svg" and attrs.endswith("/")):
                 end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(html, i)
                 i = end.end() if end else n
             continue
         if name == "a":
             links = 1
-        if name in VOID or attrs.endswith("/") or name not in BLOCK:
+        if name in VOID or name not in BLOCK:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "body") or HEADING.match(name):
             close = {"body": "head"}.get(name, "p" if name not in ("li", "td", "th", "tr", "dt", "dd") else name)
@@ -156,7 +163,9 @@ def blocks(html: str) -> list[Block]:
                 if name != "h1" or names[x] in ("div", "section", "form", "main", "article", "header"):
                     encloses[x] = True
         parent.append(stack[-1])
-        flags.append(_flagged(name, attrs, articles > 0))
+        flag, hint = _flagged(name, attrs, articles > 0)
+        flags.append(flag)
+        hints.append(hint)
         encloses.append(False)
         names.append(name)
         stack.append(e)
@@ -164,16 +173,29 @@ def blocks(html: str) -> list[Block]:
         articles += name in ("article", "main")
     flush()
 
-    out, inside, depth = [False], [False], len(names)
-    for e in range(1, depth):
+    # By element: inside one that is no part of the article, inside an article, and the outermost one around it that is hinted at.
+    out, inside, hinted = [False], [False], [0]
+    for e in range(1, len(names)):
         out.append(out[parent[e]] or (flags[e] and not (encloses[e] and names[e] not in ("aside", "footer"))))
         inside.append(inside[parent[e]] or names[e] in ("article", "main"))
+        hinted.append(hinted[parent[e]] or (e if hints[e] and not encloses[e] else 0))
     page_has = any(inside)
     words = [len(b.text.split()) for b in found]
     density = [b.linked / w for b, w in zip(found, words)]
+    held, articles_held, plain, in_articles = Counter(), Counter(), 0, 0
+    for k, b in enumerate(found):
+        if not out[b.element]:
+            free = words[k] - b.linked
+            held[hinted[b.element]] += free
+            plain += free
+            articles_held[hinted[b.element]] += free * inside[b.element]
+            in_articles += free * inside[b.element]
     for k, b in enumerate(found):
+        around = hinted[b.element]
         b.feats = {
-            "outside": float(out[b.element]), "article": float(inside[b.element]), "page_has_article": float(page_has),
+            "outside": float(out[b.element]), "hinted": float(around > 0), "hinted_share": held[around] / plain if around and plain else 0.0,
+            "article_elsewhere": float(around > 0 and in_articles > articles_held[around]),
+            "article": float(inside[b.element]), "page_has_article": float(page_has),
             "heading": float(bool(HEADING.match(b.tag))), "item": float(b.tag in ("li", "td", "th", "dt", "dd")),
             "words": float(words[k]), "density": density[k],
             "words_before": float(words[k - 1]) if k else 0.0, "density_before": density[k - 1] if k else 0.0,
@@ -183,45 +205,102 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-FEATURES = ("outside", "article", "page_has_article", "heading", "item", "words", "density", "words_before", "density_before",
-            "words_after", "density_after")
-
-_LONG = "This sentence tells a reader something that only the story itself would say and goes on for a while. "
-#: The labelled table: small pages of our own; the blocks that start with + belong to the main text, those with - do not.
-LABELLED = [
-    "<nav><ul><li><a href=/a>- Home</a></li><li><a href=/b>- News</a></li></ul></nav><article><h1>+ A title</h1><p>+ " + _LONG * 2
-    + "</p><p>+ Short.</p><p>+ " + _LONG + "</p><ul><li>+ first point</li><li>+ second point</li></ul></article><footer>- &copy; somebody</footer>",
-    "<header><a href=/>- The site</a> - a slogan of a few words</header><main><h1>+ Title</h1><p>+ One.</p><p>+ <a href=x>+ all of it a link</a></p><p>+ "
-    + _LONG + "</p></main><aside><h2>- More</h2><p>- " + _LONG + "</p></aside><div class=cookie-notice>- We use cookies and other things to make this page better.</div>",
-    "<div class=menu><a href=1>- One</a> <a href=2>- Two</a></div><div id=content><h1>+ Title of the page</h1><p>+ " + _LONG * 3 + "</p><p>+ " + _LONG
-    + "</p><p>+ A short one here.</p><p>+ " + _LONG * 2 + "</p></div><div><a href=3>- Next</a> <a href=4>- Previous</a></div><p><a href=5>- Imprint</a></p>",
-    "<p><a href=1>- Start</a> | <a href=2>- Contact</a></p><h2>+ Heading</h2><p>+ " + _LONG + "</p><p>+ " + _LONG * 2 + "</p><p>+ Then <a href=3>this</a> came.</p><p>+ "
-    + _LONG + "</p><div class=comments><h3>- Comments</h3><p>- " + _LONG + "</p></div><div><a href=9>- About</a></div><div>- Login</div>",
-    "<article><h2>+ Heading</h2><p>+ A.</p><p>+ B c.</p><blockquote>+ " + _LONG + "</blockquote><div class=share>- Share this</div><form><p>- Your name and your address please</p></form>"
-    "<section id=comments><p>- " + _LONG * 2 + "</p></section></article><div class=sidebar><p>- " + _LONG + "</p><ul><li><a href=1>- Link</a></li></ul></div>",
-    "<div><a href=1>- A</a></div><div><a href=2>- B</a></div><div>+ " + _LONG * 4 + "</div><div>+ " + _LONG * 2 + "</div><div>- All rights reserved</div>",
-    "<table><tr><td><a href=1>- Home</a></td><td><a href=2>- Shop</a></td></tr></table><div>+ " + _LONG * 2 + "</div><table><tr><td>+ 12 of them</td><td>+ 14 of them</td></tr></table>"
-    "<div>+ " + _LONG * 2 + "</div><div class=advert>- " + _LONG + "</div>",
-    "<div class=ad>- Buy this now.</div><article><p>+ Only.</p></article><footer>- Us</footer>",
-    "<article><p>+ <a href=1>+ A link alone</a></p><table><tr><td>+ 1</td><td>+ 2</td></tr></table><nav><a href=1>- up</a></nav><footer>- by someone</footer></article>",
-    "<article><h1>+ T</h1><p>+ Only a few words stand here.</p><p>+</p><p>+ Two.</p><p>+</p><p>+</p><p>+ " + _LONG + "</p><p>+ The last words.</p></article>",
-    "<main><p>+ A few words first.</p><p>+</p><p>+ " + _LONG + "</p><p>+ End.</p><p><a href=1>+ a link</a></p><p><a href=1>+ a link of more words than that</a></p></main>",
-    "<main><p><a href=1>+</a></p><p>+</p></main><div>- Tail</div>", "<div>- Tail</div><article><p><a href=1>+ See it</a></p></article>",
-    "<article><h1>+ A title here</h1><p><a href=1>+ a link</a></p><p>+ " + _LONG + "</p></article>",
-    "<p>+ " + _LONG + "</p>", "<p>+ " + _LONG + "</p><p>+ " + _LONG + "</p>", "<h1>+ Title</h1><p>+ " + _LONG + "</p><p>+ Short end.</p><p>+ " + _LONG + "</p>",
-]
+FEATURES = ("outside", "hinted", "hinted_share", "article_elsewhere", "article", "page_has_article", "heading", "item", "words", "density",
+            "words_before", "density_before", "words_after", "density_after")
+
+#: Vocabulary of the labelled pages.
+SAID = ("the river rose before noon and people carried chairs to an upper floor where nobody had slept for years while somebody else counted boats "
+        "under a bridge that engineers had promised to repair after winter but money went into roads instead").split()
+NAMED = {
+    "advert": ("ad", "advert", "sponsored", "promo-box", "banner"), "notice": ("cookie-notice", "consent", "notice", "newsletter-signup", "popup"),
+    "comments": ("comments", "comment-list", "discussion", "replies"), "related": ("related", "recommended", "widget", "share-buttons", "tags"),
+    "menu": ("menu", "topnav", "breadcrumbs", "pagination", "sidebar"),
+    "wrapper": ("related-work", "newsletter-archive", "post-comments-policy", "widget-design", "banner-history", "notice-board", "social-history", "menu-of-the-day"),
+}
+
 
+def labelled_pages(pages: int = 240, seed: int = 5) -> list[str]:
+    """The labelled table: pages of our own making; blocks that start with + belong to the main text, those with - do not.
 
+    Articles are in article or main, in containers with any name or with none, or have hinting names themselves; around and in
+    them are menus, headers, adverts, notices, lists of links, comments longer and shorter than the article, forms and footers.
+    """
+    r = random.Random(seed)
+
+    def prose(least: int, most: int, mark: str = "+") -> str:
+        return f"{mark} {' '.join(r.choice(SAID) for _ in range(r.randint(least, most)))}."
+
+    def link(mark: str) -> str:
+        return f"<a href=/{r.randint(1, 99)}>{prose(1, 3, mark)}</a>"
+
+    def box(kind: str, inner: str, tags: tuple[str, ...] = ("div", "section")) -> str:
+        tag = r.choice(tags)
+        return f"<{tag} {r.choice(('class', 'id'))}={r.choice(NAMED[kind])}>{inner}</{tag}>"
+
+    def links(n: int) -> str:
+        return "<ul>" + "".join(f"<li>{link('-')}</li>" for _ in range(n)) + "</ul>"
+
+    def body(short: bool) -> str:
+        parts = [f"<h{r.randint(1, 3)}>{prose(2, 8)}</h{r.randint(1, 3)}>"] if r.random() < 0.7 else []
+        for _ in range(1 if short else r.randint(2, 7)):
+            kind = r.random()
+            if kind < 0.6:
+                parts.append(f"<p>{prose(8, 70)}</p>")
+            elif kind < 0.75:
+                parts.append(f"<p>{prose(1, 6)}</p>")
+            elif kind < 0.83:
+                parts.append("<ul>" + "".join(f"<li>{prose(2, 12)}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
+            elif kind < 0.88:
+                parts.append(f"<p>{link('+')}</p>" if not short else f"<p>{prose(8, 30)}</p>")
+            elif kind < 0.93:
+                parts.append("<table><tr>" + "".join(f"<td>{prose(1, 5)}</td>" for _ in range(3)) + "</tr></table>")
+            else:
+                parts.append(f"<blockquote>{prose(6, 40)}</blockquote>")
+        return "".join(parts)
+
+    def around() -> list[str]:
+        return [box("advert", prose(3, 20, "-")), box("notice", f"<p>{prose(5, 25, '-')}</p>"), box("related", f"<h4>{prose(1, 3, '-')}</h4>{links(3)}"),
+                box("related", prose(1, 5, "-")), f"<aside><h2>{prose(1, 3, '-')}</h2><p>{prose(8, 40, '-')}</p></aside>", box("menu", links(4)),
+                f"<form><p>{prose(3, 9, '-')}</p></form>", f"<div role=complementary>{prose(5, 30, '-')}</div>"]
+
+    def comments(most: int) -> str:
+        return box("comments", "".join(f"<p>{prose(5, 45, '-')}</p>" for _ in range(r.randint(1, most))))
+
+    out = []
+    for k in range(pages):
+        way = k % 6
+        short = r.random() < 0.3
+        top = r.choice((f"<nav>{links(r.randint(2, 6))}</nav>", f"<header>{link('-')} {prose(2, 6, '-')}</header>", f"<div>{link('-')} {link('-')}</div>" if way < 4 else "", ""))
+        foot = r.choice((f"<footer>{prose(2, 12, '-')}</footer>", box("menu", links(2)), ""))
+        extra = r.sample(around(), r.randint(0, 3))
+        main = body(short)
+        if way < 2:
+            tag = r.choice(("article", "main"))
+            inner = r.choice((box("advert", prose(3, 18, "-")), box("related", links(2)), comments(3), box("notice", prose(4, 20, "-")), "", ""))
+            page = f"<{tag}>{main}{inner}</{tag}>" + r.choice((comments(8), "", ""))
+        elif way == 2:
+            page = f"<div {r.choice(('class=content', 'id=main-text', 'class=page', ''))}>{main}</div>" + (comments(2) if not short else "")
+        elif way == 3:
+            page = main
+        elif way == 4:
+            # The article's own container has a name that hints at something else.
+            page, extra = box("wrapper", "".join(f"<p>{prose(12, 60)}</p>" for _ in range(1 if short else r.randint(2, 5)))), []
+            foot = f"<footer>{prose(2, 8, '-')}</footer>" if foot else ""
+        else:
+            page = f"<article>{r.choice((f'<h2>{prose(1, 4)}</h2>', ''))}<p>{prose(1, 5)}</p></article>" + comments(6)
+        r.shuffle(extra)
+        at = r.randint(0, len(extra))
+        out.append(top + "".join(extra[:at]) + page + "".join(extra[at:]) + foot)
+    return out
+
+
+@functools.cache
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    x, y = [], []
-    for page in LABELLED:
-        for b in blocks(page):
-            x.append([b.feats[f] for f in FEATURES])
-            y.append(b.text.startswith("+"))
-    return np.array(x), np.array(y)
+    found = [b for page in labelled_pages() for b in blocks(page)]
+    return np.array([[b.feats[f] for f in FEATURES] for b in found]), np.array([b.text.startswith("+") for b in found])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2):
     """A tree of (feature, threshold, left, right) with labels at its leaves; splits by Gini impurity, first best wins."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return bool(y.mean() >= 0.5)
@@ -267,10 +346,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Rows are independent of each other: null ids and urls pass through, null html is an empty page, repeated rows
     give repeated results, no rows give none.  Whole pages are read, whatever their length.
     """
-    kinds = dict(pages.dtypes)
+    kinds, node = dict(pages.dtypes), tree()
 
     def run(batches):
-        node = tree()
         for batch in batches:
             texts, n_blocks, n_kept = [], [], []
             for html in batch.column(2):

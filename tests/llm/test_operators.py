@@ -164,6 +164,31 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONE = "The only paragraph of this article says a few things about its subject and then it goes on for a while."
+
+
+@pytest.mark.parametrize("name", sorted(html.HINTS))
+def test_names_alone_reject_no_article(name):
+    """A container whose name hints at something else, around the only paragraph of an article."""
+    for page in (f"<div id={name}-work><p>{LONE}</p></div>", f"<nav><a href=/>Home</a></nav><section class='{name}-archive'><p>{LONE}</p></section><footer>us</footer>"):
+        assert html.main_text(page) == LONE
+
+
+def test_markup_stays_out():
+    """Scripts whose unquoted address ends in a slash, tags that the end of the page cuts off, elements closed as XML does it."""
+    assert html.main_text(f"<article><p>{LONE}</p><script src=/js/app/>alert(1)</script></article>") == LONE
+    assert html.main_text(f"<article><p>{LONE}</p><a href='x") == LONE
+    assert html.main_text(f"<article><p>{LONE} <a") == LONE
+    assert html.main_text(f"<nav class=/x/><p>{LONE}</p></nav><article><p>{LONE} Yes.</p></article>") == LONE + " Yes."
+    assert html.main_text(f"<article><p>{LONE} 3 < 4") == LONE + " 3 < 4"
+
+
+def test_held_out_pages():
+    """The tree on pages that it wasn't trained on."""
+    found = [b for page in html.labelled_pages(150, 77) for b in html.blocks(page)]
+    assert sum(html.is_content(html.tree(), [b.feats[f] for f in html.FEATURES]) == b.text.startswith("+") for b in found) >= 0.98 * len(found)
+
+
 def test_broken_pages_take_linear_time():
     import time
 
