@@ -179,7 +179,8 @@ us AS (SELECT DISTINCT u FROM (SELECT url AS u FROM pg UNION ALL SELECT b FROM l
 bare AS (SELECT u, regexp_replace(u, '(?s)#.*$', '') AS bare, regexp_extract(u, '(?s)^.*?://(.*)$', 1) AS rest FROM us),
 part AS (SELECT u, bare, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM bare),
-named AS (SELECT *, CASE WHEN contains(bare, '://') THEN lower(regexp_extract(bare, '(?s)^(.*?)://', 1)) || '://' || host || regexp_extract(bare, '(?s)^.*?://[^/?#]*(.*)$', 1) ELSE bare END AS node FROM part),
+named AS (SELECT *, CASE WHEN contains(bare, '://') THEN lower(regexp_extract(bare, '(?s)^(.*?)://', 1)) || '://' || host || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END ELSE bare END AS node
+          FROM (SELECT *, regexp_extract(bare, '(?s)^.*?://[^/?#]*(.*)$', 1) AS tail FROM part)),
 r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
                             ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS v(action, rhost, rpath)),
 ruled AS (SELECT u, node, host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action

@@ -549,3 +549,54 @@ def test_aliases(spark):
     more = spark.createDataFrame([("http://e.org/5", "http://d.org/4"), ("http://d.org/4", "http://z.net/fr/")], "a string, b string")
     got = {x["page_id"]: x["verdict"] for x in urls.filter_urls(df, RULES, redirects=more).collect()}
     assert got[4] == "allow" and got[3] == "allow" and got[5] == "allow"
+
+
+@pytest.mark.parametrize("html_text,links", [
+    ('<link rel=canonical href="b.html">', ["http://a.org/d/b.html"]), ('<link rel="shortlink Canonical" href="../x?y=1">', ["http://a.org/x?y=1"]), ("<link href='?id=3' rel='canonical'>", ["http://a.org/d/p?id=3"]),
+    ('<!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="//b.net/es/&#38;q&quot;">', ['http://b.net/es/&q"']), ('<script>"<link rel=canonical href=/no>"</script>', []), ("<!-- <link rel=canonical href=/no>", []),
+    ('<LINK REL=CANONICAL HREF=/one><link rel="canonical" href="/two">', ["http://a.org/one", "http://a.org/two"]), ('<link rel="stylesheet" href="/canonical.css">', []), ('<link rel="canonical" title=">" href="/gt">', ["http://a.org/gt"]),
+    ("""<meta http-equiv=refresh content="0; url='http://b.net/es/1'"><meta content='5;URL=z' http-equiv="Refresh">""", ["http://b.net/es/1", "http://a.org/d/z"]), ('<meta http-equiv="refresh" content="30">', []),
+    ('<base href="http://c.com/e/"><link rel="canonical" href="f">', ["http://c.com/e/f"]), ('<link rel="canonical" href="http://[bad">', []), ("<link rel=canonical", []), ('<div data-rel="canonical" href="/no"><link data-rel="canonical" href="/no">', [])])
+def test_links_of_pages(spark, html_text, links):
+    assert urls.links_of("http://a.org/d/p", html_text) == links
+    df = spark.createDataFrame([("http://a.org/d/p", html_text), (None, html_text), ("http://a.org/d/p", None)], "url string, html string")
+    assert [(r["a"], r["b"]) for r in urls.page_links(df).collect()] == [("http://a.org/d/p", x) for x in links]
+
+
+def test_a_large_graph_equals_brute_force(spark):
+    """Hubs, long chains, cycles and pairs of redirects, with blocked and allowed urls in them, against union-find."""
+    r = random.Random(12)
+    url = lambda i: f"http://h{i % 97}.{('org', 'net', 'com', 'info')[i % 4]}/{('es', 'x', 'y', 'fr')[(i // 4) % 4]}/{i}"
+    edges = [(0, i) for i in range(1, 1500)] + [(2000 + i, 2001 + i) for i in range(800)] + [(3000 + i, 3000 + (i + 1) % 50) for i in range(50)]
+    edges += [(4000 + i, 4000 + i // 2 * 2) for i in range(1000)] + [(r.randint(5000, 7000), r.randint(5000, 7000)) for _ in range(1200)]
+    head = list(range(7500))
+
+    def find(x):
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    for x, y in edges:
+        head[find(x)] = find(y)
+    own = {i: next((a for a, h, p in sorted(RULES, key=lambda q: -len(q[1] + q[2])) if url(i).split("/")[2].endswith(h) and ("/" + url(i).split("/", 3)[3]).startswith(p)), None) for i in range(7500)}
+    said: dict[int, set] = {}
+    for i in range(7500):
+        said.setdefault(find(i), set()).add(own[i])
+    wanted = {i: own[i] or ("allow" if "allow" in said[find(i)] else "block" if "block" in said[find(i)] else "allow") for i in range(7500)}
+    pages = spark.createDataFrame([(i, url(i)) for i in range(7500)], "page_id long, url string")
+    redirects = spark.createDataFrame([(url(x), url(y)) for x, y in edges], "a string, b string")
+    got = {x["page_id"]: x["verdict"] for x in urls.filter_urls(pages, RULES, redirects=redirects, html_col=None).collect()}
+    assert got == wanted and len(set(wanted.values())) == 2
+
+
+def test_many_rules_are_a_table(spark, monkeypatch):
+    """The same verdicts from an expression and from a table of rules, ties included."""
+    r = random.Random(3)
+    hosts = ["com", "a.com", "b.a.com", "x.org", "org", "y.x.org"]
+    rules = [(r.choice(("allow", "block")), h, p) for h in hosts for p in ("", "/", "/e", "/en/", "/en/x") if r.random() < 0.8]
+    pages = spark.createDataFrame([(i, f"http://{r.choice(['', 'w.', 'b.'])}{r.choice(hosts)}{r.choice(['', '/', '/e', '/en/x/1', '/fr'])}") for i in range(300)] + [(900, None)], "page_id long, url string")
+    few = {x["page_id"]: (x["rule"], x["verdict"]) for x in urls.filter_urls(pages, rules, html_col=None).collect()}
+    for most, sent in ((5, 200_000), (5, 5)):
+        monkeypatch.setattr(urls, "MAX_RULES", most)
+        monkeypatch.setattr(urls, "MAX_BROADCAST", sent)
+        assert {x["page_id"]: (x["rule"], x["verdict"]) for x in urls.filter_urls(pages, rules, html_col=None).collect()} == few
