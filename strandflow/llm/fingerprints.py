@@ -92,35 +92,54 @@ def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     return links.join(connected_components(pairs).withColumnRenamed("node", "fp"), "fp").select("fp", F.col("component").alias("class_fp"), "n_links")
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most: int = 2048) -> DataFrame:
+def _below(value: Column, cuts: list, kind: str, width: int = 100) -> Column:
+    """How many of the sorted cuts are less than value: first among every width-th of them, then among those in between."""
+    count = lambda among: F.size(F.filter(among, lambda c: c < value))
+    array = lambda values: F.array(*[F.lit(v).cast(kind) for v in values])
+    if len(cuts) <= width:
+        return count(array(cuts)) if cuts else F.lit(0)
+    rows = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    at = count(array([r[-1] for r in rows]))
+    return at * width + F.when(at < len(rows), count(F.element_at(F.array(*[array(r) for r in rows]), F.least(at + 1, F.lit(len(rows)))))).otherwise(0) - F.when(
+        at == len(rows), len(rows) * width - len(cuts)).otherwise(0)
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most: int = 8192, sampled: int = 40) -> DataFrame:
     """docs (doc_id, text) with next_text: the text of the next document by descending doc_id, after the last the first.
 
-    Quantiles of doc_id, a bounded list, cut the order into buckets; each is ordered on its own, and the first document of
-    every bucket, one row each, completes the bucket before it.  Of rows with one id the order is by a hash of the
-    text; null ids come last; a single row is its own next.
+    Quantiles of doc_id, of any type with an order, from a sample of some rows a bucket, cut the order into buckets of about
+    rows_per_bucket rows (of more, with `most` of them); each is sorted on its own, spilling what it can't hold.  The last document of
+    every bucket is joined with the first of the bucket behind it: one row a bucket on either side, and no text is broadcast.
+    Of rows with one id the order is by a hash of the text, so the many rows without an id are a bucket by that hash; null
+    ids come last; a single row is its own next.
     """
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    stats = ordered.agg(F.count(F.lit(1)).alias("n")).first()
-    n = int(max(1, min(most, stats["n"] // rows_per_bucket)))
-    cuts = ordered.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    # Buckets by descending id: 0 holds the largest ids, the last the nulls.
-    up = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    ordered = ordered.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - up))
+    rows = ordered.count()
+    n = int(max(1, min(most, rows // rows_per_bucket)))
+    kind = ordered.schema["doc_id"].dataType.simpleString()
+    cuts: list = []
+    if n > 1:
+        share = max(1, rows // (n * sampled))
+        ids = ordered.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(2 * n * sampled)
+        # A bounded number of ids.
+        found = sorted(r["doc_id"] for r in ids.collect())
+        cuts = sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
     ordered = ordered.withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    firsts = ordered.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("m"), "tie")).alias("f"))
-    firsts = firsts.select("bucket", F.col("f.m").alias("m"), F.col("f.tie").alias("tie"))
-    around = Window.partitionBy().orderBy("bucket")
-    firsts = firsts.withColumn("of", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy())))
-    # One row a bucket, at most `most` + 1 by construction: small enough to broadcast.
-    heads = (ordered.join(F.broadcast(firsts.select(F.col("bucket").alias("hb"), F.col("m").alias("hm"), F.col("tie").alias("ht"), "of")),
-                          (F.col("bucket") == F.col("hb")) & (-F.col("doc_id")).eqNullSafe(F.col("hm")) & (F.col("tie") == F.col("ht")))
-             .select("of", F.col("text").alias("head")).dropDuplicates(["of"]))
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    led = ordered.withColumn("led", F.lead("text").over(inside))
-    last = led.join(F.broadcast(heads.withColumnRenamed("of", "bucket")), "bucket", "left")
-    return last.select("doc_id", "text", F.coalesce("led", "head").alias("next_text"))
+    # Buckets by descending id: 0 holds the largest ids, the last ones the nulls, dealt by the order of their hash.
+    ordered = ordered.withColumn("tie", F.shiftrightunsigned("tie", 1))
+    nulls = F.floor(F.col("tie").cast("double") / float(2**63) * n).cast("int")
+    bucket = F.when(F.col("doc_id").isNull(), F.least(nulls, F.lit(n - 1)) + len(cuts) + 1).otherwise(F.lit(len(cuts)) - _below(F.col("doc_id"), cuts, kind))
+    ordered = ordered.withColumn("bucket", bucket)
+    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie"))
+    led = ordered.withColumn("next_text", F.lead("text").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    there = led.where("first").select("bucket", "text")
+    before = F.coalesce(F.lag("bucket").over(Window.partitionBy().orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
+    # One number a bucket, so one task orders them; the texts follow by a join.
+    after = ordered.select("bucket").distinct().withColumn("of", before).select(F.col("bucket").alias("b"), "of")
+    heads = there.join(after, F.col("bucket") == F.col("b")).select(F.col("of").alias("b"), F.col("text").alias("head"))
+    last = led.where("next_text is null").select("doc_id", "text", "bucket").hint("shuffle_merge")
+    ends = last.join(heads.hint("shuffle_merge"), F.col("bucket") == F.col("b")).select("doc_id", "text", F.col("head").alias("next_text"))
+    return led.where("next_text is not null").select("doc_id", "text", "next_text").unionByName(ends)
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -148,7 +167,9 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     ids = (of_text.select(F.col("nfp").alias("fp"), "least").groupBy("fp").agg(F.min("least").alias("least"))
            .join(classes, "fp", "left").withColumn("class_fp", F.coalesce("class_fp", "fp")))
     ids = materialize(ids, "fp-ids")
-    class_ids = materialize(ids.join(ids.groupBy("class_fp").agg(F.min("least").alias("class_id")), "class_fp")
+    # Written first, so that both sides of the join are exchanged and a large class can be split.
+    named = materialize(ids.groupBy("class_fp").agg(F.min("least").alias("class_id")), "fp-names")
+    class_ids = materialize(ids.join(named, "class_fp")
                             .select(F.col("fp").alias("cfp"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "fp-classes")
     nexts = of_text.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "nfp")
     out = prints.join(nexts, ["n1", "n2"]).join(class_ids, F.col("fp") == F.col("cfp"))

@@ -600,3 +600,22 @@ def test_many_rules_are_a_table(spark, monkeypatch):
         monkeypatch.setattr(urls, "MAX_RULES", most)
         monkeypatch.setattr(urls, "MAX_BROADCAST", sent)
         assert {x["page_id"]: (x["rule"], x["verdict"]) for x in urls.filter_urls(pages, rules, html_col=None).collect()} == few
+
+
+@pytest.mark.parametrize("kind,buckets", [("long", 1), ("long", 7), ("string", 7), ("long", 300), ("string", 300)])
+def test_the_next_document_by_any_id(spark, kind, buckets):
+    """Every row's next, whatever the type of the ids and the number of buckets, with null and repeated ids."""
+    r = random.Random(buckets)
+    ids = r.sample(range(100_000), 590) + [77_777_777] * 3 + [None] * 7
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = {x["text"]: (x["doc_id"], x["next_text"]) for x in fingerprints.with_next(df, rows_per_bucket=600 // buckets).collect()}
+    assert len(got) == 600
+    chain, at = [], "text 0"
+    for _ in range(600):
+        chain.append(got[at][0])
+        at = got[at][1]
+    assert at == "text 0" and len(chain) == 600
+    turn = max(range(600), key=lambda i: (chain[i - 1] is None and chain[i] is not None, i))
+    chain = chain[turn:] + chain[:turn]
+    known = [c for c in chain if c is not None]
+    assert known == sorted(known, reverse=True) and chain[len(known):] == [None] * 7
