@@ -115,6 +115,10 @@ class Config:
             raise ConfigError("demultiplexing needs barcodes")
         if out.normalize_orientation and out.barcode_orientation == "unspecified":
             raise ConfigError("orientation can't be normalized without orientations of barcodes")
+        for name, others in (("mate_separator", ()), ("normalize_mate_separator", ("strip",))):
+            value = getattr(out, name)
+            if value is not None and len(value) != 1 and value not in others and not (name == "mate_separator" and value == ""):
+                raise ConfigError(f"{name} is one character, not {value!r}")
         for name in ("pre_trim_polyx", "post_trim_polyx"):
             value = getattr(out, name)
             if value != "auto" and set(value.upper()) - set("ACGT"):

@@ -35,9 +35,10 @@ def unique_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return list(seen)
 
 
-def single(df: DataFrame, adapters: list[str], shift: int = 2, rate: float = 0.1667, min_overlap: int = 1, seq: str = "seq") -> DataFrame:
-    """Adds aln, the best alignment of any adapter, and aln_type."""
-    df = df.withColumn("aln", kernels.align_single_column(F.col(seq), adapters, shift))
+def single(df: DataFrame, adapters: list[str], shift: int = 2, rate: float = 0.1667, min_overlap: int = 1, seq: str = "seq", group: Column | None = None,
+           by_group: dict[int, list[str]] | None = None) -> DataFrame:
+    """Adds aln, the best alignment of any adapter, and aln_type.  by_group: adapters of reads with that number in group."""
+    df = df.withColumn("aln", kernels.align_single_column(F.col(seq), adapters, shift, group, by_group))
     return df.withColumn("aln_type", classify("aln", rate, min_overlap))
 
 
@@ -50,13 +51,15 @@ def truncate_single(df: DataFrame, seq: str = "seq", qual: str = "qual") -> Data
     }).drop("_kept")
 
 
-def paired(df: DataFrame, pairs: list[tuple[str, str]], shift: int = 2, rate: float = 0.1667, min_overlap: int = 1, merge_threshold: int = 11) -> DataFrame:
+def paired(df: DataFrame, pairs: list[tuple[str, str]], shift: int = 2, rate: float = 0.1667, min_overlap: int = 1, merge_threshold: int = 11,
+           group: Column | None = None, by_group: dict[int, list[tuple[str, str]]] | None = None) -> DataFrame:
     """Adds rc2 and rq2 (mate 2 in the direction of mate 1), aln, aln_type and insert_size (null for bad alignments).
 
-    pairs: adapters as sequenced; without any, mates must overlap end to end.
+    pairs: adapters as sequenced; without any, mates must overlap end to end.  by_group: adapters of mates with that number in group.
     """
     df = df.withColumns({"rc2": reverse_complement("seq2"), "rq2": F.reverse("qual2")})
-    df = df.withColumn("aln", kernels.align_pair_column(F.col("seq1"), F.col("rc2"), unique_pairs(pairs), shift))
+    df = df.withColumn("aln", kernels.align_pair_column(F.col("seq1"), F.col("rc2"), unique_pairs(pairs), shift, group,
+                                                           {k: unique_pairs(v) for k, v in (by_group or {}).items()}))
     both = (F.length("seq1") > 0) & (F.length("rc2") > 0)
     df = df.withColumn("aln_type", classify("aln", rate, min_overlap, merge_threshold, both))
     size = F.greatest(F.lit(0), F.length("rc2") + F.col("aln.offset"))

@@ -158,6 +158,23 @@ def adapters_behind_barcodes(barcodes: DataFrame, adapters: DataFrame) -> DataFr
         "sample", "adapter_id", F.concat(reverse_complement("bc2"), "a1").alias("adapter1"), F.concat(reverse_complement("a2"), "bc1").alias("adapter2"))
 
 
+def group_of(sample_idx="sample_idx", barcode_idx="barcode_idx") -> Column:
+    """A number for sample and barcode, null for reads without one of both."""
+    s, b = F.col(sample_idx), F.col(barcode_idx)
+    return F.when((s >= 0) & (b >= 0), s * 1_000_000 + b).cast("int")
+
+
+def adapters_by_group(barcodes: list[Barcode], adapters: list[tuple[str, str]]) -> dict[int, list[tuple[str, str]]]:
+    """Adapter pairs as sequenced behind the barcodes that follow an insert, by group_of(): the other mate's barcode comes first."""
+    complement = str.maketrans("ACGT", "TGCA")
+    samples, seen, out = sorted({b.sample for b in barcodes}), defaultdict(int), {}
+    for b in sorted(barcodes, key=lambda b: b.sample):
+        nth = seen[b.sample]
+        seen[b.sample] += 1
+        out[samples.index(b.sample) * 1_000_000 + nth] = [(b.bc2.translate(complement)[::-1] + a1, b.bc1.translate(complement)[::-1] + a2) for a1, a2 in adapters]
+    return out
+
+
 def normalize_orientation(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
     """Turns merged reads of reverse barcodes."""
     back = F.col("orientation") == "reverse"

@@ -334,24 +334,48 @@ def _alignment(best: Best) -> pa.StructArray:
                   n_mismatches=best.mismatches.astype(np.int32), n_ambiguous=best.ambiguous.astype(np.int32), score=best.score.astype(np.int32))
 
 
-def align_single_column(seq, adapters: list[str], shift: int) -> Column:
+def _by_group(groups: np.ndarray, align) -> Best:
+    """The alignments that align(group, rows) gives for the rows of every group, put together again."""
+    best = Best(len(groups))
+    for group in np.unique(groups):
+        rows = np.flatnonzero(groups == group)
+        for name, value in vars(align(int(group), rows)).items():
+            getattr(best, name)[rows] = value
+    return best
+
+
+def align_single_column(seq, adapters: list[str], shift: int, group=None, by_group: dict[int, list[str]] | None = None) -> Column:
+    """by_group: the adapters of reads by the number in `group`, for those that have one there."""
     codes = [a.encode() for a in adapters]
+    own = {k: [a.encode() for a in v] for k, v in (by_group or {}).items()}
 
     @F.arrow_udf(ALIGNMENT)
     def align(seq: pa.Array) -> pa.Array:
         return _alignment(align_single(*matrix(seq), codes, shift))
 
-    return align(seq)
+    @F.arrow_udf(ALIGNMENT)
+    def align_groups(seq: pa.Array, group: pa.Array) -> pa.Array:
+        s, n = matrix(seq)
+        return _alignment(_by_group(group.fill_null(-1).to_numpy(zero_copy_only=False), lambda g, rows: align_single(s[rows], n[rows], own.get(g, codes), shift)))
+
+    return align(seq) if group is None else align_groups(seq, group)
 
 
-def align_pair_column(seq1, rc2, pairs: list[tuple[str, str]], shift: int) -> Column:
+def align_pair_column(seq1, rc2, pairs: list[tuple[str, str]], shift: int, group=None, by_group: dict[int, list[tuple[str, str]]] | None = None) -> Column:
     codes = [(a.encode(), b.encode()) for a, b in pairs]
+    own = {k: [(a.encode(), b.encode()) for a, b in v] for k, v in (by_group or {}).items()}
 
     @F.arrow_udf(ALIGNMENT)
     def align(seq1: pa.Array, rc2: pa.Array) -> pa.Array:
         return _alignment(align_pair(*matrix(seq1), *matrix(rc2), codes, shift))
 
-    return align(seq1, rc2)
+    @F.arrow_udf(ALIGNMENT)
+    def align_groups(seq1: pa.Array, rc2: pa.Array, group: pa.Array) -> pa.Array:
+        (s1, n1), (s2, n2) = matrix(seq1), matrix(rc2)
+        return _alignment(_by_group(group.fill_null(-1).to_numpy(zero_copy_only=False),
+                                    lambda g, rows: align_pair(s1[rows], n1[rows], s2[rows], n2[rows], own.get(g, codes), shift)))
+
+    return align(seq1, rc2) if group is None else align_groups(seq1, rc2, group)
 
 
 def merge_column(seq1, qual1, rc2, rq2, offset, strategy: str, most: int) -> Column:

@@ -376,14 +376,37 @@ def insert_sizes(spark, sf_dir):
     return _aligned_pairs(spark, sf_dir).where("aln_type = 'mergeable'").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _pairs_sql(pairs: list[tuple[str, str]], end_to_end: bool, source: str = "reads_pe", behind: str = "") -> str:
+    """Alignments `a` of mates of 100 bases with the best of several pairs; behind: a table of pairs by read instead."""
+    rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    values = ", ".join(f"({i}, '{x}', '{rc(y)}')" for i, (x, y) in enumerate(pairs))
+    low = "0" if end_to_end else "greatest(la - n2 - 2, 1 - length(s2))"
+    table = behind or f"SELECT read_id, k, a1, a2 FROM {source}, (VALUES {values}) v(k, a1, a2)"
+    return f""",
+pr AS ({table}),
+p AS (SELECT read_id, k, a2 || seq1 AS s1, {_RC2} || a1 AS s2, length(a2) AS la, length(seq2) AS n2 FROM {source} JOIN pr USING (read_id)),
+off AS (SELECT unnest(range(-150, 200)) AS o),
+x AS (SELECT read_id, k, o - la AS o, least(length(s1) - greatest(o, 0), length(s2) - greatest(-o, 0))::INT AS n, s1, s2, greatest(o, 0) AS lo, greatest(-o, 0) AS skip
+      FROM p, off WHERE o >= {low} AND o <= CASE WHEN k = 0 THEN length(s1) ELSE la END - 1),
+y AS (SELECT read_id, k, o, n, substr(s1, lo::INT + 1, n) AS s, substr(s2, skip::INT + 1, n) AS t FROM x WHERE n > 0),
+c AS (SELECT read_id, k, o, n, hamming(s, t)::INT AS h, n - hamming(translate(s, 'ACGT', '1111'), translate(t, 'ACGT', '2222'))::INT AS both_n, length(s) - length(replace(s, 'N', '')) + length(t) - length(replace(t, 'N', '')) AS ns FROM y),
+v AS (SELECT read_id, k, o, n, ns - both_n AS amb, h - (ns - 2 * both_n) AS mm FROM c),
+sc AS (SELECT *, n - amb - 2 * mm AS score FROM v WHERE n - amb - 2 * mm >= 0),
+best AS (SELECT DISTINCT ON (read_id) * FROM sc ORDER BY read_id, score DESC, n DESC, amb ASC, k, o),
+good AS (SELECT *, CASE WHEN score > 0 AND n - amb >= 1 AND mm <= CASE WHEN n - amb < 6 THEN 0 WHEN n - amb < 10 THEN least(1, floor(0.1667::DOUBLE * (n - amb))) ELSE floor(0.1667::DOUBLE * (n - amb)) END
+                     THEN CASE WHEN n - amb >= 11 THEN 'mergeable' ELSE 'good' END ELSE 'bad' END AS aln_type FROM best),
+a AS (SELECT r.*, coalesce(g.k, -1) AS k, coalesce(g.o, 0) AS o, coalesce(g.n, 0) AS n, coalesce(g.amb, 0) AS amb, coalesce(g.aln_type, 'bad') AS aln_type,
+             CASE WHEN g.aln_type <> 'bad' THEN greatest(0, length(seq2) + g.o) END AS isize FROM {source} r LEFT JOIN good g USING (read_id))"""
+
+
+@query(PE + _pairs_sql(ADAPTERS, False) + " SELECT aln_type, k::INT AS adapter_id, count(*)::BIGINT AS pairs, sum(isize)::BIGINT AS insert_bases FROM a GROUP BY 1, 2")
 def align_multiple_adapters(spark, sf_dir):
     """Several adapter pairs, the best of which wins."""
     got = align.paired(fx.reads_pe(spark, sf_dir), ADAPTERS)
     return got.groupBy("aln_type", F.col("aln.adapter_id").alias("adapter_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("insert_size").alias("insert_bases"))
 
 
-@query()
+@query(PE + _pairs_sql([("", "")], True) + " SELECT aln_type, count(*)::BIGINT AS pairs, sum(isize)::BIGINT AS insert_bases FROM a GROUP BY 1")
 def align_without_adapters(spark, sf_dir):
     """Mates that must overlap end to end, as no adapters are known."""
     got = align.paired(fx.reads_pe(spark, sf_dir), [])
@@ -463,26 +486,6 @@ def pipeline_pe(spark, sf_dir):
     return _run_pe(spark, sf_dir, quality_trimming="none").select("read_id", "mate", "seq", "fail_reason", "read_type")
 
 
-@query()
-def pipeline_pe_merged(spark, sf_dir):
-    done = _run_pe(spark, sf_dir, merge=True)
-    return done.groupBy("read_type", "file").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.sum("n_sources").alias("sources"))
-
-
-@query()
-def step_counts_pe(spark, sf_dir):
-    return pipeline.paired_counts(_run_pe(spark, sf_dir, merge=True))
-
-
-@query()
-def pipeline_demultiplexed(spark, sf_dir):
-    """Barcoded mates by sample, then the run for each read of a sample; statistics by sample."""
-    config = Config(paired=True, barcodes=tuple(fx.BARCODES_PE), multiple_barcodes=True, barcode_mm=2, barcode_mm_r1=1, barcode_mm_r2=1)
-    got = pipeline.demultiplexed(fx.barcoded_pe(spark, sf_dir), config).where("sample is not null")
-    return stats.summary(got.select("sample", F.explode(F.array(F.struct(F.col("seq1").alias("seq"), F.col("qual1").alias("qual")),
-                                                                F.struct(F.col("seq2").alias("seq"), F.col("qual2").alias("qual")))).alias("r")).select("sample", "r.*"), "sample")
-
-
 # ---- merging ----------------------------------------------------------------------------------------------------------
 
 
@@ -608,6 +611,86 @@ def merged_normalized(spark, sf_dir):
     return demux.normalize_orientation(_merged(spark, sf_dir, "maximum").withColumn("orientation", way)).select("read_id", "seq", "qual")
 
 
+# ---- demultiplexed and merged runs ----------------------------------------------------------------------------------
+
+@query(_demux_sql(True, 2, 1, 1) + """,
+cut AS (SELECT read_id, sample, unnest([substr(seq1, 7), substr(seq2, 7)]) AS seq, unnest([substr(qual1, 7), substr(qual2, 7)]) AS qual FROM r JOIN barcoded_pe USING (read_id) WHERE sample IS NOT NULL),
+z AS (SELECT sample, count(*) AS reads, sum(length(seq)) AS bases, sum(length(seq) - length(replace(seq, 'N', ''))) AS ns, sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) AS gc,
+             sum(len(list_filter(string_split(qual, ''), lambda c: ascii(c) - 33 >= 20))) AS q20, sum(len(list_filter(string_split(qual, ''), lambda c: ascii(c) - 33 >= 30))) AS q30 FROM cut GROUP BY 1)
+SELECT sample, reads::BIGINT AS reads, bases::BIGINT AS bases, round(bases::DOUBLE / reads, 6) AS mean_length, round(q20::DOUBLE / bases, 6) AS q20_rate, round(q30::DOUBLE / bases, 6) AS q30_rate,
+       round(ns::DOUBLE / bases, 6) AS uncalled_rate, round(gc::DOUBLE / (bases - ns), 6) AS gc_content FROM z""")
+def pipeline_demultiplexed(spark, sf_dir):
+    """Barcoded mates by sample, then the run for each read of a sample; statistics by sample."""
+    config = Config(paired=True, barcodes=tuple(fx.BARCODES_PE), multiple_barcodes=True, barcode_mm=2, barcode_mm_r1=1, barcode_mm_r2=1)
+    got = pipeline.demultiplexed(fx.barcoded_pe(spark, sf_dir), config).where("sample is not null")
+    return stats.summary(got.select("sample", F.explode(F.array(F.struct(F.col("seq1").alias("seq"), F.col("qual1").alias("qual")),
+                                                                F.struct(F.col("seq2").alias("seq"), F.col("qual2").alias("qual")))).alias("r")).select("sample", "r.*"), "sample")
+
+
+_BEHIND = "SELECT read_id, 0 AS k, reverse(translate(bc2, 'ACGT', 'TGCA')) || '" + fx.ADAPTER1 + "' AS a1, '" + _A2RC + "' || bc1 AS a2 FROM cut"
+
+
+@query(_demux_sql(True, 2, 1, 1) + """,
+cut AS (SELECT read_id, r.sample, bc1, bc2, substr(seq1, 7) AS seq1, substr(seq2, 7) AS seq2 FROM r JOIN barcoded_pe USING (read_id) JOIN bcs ON bcs.s = r.sample_idx AND bcs.i = r.barcode_idx WHERE r.sample IS NOT NULL)"""
+       + _pairs_sql([], False, "cut", _BEHIND) + """,
+t AS (SELECT *, CASE WHEN aln_type = 'mergeable' THEN least(isize, 100) ELSE 100 END AS n1, CASE WHEN aln_type = 'mergeable' AND o < 0 THEN least(isize, 100) ELSE 100 END AS n2 FROM a)
+SELECT sample, sum((n1 < 100)::INT + (n2 < 100)::INT)::BIGINT AS reads, sum(200 - n1 - n2)::BIGINT AS bases, md5(string_agg(substr(seq1, 1, n1::INT), ',' ORDER BY read_id)) AS trimmed FROM t GROUP BY 1""")
+def pipeline_behind_barcodes(spark, sf_dir):
+    """The run over demultiplexed mates, whose adapters follow the barcodes of their sample."""
+    config = Config(paired=True, adapters=tuple(ADAPTERS[:1]), pre_trim_polyx="", quality_trimming="none", barcodes=tuple(fx.BARCODES_PE), multiple_barcodes=True,
+                    barcode_mm=2, barcode_mm_r1=1, barcode_mm_r2=1)
+    done = pipeline.process_paired(pipeline.demultiplexed(fx.barcoded_pe(spark, sf_dir), config).where("sample is not null"), config).where("mate = 1")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_id", "seq"))), lambda x: x["seq"]), ",")
+    return done.groupBy("sample").agg(F.sum("adapter_reads").alias("reads"), F.sum("adapter_bp").alias("bases"), F.md5(text.cast("binary")).alias("trimmed"))
+
+
+#: The whole paired run with merging: consensus reads and the mates of other pairs, trimmed by Mott's rule at 0.05, and filtered.
+_MERGED_RUN = _merge_sql(False).replace("SELECT read_id, string_agg", ", mg AS (SELECT read_id, string_agg").rstrip() + f"""),
+w_src AS (SELECT read_id * 4 AS rid, seq, qual FROM mg UNION ALL SELECT read_id * 4 + 1, seq1, qual1 FROM a WHERE aln_type <> 'mergeable' UNION ALL SELECT read_id * 4 + 2, seq2, qual2 FROM a WHERE aln_type <> 'mergeable'),
+w_l AS (SELECT rid, unnest(range(0, length(seq))) AS pos, seq, qual FROM w_src),
+w_b AS (SELECT rid, pos, substr(seq, pos::INT + 1, 1) AS nuc, ascii(substr(qual, pos::INT + 1, 1)) - 33 AS q FROM w_l),
+w_g AS (SELECT rid, pos, trunc(0.05::DOUBLE * 281474976710656.0::DOUBLE)::BIGINT - trunc(pow(10::DOUBLE, greatest(3, CASE WHEN nuc = 'N' THEN 0 ELSE q END) / -10.0::DOUBLE) * 281474976710656.0::DOUBLE)::BIGINT AS gain FROM w_b),
+w_c AS (SELECT rid, pos, sum(gain) OVER (PARTITION BY rid ORDER BY pos) AS s FROM w_g),
+w_m AS (SELECT *, least(0, min(s) OVER (PARTITION BY rid ORDER BY pos)) AS low FROM w_c),
+w_best AS (SELECT rid, max(s - low) AS over FROM w_m GROUP BY rid),
+w_hi AS (SELECT w_m.rid, min(pos) AS i, min_by(low, pos) AS low FROM w_m JOIN w_best ON w_best.rid = w_m.rid AND s - low = over WHERE over > 0 GROUP BY w_m.rid),
+w_lo AS (SELECT w_hi.rid, min(w_m.pos) + 1 AS lo FROM w_hi JOIN w_m ON w_m.rid = w_hi.rid AND w_m.s = w_hi.low WHERE w_hi.low <> 0 GROUP BY w_hi.rid),
+w_s AS (SELECT x.rid, x.rid // 4 AS read_id, (x.rid % 4)::INT AS mate, length(x.seq) AS before, coalesce(l.lo, 0) AS n5, length(x.seq) - coalesce(h.i + 1, 0) AS n3, substr(x.seq, coalesce(l.lo, 0)::INT + 1, (coalesce(h.i + 1, 0) - coalesce(l.lo, 0))::INT) AS seq
+        FROM w_src x LEFT JOIN w_hi h USING (rid) LEFT JOIN w_lo l USING (rid)),
+w_f AS (SELECT *, length(seq) >= 15 AND {NS} <= 6 AS ok FROM w_s),
+w_t AS (SELECT f.*, CASE WHEN f.mate = 0 THEN CASE WHEN f.ok THEN 'merged' ELSE 'merged_fail' END WHEN f.ok AND g.ok THEN 'pe_' || f.mate WHEN f.ok THEN 'singleton_' || f.mate ELSE 'pe_' || f.mate || '_fail' END AS read_type
+        FROM w_f f LEFT JOIN w_f g ON g.read_id = f.read_id AND g.mate = 3 - f.mate)"""
+
+
+@query(_MERGED_RUN + """ SELECT read_type, CASE WHEN read_type IN ('pe_1', 'pe_2') THEN 'mate_' || right(read_type, 1) WHEN read_type LIKE 'singleton%' THEN 'singleton' WHEN read_type = 'merged' THEN 'merged' ELSE 'discarded' END AS file,
+       count(*)::BIGINT AS reads, sum(length(seq))::BIGINT AS bases, sum(CASE WHEN mate = 0 THEN 2 ELSE 1 END)::BIGINT AS sources FROM w_t GROUP BY 1, 2""")
+def pipeline_pe_merged(spark, sf_dir):
+    done = _run_pe(spark, sf_dir, merge=True)
+    return done.groupBy("read_type", "file").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.sum("n_sources").alias("sources"))
+
+
+@query(_MERGED_RUN + """,
+w_k AS (SELECT read_id, CASE WHEN aln_type = 'mergeable' THEN least(isize, 100) ELSE 100 END AS k1, CASE WHEN aln_type = 'mergeable' AND o < 0 THEN least(isize, 100) ELSE 100 END AS k2, greatest(o, 0) AS own1 FROM a),
+w_q AS (SELECT w_s.*, own1 - n5 AS left1, k2 - (k1 - own1) - n3 AS left2 FROM w_s JOIN w_k USING (read_id)),
+w_r AS (SELECT *, CASE WHEN n5 + n3 = 0 THEN 0 WHEN mate = 0 AND ((n5 > 0 AND n3 > 0) OR (n5 > 0 AND left1 < 0) OR (n3 > 0 AND left2 < 0)) THEN 2 ELSE 1 END AS touched FROM w_q)
+SELECT 'adapters' AS step, sum((k1 < 100)::INT + (k2 < 100)::INT)::BIGINT AS reads, sum(200 - k1 - k2)::BIGINT AS bases FROM w_k UNION ALL
+SELECT 'low_quality', sum(touched)::BIGINT, sum(n5 + n3)::BIGINT FROM w_r UNION ALL
+SELECT 'total', sum(CASE WHEN mate = 0 THEN 2 WHEN length(seq) < 100 THEN 1 ELSE 0 END)::BIGINT, sum(CASE WHEN mate = 0 THEN 200 ELSE 100 END - length(seq))::BIGINT FROM w_s UNION ALL
+SELECT 'merged', (2 * count(*))::BIGINT, coalesce(sum(length(seq)), 0)::BIGINT FROM w_s WHERE mate = 0 UNION ALL
+SELECT 'mismatches_resolved', 0, sum(mm_resolved)::BIGINT FROM mg UNION ALL SELECT 'mismatches_unresolved', 0, sum(mm_unresolved)::BIGINT FROM mg UNION ALL SELECT 'ns_resolved', 0, sum(ns_resolved)::BIGINT FROM mg""")
+def step_counts_pe(spark, sf_dir):
+    return pipeline.paired_counts(_run_pe(spark, sf_dir, merge=True))
+
+
+@query(_MERGED_RUN + """ SELECT w_t.read_id, w_t.mate, '@' || split_part(substr(header1, 2), '/', 1) || CASE WHEN w_t.mate = 0 THEN '' ELSE '.' || w_t.mate END || CASE WHEN w_t.mate = 2 THEN ' x' ELSE '' END AS header,
+       CASE WHEN w_t.mate = 0 AND w_t.read_id % 2 = 1 THEN reverse(translate(w_t.seq, 'ACGT', 'TGCA')) ELSE w_t.seq END AS seq FROM w_t JOIN reads_pe USING (read_id)""")
+def pipeline_normalized(spark, sf_dir):
+    """The run with merged reads of reverse barcodes turned, and with other separators before the mate numbers."""
+    reads = fx.reads_pe(spark, sf_dir).withColumn("orientation", F.when(F.col("read_id") % 2 == 1, "reverse").otherwise("forward"))
+    config = Config(paired=True, adapters=tuple(ADAPTERS[:1]), pre_trim_polyx="", max_ns=6, merge=True, mate_separator="/", normalize_mate_separator=".", barcode_orientation="forward", normalize_orientation=True)
+    return pipeline.process_paired(reads, config).select("read_id", "mate", "header", "seq")
+
+
 # ---- routing and records ----------------------------------------------------------------------------------------------
 
 _PE_TYPES = PE + f""",
@@ -782,14 +865,33 @@ def duplication_estimate(spark, sf_dir):
     return stats.duplication(fx.reads_se(spark, sf_dir), most=2_000)
 
 
-@query()
+def _hits_sql(source: str, seq: str, length: int, name: str) -> str:
+    """`<name>_hits`: matches of known adapters, those to the end of a read credited to all adapters that begin so."""
+    values = ", ".join(f"({i}, '{c}')" for i, c in enumerate(detect.candidates(adapters.KNOWN_ADAPTERS)))
+    return f""",
+{name}_in AS (SELECT read_id, {seq} AS seq FROM (SELECT *, row_number() OVER (ORDER BY read_id) AS nth FROM {source}) WHERE nth <= {detect.PREFIX_READS}),
+{name}_v AS (SELECT * FROM (VALUES {values}) v(k, a)),
+{name}_y AS (SELECT read_id, k, o, least({length} - o, length(a))::INT AS n, substr(seq, o::INT + 1, least({length} - o, length(a))::INT) AS s, substr(a, 1, least({length} - o, length(a))::INT) AS t FROM {name}_in, {name}_v, (SELECT unnest(range(0, {length})) AS o)),
+{name}_c AS (SELECT read_id, k, o, n, length(s) - length(replace(s, 'N', '')) AS amb, hamming(s, t)::INT - (length(s) - length(replace(s, 'N', ''))) AS mm FROM {name}_y),
+{name}_b AS (SELECT DISTINCT ON (read_id) *, n - amb - 2 * mm AS score FROM {name}_c WHERE n - amb - 2 * mm >= 0 ORDER BY read_id, score DESC, n DESC, amb ASC, k, o),
+{name}_g AS (SELECT k, n, o + n = {length} AS to_end, amb, mm FROM {name}_b WHERE score > 0 AND n - amb >= 8 AND mm <= CASE WHEN n - amb < 10 THEN least(1, floor(0.1667::DOUBLE * (n - amb))) ELSE floor(0.1667::DOUBLE * (n - amb)) END),
+{name}_hits AS (SELECT w.a AS candidate, count(*)::BIGINT AS hits, sum(n - amb)::BIGINT AS aligned, sum(mm)::BIGINT AS mismatches FROM {name}_g g JOIN {name}_v own ON own.k = g.k
+                JOIN {name}_v w ON w.k = g.k OR (to_end AND length(w.a) >= n AND starts_with(w.a, substr(own.a, 1, n))) GROUP BY 1)"""
+
+
+def _choice_sql(name: str, mate: int) -> str:
+    enough = f"hits >= 10 AND (hits >= 0.01::DOUBLE * total OR (hits >= 0.001::DOUBLE * total AND mismatches <= 0.05::DOUBLE * aligned))"
+    return f"SELECT {mate} AS mate, (SELECT CASE WHEN {enough} THEN candidate END FROM {name}_hits, (SELECT count(*) AS total FROM {name}_in) ORDER BY hits DESC, aligned - mismatches DESC, candidate LIMIT 1) AS adapter"
+
+
+@query(SE + _hits_sql("reads_se", "seq", 60, "d") + " SELECT candidate, hits, aligned, mismatches FROM d_hits")
 def adapter_detect(spark, sf_dir):
     names = detect.candidates(adapters.KNOWN_ADAPTERS)
     reads = _ordinal(fx.reads_se(spark, sf_dir)).where(F.col("read_idx") < detect.PREFIX_READS)
     return detect.hits(reads, names)
 
 
-@query("SELECT 1 AS mate, '" + fx.ADAPTER1 + "' AS adapter UNION ALL SELECT 2, '" + fx.ADAPTER2 + "'")
+@query(PE + _hits_sql("reads_pe", "seq1", 100, "d1") + _hits_sql("reads_pe", "seq2", 100, "d2") + " " + _choice_sql("d1", 1) + " UNION ALL " + _choice_sql("d2", 2))
 def adapter_choice(spark, sf_dir):
     names = detect.candidates(adapters.KNOWN_ADAPTERS)
     reads = _ordinal(fx.reads_pe(spark, sf_dir)).where(F.col("read_idx") < detect.PREFIX_READS)
@@ -798,6 +900,16 @@ def adapter_choice(spark, sf_dir):
     return spark.createDataFrame(found, "mate int, adapter string")
 
 
+@query(SE + """,
+t AS (SELECT read_id, CASE WHEN read_id % 60 < 20 THEN 'min_length' WHEN read_id % 60 > 45 THEN 'max_length' WHEN length(substr(seq, 1, (read_id % 60)::INT)) - length(replace(substr(seq, 1, (read_id % 60)::INT), 'N', '')) > 1 THEN 'max_ns' ELSE 'passed' END AS fail_reason,
+             read_id % 60 AS n FROM reads_se)
+SELECT fail_reason, count(*)::BIGINT AS reads, sum(n)::BIGINT AS bases FROM t GROUP BY 1""")
+def filter_lengths(spark, sf_dir):
+    """Both limits of the length, before the Ns."""
+    reads = fx.reads_se(spark, sf_dir).withColumn("seq", bases.truncate("seq", 0, (F.col("read_id") % 60).cast("int")))
+    return filters.filter_counts(reads.withColumn("fail_reason", filters.fail_reason(min_length=20, max_length=45, max_ns=1)))
+
+
 # ---- tables of the report ---------------------------------------------------------------------------------------------
 
 

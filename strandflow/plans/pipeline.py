@@ -6,6 +6,8 @@ them all.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,25 @@ from strandflow.sources import adapters as known
 from strandflow.sources import fastq
 
 
+log = logging.getLogger("strandflow")
+
+
+def barcoded(reads: DataFrame, config: Config, pairs: list[tuple[str, str]] | None) -> dict:
+    """What align takes for demultiplexed reads: a column for sample and barcode, and the adapters behind the barcodes of each."""
+    if not config.barcodes or "sample_idx" not in reads.columns or not pairs:
+        return {}
+    barcodes = demux.oriented(list(config.barcodes), config.barcode_orientation)
+    return {"group": demux.group_of(), "by_group": demux.adapters_by_group(barcodes, pairs)}
+
+
+def written_header(header: str, config: Config, found: str) -> Column:
+    """The header as it goes out: as it is, or with the separator before the mate number that the run asks for; strip leaves both out."""
+    if config.normalize_mate_separator is None:
+        return F.col(header)
+    wanted = "" if config.normalize_mate_separator == "strip" else config.normalize_mate_separator
+    return routing.output_header(header, "read_type", found, wanted)
+
+
 def normalized(reads: DataFrame, config: Config, columns: list[tuple[str, str]]) -> DataFrame:
     """Bases and qualities of all mates in the forms that the operators expect."""
     for seq, qual in columns:
@@ -28,8 +49,8 @@ def polyx_bases(choice: str, reads: DataFrame, header: str) -> str:
     """auto is G for two-colour chemistry, as told by the first read's header, else nothing."""
     if choice != "auto":
         return choice.upper()
-    first = reads.orderBy("read_id").select(bases.is_two_color(header).alias("x")).head(1)
-    return "G" if first and first[0]["x"] else ""
+    first = reads.agg(F.min_by(header, "read_id").alias("h")).select(bases.is_two_color("h").alias("x")).first()
+    return "G" if first["x"] else ""
 
 
 def select_adapters(reads: DataFrame, config: Config, seqs: list[str]) -> list[tuple[str, str]] | None:
@@ -43,14 +64,22 @@ def select_adapters(reads: DataFrame, config: Config, seqs: list[str]) -> list[t
         return None
     if config.adapter_selection == "none":
         return []
-    prefix = reads.orderBy("read_id").limit(detect.PREFIX_READS)
-    n = prefix.count()
-    if not n:
-        return []
-    names = detect.candidates(known.KNOWN_ADAPTERS)
-    found = [detect.choose(detect.hits(prefix, names, config.mismatch_rate, seq), n) for seq in seqs]
+    # read_id is the ordinal of a read in its input, so this is a filter; the prefix is bounded and kept for its several uses.
+    prefix = reads.where(F.col("read_id") < detect.PREFIX_READS).select(*seqs).persist()
+    try:
+        n = prefix.count()
+        if not n:
+            return []
+        names = detect.candidates(known.KNOWN_ADAPTERS)
+        found = [detect.choose(detect.hits(prefix, names, config.mismatch_rate, seq), n) for seq in seqs]
+    finally:
+        prefix.unpersist()
     if all(found):
-        return [(found[0], found[-1] if len(found) > 1 else "")]
+        pair = found[0], found[-1] if len(found) > 1 else ""
+        named = detect.name_pair(*pair, known.KNOWN_ADAPTERS) if len(found) > 1 else []
+        if named and named[0][2]:
+            log.warning("adapters of %s are swapped between the mates; the input files may be, too", named[0][0])
+        return [pair]
     if config.adapter_fallback == "abort":
         raise ConfigError("adapters could not be detected")
     return None if config.adapter_fallback == "undefined" else []
@@ -67,7 +96,10 @@ def process_single(reads: DataFrame, config: Config) -> DataFrame:
     reads = normalized(reads, config, [("seq", "qual")]).withColumn("in_length", F.length("seq"))
     out = trim.fixed(reads, 0, config.pre_trim3p[0], prefix="pre")
     out = trim.polyx(out, polyx_bases(config.pre_trim_polyx, reads, "header"), config.trim_polyx_threshold, prefix="pre_polyx")
-    out = align.single(out, [a for a, _ in pairs or []], config.shift, config.mismatch_rate, config.min_overlap)
+    behind = barcoded(reads, config, pairs)
+    if behind:
+        behind["by_group"] = {k: [a for a, _ in v] for k, v in behind["by_group"].items()}
+    out = align.single(out, [a for a, _ in pairs or []], config.shift, config.mismatch_rate, config.min_overlap, **behind)
     out = align.truncate_single(out)
     if config.prefix_read1:
         out = out.withColumn("header", bases.add_prefix("header", config.prefix_read1))
@@ -76,6 +108,7 @@ def process_single(reads: DataFrame, config: Config) -> DataFrame:
     out = trim.quality(out, config.quality_trimming, config.preserve5p, config.trim_mott_rate, config.trim_windows, config.trim_min_quality)
     out = out.withColumn("total_trimmed", F.col("in_length") - F.length("seq")).withColumn("fail_reason", _reason("seq", "qual", config))
     out = out.withColumn("read_type", routing.single_type(F.col("fail_reason").isNull()))
+    out = out.withColumn("header", written_header("header", config, config.mate_separator or ""))
     return out.withColumn("file", routing.file_of("read_type"))
 
 
@@ -87,7 +120,9 @@ def _reason(seq: str, qual: str, config: Config) -> Column:
 def process_paired(reads: DataFrame, config: Config) -> DataFrame:
     """Pairs (read_id, header1, seq1, qual1, header2, seq2, qual2) through all steps -> one row a read that goes out.
 
-    Rows: read_id, mate (0 for merged), header, seq, qual, the steps' outcomes, n_sources, fail_reason, read_type, file.
+    Rows: read_id, mate (0 for merged), header, seq, qual, the steps' outcomes, n_sources, fail_reason, read_type, file, and sample and
+    orientation of demultiplexed mates.  trimmed_reads and quality_reads are the mates that the last fixed and the quality trimming
+    took bases from: of a merged read both where both ends lost some, or one end more than its mate alone had there.
     """
     config = config.resolved()
     pairs = select_adapters(reads, config, ["seq1", "seq2"])
@@ -98,17 +133,17 @@ def process_paired(reads: DataFrame, config: Config) -> DataFrame:
     for i, (seq, qual) in enumerate(mates, 1):
         out = trim.fixed(out, 0, config.pre_trim3p[i - 1], seq, qual, prefix=f"pre{i}")
         out = trim.polyx(out, tails, config.trim_polyx_threshold, seq, qual, prefix=f"pre_polyx{i}")
-    if pairs is None or pairs:
-        out = align.paired(out, pairs or [("", "")], config.shift, config.mismatch_rate, config.min_overlap, config.merge_threshold)
-    else:
-        out = align.paired(out, [], config.shift, config.mismatch_rate, config.min_overlap, config.merge_threshold)
+    tried = [] if pairs == [] else pairs or [("", "")]
+    out = align.paired(out, tried, config.shift, config.mismatch_rate, config.min_overlap, config.merge_threshold, **barcoded(reads, config, pairs))
     out = align.truncate_paired(out.withColumns({"n1": F.length("seq1"), "n2": F.length("seq2")}))
-    common = ["read_id", "aln", "aln_type", "insert_size", "adapter_bp", "adapter_reads", "in1", "in2",
+    common = [*(c for c in ("sample", "orientation") if c in reads.columns), "read_id", "aln", "aln_type", "insert_size", "adapter_bp", "adapter_reads", "in1", "in2",
               *(f"pre{i}_{e}" for i in (1, 2) for e in ("5p", "3p")), *(f"pre_polyx{i}_{e}" for i in (1, 2) for e in ("base", "n"))]
     # Merged reads are a third read beside the mates.  Whichever of them don't apply to a pair are empty, so one scan serves both.
     mergeable = F.lit(config.merge) & (F.col("aln_type") == "mergeable")
     third = [("seq0", "qual0")] if config.merge else []
     if config.merge:
+        start = F.greatest(F.lit(0), F.col("aln.offset"))
+        out = out.withColumns({"own1": start, "own2": F.length("seq2") - (F.length("seq1") - start)})
         out = align.merge_all(out, config.merge_strategy, config.merge_quality_max, separator)
         out = out.withColumns({c: F.when(F.col("aln_type") == "mergeable", "").otherwise(F.col(c)) for pair in mates for c in pair})
     for i, (seq, qual) in enumerate([*third, *mates], 0 if config.merge else 1):
@@ -122,6 +157,15 @@ def process_paired(reads: DataFrame, config: Config) -> DataFrame:
             out = trim.polyx(out, config.post_trim_polyx.upper(), config.trim_polyx_threshold, seq, qual, prefix=f"post_polyx{i}")
         strategy = "none" if i == 0 and config.preserve5p else config.quality_trimming
         out = trim.quality(out, strategy, config.preserve5p, config.trim_mott_rate, config.trim_windows, config.trim_min_quality, seq=seq, qual=qual, prefix=f"quality{i}")
+        events = [(F.col(f"{e}{i}_5p"), F.col(f"{e}{i}_3p")) for e in ("post", "quality")]
+        if i:
+            touched = [F.when(n5 + n3 > 0, 1).otherwise(0) for n5, n3 in events]
+        else:
+            fixed = trim.merged_sources(*events[0], F.col("own1"), F.col("own2"))
+            touched = [fixed["reads"], trim.merged_sources(*events[1], fixed["unique1"], fixed["unique2"])["reads"]]
+        out = out.withColumns({f"trimmed_reads{i}": touched[0], f"quality_reads{i}": touched[1]})
+        if i == 0 and config.normalize_orientation and "orientation" in reads.columns:
+            out = demux.normalize_orientation(out, seq, qual)
         out = out.withColumn(f"fail{i}", _reason(seq, qual, config))
     t1, t2 = routing.pair_types(F.col("fail1").isNull(), F.col("fail2").isNull())
 
@@ -130,13 +174,14 @@ def process_paired(reads: DataFrame, config: Config) -> DataFrame:
         return F.struct(
             F.lit(i).alias("mate"), F.col(f"header{i}").alias("header"), F.col(f"seq{i}").alias("seq"), F.col(f"qual{i}").alias("qual"), F.col(f"quality{i}_5p").alias("quality_5p"),
             F.col(f"quality{i}_3p").alias("quality_3p"), F.col(f"fail{i}").alias("fail_reason"), kind.alias("read_type"), (before - F.length(f"seq{i}")).alias("total_trimmed"),
-            F.lit(sources).alias("n_sources"), *counts)
+            F.lit(sources).alias("n_sources"), F.col(f"trimmed_reads{i}").alias("trimmed_reads"), F.col(f"quality_reads{i}").alias("quality_reads"), *counts)
 
     reads_out = F.array(read(1, t1, F.col("in1"), 1), read(2, t2, F.col("in2"), 1))
     if config.merge:
         merged = read(0, routing.merged_type(F.col("fail0").isNull()), F.col("in1") + F.col("in2"), 2)
         reads_out = F.when(mergeable, F.array(merged)).otherwise(reads_out)
     done = out.select(*common, F.explode(reads_out).alias("m")).select(*common, "m.*")
+    done = done.withColumn("header", written_header("header", config, separator))
     return done.withColumn("file", routing.file_of("read_type"))
 
 
@@ -181,7 +226,7 @@ def paired_counts(done: DataFrame) -> DataFrame:
     low = F.col("quality_5p") + F.col("quality_3p")
     merged, zero = F.when(F.col("mate") == 0, 2).otherwise(0), F.lit(0)
     one_of = F.when(F.col("mate") != 2, 1).otherwise(0)
-    rows = [one("adapters", F.col("adapter_reads") * one_of, F.col("adapter_bp") * one_of), one("low_quality", F.when(low > 0, 1).otherwise(0), low),
+    rows = [one("adapters", F.col("adapter_reads") * one_of, F.col("adapter_bp") * one_of), one("low_quality", F.col("quality_reads"), low),
             one("total", F.when(F.col("mate") == 0, 2).when(F.col("total_trimmed") > 0, 1).otherwise(0), F.col("total_trimmed")),
             one("merged", merged, F.when(F.col("mate") == 0, F.length("seq")).otherwise(0)), one("mismatches_resolved", zero, F.col("mm_resolved")),
             one("mismatches_unresolved", zero, F.col("mm_unresolved")), one("ns_resolved", zero, F.col("ns_resolved"))]
