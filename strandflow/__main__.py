@@ -9,13 +9,13 @@ import argparse
 import logging
 import os
 import sys
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.config import Config, ConfigError
-from strandflow.operators import routing, stats
+from strandflow.operators import filters, routing, stats
 from strandflow.plans import pipeline
 from strandflow.sources import adapters, fastq, writers
 
@@ -62,9 +62,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def check_paths(inputs: list[str], outputs: list[str]) -> None:
-    """Inputs can be read and occur once; outputs are new and differ by more than case."""
+    """Inputs can be read and occur once; outputs are new and differ by more than case.  Paths with a scheme are left to Spark."""
     for path in inputs:
-        if not os.access(path, os.R_OK):
+        if "://" not in path and not os.access(path, os.R_OK):
             raise ConfigError(f"can't read {path}")
     real = [os.path.realpath(p) for p in inputs]
     if len(set(real)) < len(real):
@@ -111,30 +111,61 @@ def configure(spark: SparkSession, args: argparse.Namespace) -> Config:
     return Config(paired=paired, head=args.head, read_group=writers.read_group(args.read_group) if args.read_group else {}, **values).resolved()
 
 
-def write_output(done: DataFrame, config: Config, sample: str | None) -> list[str]:
-    """One folder a file class that occurs; discarded reads are written in SAM and BAM only."""
-    extension = "." + config.out_format
-    alignments = extension.startswith((".sam", ".bam", ".ubam"))
-    header = writers.sam_header([config.read_group] if config.read_group else [], " ".join(sys.argv))
+def groups_of(config: Config, samples: list[str]) -> dict[str, dict[str, str]]:
+    """The read group of each sample, the whole run's under an empty name."""
+    if not config.read_group:
+        return {}
+    text = "\t".join(f"{k}:{v}" for k, v in config.read_group.items())
+    codes = {b.sample: (b.bc1, b.bc2) for b in config.barcodes if sum(x.sample == b.sample for x in config.barcodes) == 1}
+    return {"": config.read_group, **{s: writers.read_group(text, s, codes.get(s, ("", ""))) for s in samples}}
+
+
+def write_output(done: DataFrame, config: Config) -> list[str]:
+    """Reads with sample (null for a run without barcodes), read_type and file -> folders prefix[.sample].file.extension.
+
+    The run is written once, in folders by sample and file, which then get their names.  Discarded reads go to SAM and BAM only.
+    """
+    spark, extension = done.sparkSession, "." + config.out_format
+    samples = sorted({b.sample for b in config.barcodes})
+    groups = groups_of(config, samples)
     separator = config.mate_separator or "/"
-    out = []
-    for file in routing.SUFFIXES:
-        if alignments and file != "mate_1":
-            continue
-        path = routing.output_name(config.out_prefix, sample, file, extension)
-        part = done if alignments else done.where(F.col("file") == file)
-        if not alignments and (file == "discarded" or part.isEmpty()):
-            continue
-        if extension.startswith(".sam"):
-            lines = part.select(routing.sam_text(separator=separator, read_group=F.lit(config.read_group["ID"]) if config.read_group else None).alias("value"))
-            top = done.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
-            top.unionByName(lines).write.option("compression", "gzip" if extension.endswith(".gz") else "none").text(path)
-        elif alignments:
-            writers.write_bam(part, path, header, separator, config.read_group.get("ID"))
-        else:
-            writers.write_fastq(part, path, gzip=extension.endswith(".gz"), order="read_id")
-        out.append(path)
-    return out
+    where = f"{config.out_prefix}.parts"
+    sample = F.coalesce("sample", F.lit("")) if "sample" in done.columns else F.lit("")
+    if extension.startswith((".bam", ".ubam")):
+        out = []
+        for name in [*samples, "unidentified"] if config.barcodes else [""]:
+            path = routing.output_name(config.out_prefix, name or None, "mate_1", extension)
+            group = groups.get(name, {})
+            writers.write_bam(done.where(sample == name), path, writers.sam_header([group] if group else [], " ".join(sys.argv)), separator, group.get("ID"))
+            out.append(path)
+        return out
+    alignments = extension.startswith(".sam")
+    ids = F.create_map(*[F.lit(x) for k, g in groups.items() for x in (k, g["ID"])])[sample] if groups else None
+    text = routing.sam_text(separator=separator, read_group=ids) if alignments else None
+    kept = done.withColumn("out_sample", sample).withColumn("out_file", F.lit("mate_1") if alignments else F.col("file"))
+    kept = kept if alignments else kept.where("out_file <> 'discarded'")
+    writers.write_fastq(kept, where, ["out_sample", "out_file"], extension.endswith(".gz"), "read_id", text)
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(where)
+    files, out = top.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for own in files.listStatus(top):
+        if own.isDirectory():
+            name = own.getPath().getName().partition("=")[2]
+            name = "" if name == "__HIVE_DEFAULT_PARTITION__" else name
+            for part in files.listStatus(own.getPath()):
+                path = routing.output_name(config.out_prefix, name or None, part.getPath().getName().partition("=")[2], extension)
+                files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path))
+                out.append(path)
+    files.delete(top, True)
+    if alignments:
+        # The header is a file of its own, read before the parts of the folder.
+        for path in out:
+            name = path.removeprefix(config.out_prefix).removesuffix(extension).strip(".")
+            header = writers.sam_header([groups[name]] if name in groups else [], " ".join(sys.argv))
+            stream = files.create(jvm.org.apache.hadoop.fs.Path(f"{path}/header.sam"))
+            stream.write(bytearray(("\n".join(header) + "\n").encode()))
+            stream.close()
+    return sorted(out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -147,6 +178,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         bad = fastq.pair_violations(reads, found).select("header1", "header2", "reason").head(1)
         if bad:
             raise ConfigError(f"{bad[0]['reason']}: {bad[0]['header1']} and {bad[0]['header2']}")
+        config = replace(config, mate_separator=found)
     sides = ("1", "2") if paired else ("",)
     inputs = {f"read{s or 1}": reads.select("read_id", F.col(f"seq{s}").alias("seq"), F.col(f"qual{s}").alias("qual")) for s in sides}
     sampled = {k: stats.sampled(v, config.report_sample_rate) for k, v in inputs.items()}
@@ -154,29 +186,48 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if config.report_only:
         sizes = pipeline.report_only(reads)["insert_sizes"] if paired else None
         return writers.json_report(config.report_title, sampled, None, duplication=duplication, insert_sizes=sizes)
-    outputs: dict[str, DataFrame] = {}
     steps = sizes = None
-    groups: list[tuple[str | None, DataFrame]] = [(None, reads)]
+    process = pipeline.process_paired if paired else pipeline.process_single
     if config.barcodes:
         split = pipeline.demultiplex_only(reads, config) if config.demultiplex_only else pipeline.demultiplexed(reads, config)
-        names = sorted({b.sample for b in config.barcodes})
-        groups = [(s, split.where(F.col("sample") == s)) for s in names] + [("unidentified", split.where("sample is null"))]
-    for sample, own in groups:
-        if config.demultiplex_only or sample == "unidentified":
-            mates = [own.select("read_id", F.col(f"header{s}").alias("header"), F.col(f"seq{s}").alias("seq"), F.col(f"qual{s}").alias("qual"),
-                                F.lit(f"pe_{s}" if s else "se").alias("read_type"), F.lit(f"mate_{s or 1}").alias("file")) for s in sides]
-            done = mates[0] if len(mates) == 1 else mates[0].unionByName(mates[1])
-        else:
-            done = (pipeline.process_paired if paired else pipeline.process_single)(own, config)
-            if sample is None:
-                steps = pipeline.paired_counts(done) if paired else pipeline.step_counts(done)
-                if paired:
-                    sizes = done.where("aln_type = 'mergeable' and mate <> 2").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n"))
-        outputs[sample or "all"] = stats.sampled(done.where("file <> 'discarded'").select("read_id", "seq", "qual"), config.report_sample_rate)
-        if config.out_prefix:
-            for path in write_output(done, config, sample):
-                log.info("wrote %s", path)
-    return writers.json_report(config.report_title, sampled, outputs, steps, duplication, sizes)
+        loose = split if config.demultiplex_only else split.where("sample is null")
+        mates = [loose.select(F.coalesce("sample", F.lit("unidentified")).alias("sample"), "read_id", F.col(f"header{s}").alias("header"), F.col(f"seq{s}").alias("seq"), F.col(f"qual{s}").alias("qual"),
+                              F.lit(f"pe_{s}" if s else "se").alias("read_type"), F.lit(f"mate_{s or 1}").alias("file")) for s in sides]
+        done = mates[0] if len(mates) == 1 else mates[0].unionByName(mates[1])
+        if not config.demultiplex_only:
+            # Outputs, counters and reports read what is processed once.
+            known = process(split.where("sample is not null"), config).persist()
+            steps = pipeline.paired_counts(known) if paired else pipeline.step_counts(known)
+            done = known.select(*done.columns).unionByName(done)
+    else:
+        known = done = process(reads, config).persist()
+        steps = pipeline.paired_counts(done) if paired else pipeline.step_counts(done)
+    if paired and steps is not None:
+        sizes = known.where("aln_type = 'mergeable' and mate <> 2").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n"))
+    passed = stats.sampled(done.where("file <> 'discarded'"), config.report_sample_rate)
+    names = [*sorted({b.sample for b in config.barcodes}), "unidentified"] if config.barcodes else ["all"]
+    outputs = {n: (passed.where(F.col("sample") == n) if config.barcodes else passed).select("read_id", "seq", "qual") for n in names}
+    if config.out_prefix:
+        for path in write_output(done, config):
+            log.info("wrote %s", path)
+    details = run_details(known, paired) if steps is not None else None
+    report = writers.json_report(config.report_title, sampled, outputs, steps, duplication, sizes, details)
+    if steps is not None:
+        known.unpersist()
+    return report
+
+
+def run_details(known: DataFrame, paired: bool) -> dict[str, DataFrame]:
+    """Filters, adapters by their number, and poly-X tails by base: bounded tables of a run."""
+    once = known.where("mate <> 2") if paired else known
+    tails = [F.struct(F.lit(when).alias("when"), F.col(f"{when}_polyx{i}_base").alias("base"), F.col(f"{when}_polyx{i}_n").alias("n"))
+             for when in ("pre", "post") for i in (("1", "2") if paired else ("",)) if f"{when}_polyx{i}_base" in known.columns]
+    polyx = once.select(F.explode(F.array(*tails)).alias("t")).select("t.*").where("n > 0")
+    return {
+        "filters": filters.filter_counts(known, weight=F.col("n_sources") if paired else 1),
+        "adapters": once.where("adapter_bp > 0").groupBy(F.col("aln.adapter_id").alias("adapter_id")).agg(F.count(F.lit(1)).alias("reads"), F.sum("adapter_bp").alias("bases")),
+        "polyx": polyx.groupBy("when", "base").agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("bases")),
+    }
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import io
 import logging
+import os
 import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -184,8 +188,6 @@ class FastqReader(DataSourceReader):
         self.size = int(options.get("splitBytes", 64 << 20))
 
     def partitions(self) -> list[Split]:
-        import os
-
         out = []
         for i, path in enumerate(self.paths):
             with open(path, "rb") as f:
@@ -259,7 +261,122 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
+    """The beginning of a file on any file system that Spark knows."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
+    finally:
+        stream.close()
+
+
+def _kept(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """(splits, lines) of a batch without blank lines and carriage returns."""
+    text = pc.utf8_rtrim(batch.column(1), "\r")
+    there = pc.not_equal(text, "")
+    return batch.column(0).filter(there).to_numpy(zero_copy_only=False), text.filter(there)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, int)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+def _split_batches(batches):
+    """One row a split: its number of lines and the first three of them, which may end a record of the split before."""
+    count: dict[int, int] = {}
+    first: dict[int, list[str]] = {}
+    for batch in batches:
+        splits, text = _kept(batch)
+        for lo, hi in _runs(splits):
+            at = int(splits[lo])
+            count[at] = count.get(at, 0) + hi - lo
+            mine = first.setdefault(at, [])
+            mine += text[lo:min(hi, lo + 3 - len(mine))].to_pylist() if len(mine) < 3 else []
+    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), pa.array([first[k] for k in count], pa.list_(pa.string()))],
+                                     ["split", "n", "first"])
+
+
+def _check(header: pa.Array, seq: pa.Array, plus: pa.Array, qual: pa.Array, where: str) -> None:
+    problems = {"invalid header": pc.and_(pc.starts_with(header, "@"), pc.greater(pc.binary_length(header), 1)), "missing separator": pc.starts_with(plus, "+"),
+                "qualities of another length": pc.equal(pc.binary_length(seq), pc.binary_length(qual))}
+    for problem, fine in problems.items():
+        if not pc.all(fine, min_count=0).as_py():
+            raise ValueError(f"{problem} at {header[pc.index(fine, False).as_py()]} of {where}")
+
+
+def plain_records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(rows (rec, header, seq, qual), number of records) of an uncompressed file on any file system.
+
+    Spark's text reader cuts the file into splits.  A first pass counts the lines of every split and takes its first three: one
+    small row a split goes to the driver, which then knows where in a record each split begins, and how its last one ends.  The
+    second pass makes records of whole batches of lines, and nothing is shuffled.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("split"), "value")
+    found = sorted(tuple(r) for r in lines.mapInArrow(_split_batches, "split long, n long, first array<string>").collect())
+    total = sum(n for _, n, _ in found)
+    if total % 4:
+        raise ValueError(f"truncated record at the end of {path}")
+    begins, ends, at = {}, {}, 0
+    for i, (split, n, _) in enumerate(found):
+        begins[split], at = at, at + n
+        after = [line for _, _, first in found[i + 1:i + 5] for line in first]
+        ends[split] = after[:-at % 4]
+    held = spark.sparkContext.broadcast((begins, ends))
+
+    def run(batches):
+        begins, ends = held.value
+        split, place, left = None, 0, pa.array([], pa.string())
+
+        def records(text: pa.Array, first: int) -> pa.RecordBatch:
+            four = [text.take(pa.array(np.arange(k, len(text), 4))) for k in range(4)]
+            _check(*four, path)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(four[0])) + first // 4, pa.int64()), four[0], four[1], four[3]], ["rec", "header", "seq", "qual"])
+
+        def close():
+            if len(left):
+                yield records(pa.concat_arrays([left, pa.array(ends[split], pa.string())]), place)
+
+        for batch in batches:
+            splits, text = _kept(batch)
+            for lo, hi in _runs(splits):
+                own = text.slice(lo, hi - lo)
+                if splits[lo] != split:
+                    yield from close()
+                    split = int(splits[lo])
+                    # What ends the record of the split before is that one's.
+                    place, left, skip = begins[split] + -begins[split] % 4, own.slice(0, 0), -begins[split] % 4
+                else:
+                    skip = max(0, skip)
+                gone = min(skip, len(own))
+                skip, own = skip - gone, pa.concat_arrays([left, own.slice(gone)])
+                whole = len(own) // 4 * 4
+                if whole:
+                    yield records(own.slice(0, whole), place)
+                place, left = place + whole, own.slice(whole)
+        yield from close()
+
+    return lines.mapInArrow(run, "rec long, header string, seq string, qual string"), total // 4
+
+
 def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    spark.dataSource.register(FastqSource)
-    reads = spark.read.format("fastq").load(",".join(paths))
-    return concatenated(reads, "place").drop("place")
+    """Rows (read_idx, file_ord, header, seq, qual) of files one after the other, compressed or not by their content.
+
+    Plain files are numbered from the counts of their splits, without a shuffle.  Compressed files are read by one task each;
+    those on other than local file systems have to be named .gz.
+    """
+    out, at = None, 0
+    for i, path in enumerate(paths):
+        local = "://" not in path and not path.startswith("file:")
+        packed = first_bytes(spark, f"file://{os.path.abspath(path)}" if local else path) == MAGIC
+        if packed and local:
+            spark.dataSource.register(FastqSource)
+            own = concatenated(spark.read.format("fastq").load(path), "place").withColumnRenamed("read_idx", "rec").select("rec", "header", "seq", "qual")
+            n = own.count() if i + 1 < len(paths) else 0
+        else:
+            own, n = plain_records(spark, f"file://{os.path.abspath(path)}" if local else path)
+        own = own.select((F.col("rec") + at).alias("read_idx"), F.lit(i).alias("file_ord"), "header", "seq", "qual")
+        out, at = own if out is None else out.unionByName(own), at + n
+    return out

@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -25,14 +25,16 @@ END_OF_FILE = bytes.fromhex("1f8b08040000000000ff0600424302001b00030000000000000
 BASE_CODES = "=ACMGRSVTWYHKDBN"
 
 
-def write_fastq(reads: DataFrame, path: str, by: list[str] | None = None, gzip: bool = True, order: str | None = None) -> None:
-    """Text files of records, one folder for each value of the columns in `by`, in the order of a column if one is named."""
+def write_fastq(reads: DataFrame, path: str, by: list[str] | None = None, gzip: bool = True, order: str | None = None, text: Column | None = None) -> None:
+    """Text files of records, one folder for each value of the columns in `by`, in the order of a column if one is named.
+
+    Ordered records are dealt out by ranges of (by, order), so that one large sample is written by as many tasks as it needs, and its
+    part files follow each other.
+    """
     by = by or []
-    out = reads.select(*by, *([order] if order else []), routing.fastq_text().alias("value"))
-    if by:
-        out = out.repartition(*by)
+    out = reads.select(*by, *([order] if order else []), (routing.fastq_text() if text is None else text).alias("value"))
     if order:
-        out = out.sortWithinPartitions(*by, order) if by else out.orderBy(order)
+        out = out.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
     writer = out.select(*by, "value").write.option("compression", "gzip" if gzip else "none").mode("error")
     (writer.partitionBy(*by) if by else writer).text(path)
 
@@ -177,8 +179,8 @@ def summary_report(reads: DataFrame) -> dict:
 
 
 def json_report(title: str, inputs: dict[str, DataFrame], outputs: dict[str, DataFrame] | None, steps: DataFrame | None = None,
-                duplication: DataFrame | None = None, insert_sizes: DataFrame | None = None) -> dict:
-    """The report of a run; what wasn't asked for is null."""
+                duplication: DataFrame | None = None, insert_sizes: DataFrame | None = None, details: dict[str, DataFrame] | None = None) -> dict:
+    """The report of a run; what wasn't asked for is null.  details: further bounded tables by name."""
     def whole(streams):
         frames = list(streams.values())
         one = frames[0].select("seq", "qual")
@@ -189,6 +191,7 @@ def json_report(title: str, inputs: dict[str, DataFrame], outputs: dict[str, Dat
     return {
         "meta": {"title": title}, "summary": {"input": whole(inputs), "output": whole(outputs) if outputs else None},
         "input": {k: stream_report(v) for k, v in inputs.items()}, "processing": [r.asDict() for r in steps.collect()] if steps is not None else None,
+        "details": {k: sorted((r.asDict() for r in v.collect()), key=str) for k, v in details.items()} if details else None,
         "analyses": {"duplication": [r.asDict() for r in duplication.collect()] if duplication is not None else None,
                      "insert_sizes": _dense(insert_sizes.collect(), "insert_size", "n") if insert_sizes is not None else None},
         "output": {k: stream_report(v) for k, v in outputs.items()} if outputs else None,
@@ -221,6 +224,20 @@ def _bars(values: list, width: int = 600, height: int = 120) -> str:
     return f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}" fill="#4477aa">{bars}</svg>'
 
 
+#: Colours of bases in curves.
+COLOURS = {"a": "#228833", "c": "#4477aa", "g": "#222222", "t": "#ee6677", "n": "#bbbbbb", "mean": "#aa3377"}
+
+
+def _curves(series: dict[str, list], width: int = 600, height: int = 160) -> str:
+    """One line a series by position; places without a value are left out."""
+    top = max((v for values in series.values() for v in values if v is not None), default=0) or 1
+    lines = []
+    for name, values in series.items():
+        points = " ".join(f"{i * width / max(len(values) - 1, 1):.1f},{height - v / top * height:.1f}" for i, v in enumerate(values) if v is not None)
+        lines.append(f'<polyline fill="none" stroke="{COLOURS.get(name, "#888888")}" points="{points}"><title>{html.escape(name)}</title></polyline>')
+    return f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}">{"".join(lines)}</svg>'
+
+
 def html_report(report: dict) -> str:
     """A page that needs nothing else: tables and bar charts of the report."""
     def table(rows: dict) -> str:
@@ -236,7 +253,8 @@ def html_report(report: dict) -> str:
                 if stream[key]:
                     parts.append(f"<h4>{key.replace('_', ' ')}</h4>{_bars(stream[key])}")
             if stream["quality_curves"]:
-                parts.append(f"<h4>mean quality by position</h4>{_bars(stream['quality_curves']['mean'])}")
+                parts.append(f"<h4>quality by position and base</h4>{_curves(stream['quality_curves'])}")
+                parts.append(f"<h4>bases by position</h4>{_curves(stream['content_curves'])}")
     if report["processing"]:
         total = report["summary"]["input"]["reads"]
         rows = "".join(f"<tr><td>{html.escape(r['step'])}</td><td>{thousands(r['reads'] or 0)}</td><td>{percentage(r['reads'] or 0, total)}</td><td>{thousands(r['bases'] or 0)}</td></tr>" for r in report["processing"])

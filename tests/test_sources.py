@@ -33,6 +33,71 @@ def test_compressed_files_are_known_by_content_and_follow_each_other(spark, tmp_
     assert rows(fastq.read_fastq(spark, [str(tmp_path / "a.fastq"), str(tmp_path / "b")])) == RECORDS + RECORDS
 
 
+@pytest.mark.parametrize("size", [61, 700, 10**6])
+@pytest.mark.parametrize("text", [TEXT, TEXT[:-1], TEXT.replace("\n", "\r\n"), "\n\n" + TEXT + "\n\n"])
+def test_records_are_numbered_across_splits(spark, tmp_path, size, text):
+    """Splits of any size, smaller than a line and larger than the file, of two files; nothing is shuffled."""
+    for name in ("a.fastq", "b.fastq"):
+        (tmp_path / name).write_bytes(text.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        paths = [str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq")]
+        # Splits of a few bytes are slow, so these have a short file.
+        if size < 100:
+            whole = [line for line in text[:len(text) // 40].replace("\r", "").split("\n") if line]
+            whole = whole[:len(whole) // 4 * 4 - 4]
+            for path in paths:
+                open(path, "w").write("\n".join(whole) + "\n")
+            records = list(zip(whole[::4], whole[1::4], whole[3::4]))
+        else:
+            records = RECORDS
+        got = fastq.read_fastq(spark, paths)
+        assert rows(got) == records + records and [r["read_idx"] for r in got.orderBy("read_idx").collect()] == list(range(2 * len(records)))
+        assert "Exchange" not in got._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_cut_file_fails(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text(TEXT + "@x\nAC\n")
+    with pytest.raises(ValueError, match="truncated"):
+        fastq.read_fastq(spark, [str(tmp_path / "a.fastq")])
+
+
+def test_samples_are_written_at_once(spark, tmp_path):
+    """A demultiplexed run in FASTQ and SAM: folders by sample and file, adapters behind barcodes, a read group a sample."""
+    from strandflow.__main__ import main
+
+    reads = fx.barcoded_pe(spark, SF_DIR).orderBy("read_id").limit(400).collect()
+    for i in (1, 2):
+        (tmp_path / f"r{i}.fastq").write_text("".join(f"{r[f'header{i}']}\n{r[f'seq{i}']}\n+\n{r[f'qual{i}']}\n" for r in reads))
+    table = tmp_path / "barcodes.txt"
+    table.write_text("".join(f"{b.sample} {b.bc1} {b.bc2}\n" for b in fx.BARCODES_PE if b.orientation == "unspecified"))
+    one, two, out = (str(tmp_path / x) for x in ("r1.fastq", "r2.fastq", "out"))
+    common = ["--in-file1", one, "--in-file2", two, "--barcode-table", str(table), "--adapter1", fx.ADAPTER1, "--adapter2", fx.ADAPTER2, "--pre-trim-polyx", "", "--normalize-mate-separator", "."]
+    assert main([*common, "--out-prefix", out, "--out-json", f"{out}.json"]) == 0
+    names = {p.name for p in tmp_path.iterdir() if p.is_dir()}
+    assert {"out.beta.r1.fastq.gz", "out.unidentified.r1.fastq.gz"} <= names and "out.parts" not in names
+    heads = [r["value"] for r in spark.read.text(f"{out}.beta.r1.fastq.gz").collect() if r["value"].startswith("@")]
+    assert heads and all(h.endswith(".1") for h in heads)
+    report = json.loads((tmp_path / "out.json").read_text())
+    assert set(report["output"]) == {"beta", "gamma", "delta", "unidentified"} and report["details"]["adapters"] and report["details"]["filters"]
+    assert main([*common, "--out-prefix", f"{out}2", "--out-format", "sam", "--read-group", "ID:run\tPL:X"]) == 0
+    lines = [r["value"] for r in spark.read.text(f"{out}2.beta.sam").collect()]
+    assert any(x.startswith("@RG\tID:run.beta") and "SM:beta" in x for x in lines) and all(x.endswith("RG:Z:run.beta") for x in lines if not x.startswith("@"))
+
+
+def test_swapped_adapters_are_told(spark, caplog):
+    reads = fx.reads_pe(spark, SF_DIR)
+    turned = reads.select("read_id", *[reads[f"{c}{3 - i}"].alias(f"{c}{i}") for i in (1, 2) for c in ("header", "seq", "qual")])
+    ordinal = fastq.concatenated(turned.selectExpr("*", "0 as file_ord", "read_id as rec")).drop("read_id", "file_ord", "rec").withColumnRenamed("read_idx", "read_id")
+    assert pipeline.select_adapters(ordinal, Config(paired=True).resolved(), ["seq1", "seq2"]) == [(fx.ADAPTER2, fx.ADAPTER1)]
+    assert any("swapped" in r.message for r in caplog.records)
+
+
 def test_what_follows_compressed_data_is_left_out(spark, tmp_path):
     (tmp_path / "a").write_bytes(gzip.compress(TEXT.encode()) + gzip.compress(TEXT.encode()) + b"\0rest")
     assert rows(fastq.read_fastq(spark, [str(tmp_path / "a")])) == RECORDS + RECORDS
