@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -70,6 +71,18 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, Arrow functions that run get so many rows at once: for rows with long lists, of which the default makes large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes; together a key on which collisions need not be considered."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]
