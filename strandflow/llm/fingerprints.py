@@ -12,8 +12,8 @@ from strandflow.llm.common import connected_components, hash128, materialize
 #: Four 16-bit lanes of a long; 16 shifts of it cover 64 bits.
 LANES = 0x0001000100010001
 PAIRS = 0x0000FFFF0000FFFF
-#: The largest weight of a position (word and pair) times its words in one chunk stays below 2^16.
-CHUNK, MAX_WORD, PAIR = 4096, 8, 2
+#: The largest weight of a position (word and pair) times its words in one chunk stays below 2^15: the highest lane has the sign of the long.
+CHUNK, MAX_WORD, PAIR = 2048, 8, 2
 
 
 def simhash(rows: DataFrame, texts: dict[str, str], keys: list[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def simhash(rows: DataFrame, texts: dict[str, str], keys: list[str]) -> DataFram
 
     Every word votes on the 64 bits of its hash with its length less two, 1 to 8, every pair of neighbouring words on
     those of its own with 2.  A bit is set if the votes for it are more than half.  Votes are summed in 16-bit lanes
-    of 16 longs over chunks of 4096 words, before anything is shuffled, then in 32-bit lanes.
+    of 16 longs over chunks of 2048 words, before anything is shuffled, then in 32-bit lanes.
     A text without words has fingerprint 0.
     """
     names = list(texts)
