@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -83,6 +84,26 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def sized_batches(spark: SparkSession, rows: int, size: int):
+    """Within it, Arrow functions that run get so many rows or bytes at once, whichever is less."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, (rows, size), strict=True):
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that no table needs any longer, which else waits until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes; together a key on which collisions need not be considered."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import connected_components, discard, hash128, materialize, small_batches, words_of
+from strandflow.llm.common import connected_components, discard, free_shuffles, hash128, materialize, sized_batches, small_batches, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,10 +23,17 @@ ORDERS, PICKS = 12, 4
 #: Texts of up to so many k-mers have each k-mer as a key besides: two of them may share one only.
 FEW = 16
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Pairs of words are counted in so many classes, which tells common from rare ones.
+#: Grams of words are counted in so many classes, which tells common from rare ones.
 CLASSES = 1 << 18
-#: Rows of words or keys that one Arrow batch holds.
-BATCH = 1000
+#: Texts of up to SHORT words that meet are compared by their word pairs, longer ones by their word triples: with as many edits as are
+#: allowed, ten words keep a triple, and fewer need not.
+SHORT = 9
+#: Similar texts share one more token for each so many words of the shorter.
+PER_TOKEN = 16
+#: Bits of a token and of the class by which tokens are ordered; what is left of 64 numbers the texts that are sorted at once.
+TOKEN_BITS, RANK_BITS = 40, 12
+#: Rows of words or keys that one Arrow batch holds; those of tokens, and bytes of either.
+BATCH, SPOT_BATCH, BATCH_BYTES = 1000, 50_000, 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -198,48 +205,147 @@ def _sketch_batches(batches):
             keys, of = order_sketches(flat[ends[lo]:ends[hi]], lengths[lo:hi])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(lengths[lo:hi], pa.int32()),
-                 _lists(np.bincount(of, minlength=hi - lo), pa.array(keys.view(np.int64)))], ["k1", "k2", "n", "keys"])
+                 _lists(np.bincount(of, minlength=hi - lo), pa.array(keys.view(np.int64))),
+                 _lists(lengths[lo:hi], pa.array(flat[ends[lo]:ends[hi]].astype(np.uint32).view(np.int32)))], ["k1", "k2", "n", "keys", "words"])
 
 
-def _class_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(CLASSES - 1)).astype(np.int64)
+def _class_of(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
-def word_pairs(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, documents) of every two neighbouring words."""
+def word_grams(flat: np.ndarray, lengths: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of 52 bits, documents) of every q neighbouring words."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    first = np.flatnonzero(doc[q - 1:] == doc[:max(len(doc) - q + 1, 0)])
     words = flat.astype(np.uint64)
-    return _mix(_mix(words[inner]) + words[inner + 1]), doc[inner]
+    gram = np.full(len(first), q, np.uint64)
+    for t in range(q):
+        gram = _mix(gram + words[first + t])
+    return gram >> np.uint64(64 - TOKEN_BITS - RANK_BITS), doc[first]
+
+
+def _kinds(flat: np.ndarray, lengths: np.ndarray):
+    """(q, words, lengths) for pairs and triples: those texts that meet others by them, the rest without words.
+
+    A pair of texts whose longer one has SHORT words at most meets by pairs, any other by triples; the texts of the latter have
+    0.8 x (SHORT + 1) words at least.
+    """
+    for q, own in ((2, lengths <= SHORT), (3, lengths >= np.ceil(SIMILARITY * (SHORT + 1) - 1e-9))):
+        if own.any():
+            yield q, flat[np.repeat(own, lengths)], np.where(own, lengths, 0)
 
 
 def _count_batches(batches):
     counts = np.zeros(CLASSES, np.int64)
     for batch in batches:
-        counts += np.bincount(_class_of(word_pairs(*_words_of_batch(batch, 0))[0]), minlength=CLASSES)
+        for q, flat, lengths in _kinds(*_words_of_batch(batch, 0)):
+            counts += np.bincount(_class_of(word_grams(flat, lengths, q)[0]), minlength=CLASSES)
     there = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], ["c", "n"])
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """So many of rarest() two similar texts share at least, if the shorter has n words."""
+    return 1 + n // PER_TOKEN
+
+
 def rarest(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, their documents): so many of each document's rarest word pairs that two similar documents have one in common.
+    """(tokens, their documents): so many of each document's rarest grams that any two similar documents share least_shared() of them.
 
-    Pairs are labelled by their occurrence.  A document of m words that is e edits from one of n <= m words shares m - 1 - 2 e of
-    its m - 1 pairs with it, as an edit takes two at most; with e <= 0.2 m that is 0.6 m - 1.  So in any order that holds for
-    all documents the first n - (0.6 n - 1) of the one and the first m - (0.6 m - 1) of the other have one in common.
+    Grams of q words are labelled by their occurrence.  A document of m words that is e <= 0.2 m edits from one of n <= m words shares
+    m - q + 1 - q e of its grams with it, as an edit takes q at most: (1 - 0.2 q) m - q + 1, and not less if n stands for m.  In any order
+    that holds for all documents, all but the last o - s of a document's grams hold its first s shared ones, if it shares o.
+    The order decides how many documents meet in vain, not which meet.  Tokens that agree by chance make documents meet in vain as well.
     """
-    pair, doc = word_pairs(flat, lengths)
-    by = np.lexsort((pair, doc))
-    pair, doc = pair[by], doc[by]
-    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])[:len(pair)]
-    run = np.arange(len(pair))
-    occurrence = run - np.maximum.accumulate(np.where(new, run, 0))
-    token = _mix(pair + occurrence.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    by = np.lexsort((token, counts[_class_of(pair)], doc))
-    sizes = np.maximum(lengths - 1, 0)
-    place = run - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = place < (lengths - np.ceil((2 * SIMILARITY - 1) * lengths - 1 - 1e-9).astype(np.int64))[doc]
-    return token[by][first], doc[first]
+    tokens, of = [], []
+    for lo in range(0, len(lengths), 1 << (64 - TOKEN_BITS - RANK_BITS)):
+        some = lengths[lo:lo + (1 << (64 - TOKEN_BITS - RANK_BITS))]
+        at = int(lengths[:lo].sum())
+        for q, words, own in _kinds(flat[at:at + int(some.sum())], some):
+            gram, doc = word_grams(words, own, q)
+            shift, low = np.uint64(TOKEN_BITS + RANK_BITS), np.uint64((1 << (TOKEN_BITS + RANK_BITS)) - 1)
+            key = np.sort((doc.astype(np.uint64) << shift) | gram)
+            run = np.arange(len(key))
+            new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+            occurrence = (run - np.maximum.accumulate(np.where(new, run, 0))).astype(np.uint64)
+            gram = key & low
+            rank = np.minimum(np.log2(1.0 + counts[_class_of(gram)]) * 100, (1 << RANK_BITS) - 1).astype(np.uint64)
+            token = _mix(gram + np.uint64(q) + occurrence * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - TOKEN_BITS)
+            key = np.sort((key >> shift << shift) | (rank << np.uint64(TOKEN_BITS)) | token)
+            doc = (key >> shift).astype(np.int64)
+            sizes = np.maximum(own - q + 1, 0)
+            shared = np.ceil((1 - (1 - SIMILARITY) * q) * own - q + 1 - 1e-9).astype(np.int64)
+            first = run - (np.cumsum(sizes) - sizes)[doc] < (sizes - shared + least_shared(own))[doc]
+            tokens.append(key[first] & np.uint64((1 << TOKEN_BITS) - 1))
+            of.append(doc[first] + lo)
+    tokens, of = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.concatenate([np.zeros(0, np.int64), *of])
+    return tokens, of
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
+
+
+def _by_key(batches, made):
+    """made(columns) for the rows of batches, sorted by their first column, so cut that no value of it is in two calls."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        key = table.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        held = table.slice(cut)
+        if cut:
+            yield from made(table.slice(0, cut).combine_chunks())
+    if held is not None and held.num_rows:
+        yield from made(held.combine_chunks())
+
+
+def _met_batches(batches):
+    """Rows (spot, t, n, part, size), sorted by spot -> of every spot that several parts have, its texts in the order of their parts, the largest
+    last, and those that others stand behind, with the place where these begin.
+    """
+    def made(table):
+        spot, part = table.column(0).to_numpy(), table.column(3).to_numpy()
+        starts = _runs(spot)
+        several = np.minimum.reduceat(part, starts) < np.maximum.reduceat(part, starts)
+        if not several.any():
+            return
+        sizes = np.diff(np.append(starts, len(spot)))
+        kept = np.repeat(several, sizes)
+        t, n, part, size = (table.column(c).to_numpy()[kept] for c in range(1, 5))
+        sizes = sizes[several]
+        of, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+        by = np.lexsort((t, part, size, of))
+        t, n, part = t[by], n[by], part[by]
+        runs = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
+        lengths = np.diff(np.append(runs, len(t)))
+        stop = np.repeat(runs + lengths, lengths)
+        asks = np.flatnonzero(stop < ends[of])
+        met = pa.StructArray.from_arrays([pa.array(t), pa.array(n, pa.int32())], ["t", "n"])
+        own = pa.StructArray.from_arrays([pa.array(t[asks]), pa.array(n[asks], pa.int32()), pa.array((stop - (ends - sizes)[of])[asks] + 1, pa.int32())], ["t", "n", "at"])
+        yield pa.RecordBatch.from_arrays([_lists(sizes, met), _lists(np.bincount(of[asks], minlength=len(sizes)), own)], ["met", "own"])
+    yield from _by_key(batches, made)
+
+
+def _tally_batches(batches):
+    """Rows (x, n, ys), sorted by x -> the pairs (a, b) of an x and those of its ys that it has often enough."""
+    def made(table):
+        x, n, ys = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
+        sizes = np.diff(ys.offsets.to_numpy())
+        starts = _runs(x)
+        of = np.repeat(np.cumsum(np.isin(np.arange(len(x)), starts)) - 1, sizes)
+        y = ys.flatten().to_numpy(zero_copy_only=False)
+        by = np.lexsort((y, of))
+        y, of = y[by], of[by]
+        first = np.flatnonzero(np.concatenate([[True], (y[1:] != y[:-1]) | (of[1:] != of[:-1])])[:len(y)])
+        shared = np.diff(np.append(first, len(y)))
+        least = least_shared(np.ceil(SIMILARITY * n[starts] - 1e-9).astype(np.int64))
+        enough = first[shared >= least[of[first]]]
+        a, b = x[starts][of[enough]], y[enough]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    yield from _by_key(batches, made)
 
 
 def _verify_batches(batches):
@@ -251,6 +357,11 @@ def _verify_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
 
 
+def _words_for(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t, words) of the texts that wanted has, so that joins of pairs deal out no other words."""
+    return materialize(sketches.select("t", "words").join(wanted.select("t").distinct(), "t", "left_semi"), "near-words")
+
+
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct texts -> those whose aligned words are similar enough, with similarity."""
     left = words.select(F.col("t").alias("a"), F.col("words").alias("aw"))
@@ -295,24 +406,23 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     Buckets are texts that share a key and whose lengths are in one cell of either of two grids; cells are so wide, and the grids
     so shifted, that lengths as near as the similarity demands are in one cell of one of them.  First all texts are verified
     against the shortest of a bucket and joined into components, which takes a large group of near copies in rows, not
-    pairs.  Then the texts of buckets with several components meet once more, under each of their rarest word pairs: of two
-    similar ones some are common, and mostly no other text has these.  All texts of a word pair are verified against the shortest
-    and the longest of them, so the work is in proportion to the words, however many texts share a frequent passage.
+    pairs.  Then no link is left out: every text is dealt out under its rarest() grams, of which similar texts share some, and all texts of
+    different components that share as many as similar ones must are verified against each other.  That is exact; its pairs can grow with
+    the square of a group whose texts share rare passages and are no links.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = hash128(text)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     sketched = rows.select("k1", "k2", F.transform(words_of(F.lower("text")), lambda w: F.xxhash64(w)).alias("tokens")).where(F.size("tokens") > 0)
     # One row a text from here on, under a number that the written table fixes.
-    sketches = materialize(sketched.mapInArrow(_sketch_batches, "k1 long, k2 long, n int, keys array<long>").dropDuplicates(["k1", "k2"])
+    sketches = materialize(sketched.mapInArrow(_sketch_batches, "k1 long, k2 long, n int, keys array<long>, words array<int>").dropDuplicates(["k1", "k2"])
                            .select(F.monotonically_increasing_id().alias("t"), "*"), "near-sketches")
+    free_shuffles(spark)
     keyed = sketches.select("t", "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(_unplanned("key").alias("j"))
     members = materialize(keyed.withColumn("j", _unplanned("key")).join(shared, "j", "left_semi").select("key", "t", "n"), "near-members")
-    wanted = members.select("t").distinct().join(sketches.select("t", "k1", "k2"), "t")
-    words = (rows.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
-             .select("t", F.transform(words_of(F.lower("text")), lambda w: F.hash(w)).alias("words")))
-    words = materialize(words, "near-words")
+    words = _words_for(sketches, members)
 
     cell = F.log("n") / (2 * np.log(1 / SIMILARITY) * 1.001)
     groups = F.array(*[F.xxhash64("key", F.lit(grid), F.floor(cell + grid / 2)) for grid in (0, 1)])
@@ -328,37 +438,46 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     others = _with_parts(maps, stars.select("a", "b").join(best, ["a", "b"], "left_anti"), ("a", "ap"), ("b", "bp"))
     others = materialize(others.where("ap <> bp").select("a", "b"), "near-others")
     maps = _joined(maps, materialize(_verified(others, words), "near-found"))
+    for table in (members, words, stars):
+        discard(table)
+    free_shuffles(spark)
 
     counts = np.zeros(CLASSES, np.int64)
     # One row a class at most.
-    got = words.select("words").mapInArrow(_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    got = sketches.select("words").mapInArrow(_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     counts[got["c"].to_numpy()] = got["n"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    held = spark.sparkContext.broadcast(counts)
 
     def rare(batches):
         for batch in batches:
-            flat, lengths = _words_of_batch(batch, 1)
+            flat, lengths = _words_of_batch(batch, 4)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             for lo, hi in _chunks(lengths):
                 tokens, of = rarest(flat[ends[lo]:ends[hi]], lengths[lo:hi], held.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(np.bincount(of, minlength=hi - lo), pa.array(tokens.view(np.int64)))], ["t", "rare"])
-
-    rest = _with_parts(maps, members, ("t", "part"))
-    open_ = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(_unplanned("key").alias("j"))
-    rest = materialize(rest.withColumn("j", _unplanned("key")).join(open_, "j", "left_semi").select("t", "n", "part").distinct(), "near-rest")
-    spots = rest.join(words.mapInArrow(rare, "t long, rare array<long>"), "t").select(F.explode("rare").alias("spot"), "t", "n", "part")
-    spots = materialize(spots, "near-spots")
-    me = F.struct("n", "t", "part")
-    ends = spots.groupBy("spot").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.t <> high.t")
-    ends = ends.select(_unplanned("spot").alias("j"), F.explode(F.array("low", "high")).alias("end"))
-    met = spots.withColumn("j", _unplanned("spot")).join(ends, "j").where(F.col("part") != F.col("end.part"))
-    near = F.least("n", "end.n") >= F.greatest("n", "end.n") * SIMILARITY - 1e-9
-    cross = met.where(near).select(F.least("t", "end.t").alias("x"), F.greatest("t", "end.t").alias("y")).distinct()
-    tried = best.unionByName(others).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    cross = cross.join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    cross = materialize(cross, "near-pairs")
+                at = pa.array(of + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *[batch.column(c).take(at) for c in range(4)]], ["spot", "t", "n", "part", "size"])
+
+    parts = _with_parts(maps, sketches.select("t", "n"), ("t", "part"))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1").select(_unplanned("part").alias("j"), "size")
+    parts = parts.withColumn("j", _unplanned("part")).join(sizes, "j", "left").select("t", "n", "part", F.coalesce("size", F.lit(1)).alias("size"))
+    parts = materialize(parts, "near-parts")
+    spots = (parts.join(sketches.select("t", "words"), "t").select("t", "n", "part", "size", "words")
+             .mapInArrow(rare, "spot long, t long, n int, part long, size int"))
+    with sized_batches(spark, SPOT_BATCH, BATCH_BYTES):
+        spots = spots.repartition("spot").sortWithinPartitions("spot")
+        met = materialize(spots.mapInArrow(_met_batches, "met array<struct<t: long, n: int>>, own array<struct<t: long, n: int, at: int>>"), "near-met")
+    free_shuffles(spark)
+    # The texts of a smaller part ask for those of a larger one, under whatever spot, so a large part adds rows of its own number only.
+    x = F.col("own")
+    near = lambda y: F.least(y["n"], x["n"]) >= F.greatest(y["n"], x["n"]) * SIMILARITY - 1e-9
+    asked = met.select(F.explode("own").alias("own"), "met").select(
+        x["t"].alias("x"), x["n"].alias("n"), F.filter(F.slice("met", x["at"], F.size("met")), near)["t"].alias("ys")).where(F.size("ys") > 0)
+    cross = asked.repartition("x").sortWithinPartitions("x").mapInArrow(_tally_batches, "a long, b long")
+    tried = best.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    words = _words_for(sketches, cross.select(F.col("a").alias("t")).unionByName(cross.select(F.col("b").alias("t"))))
     maps = _joined(maps, materialize(_verified(cross, words), "near-cross"))
-    for table in (members, stars, best, others, rest, spots, cross):
+    for table in (best, others, parts, met, cross, words):
         discard(table)
     return sketches.select("t", "k1", "k2"), maps
 
