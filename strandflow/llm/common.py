@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
-import gc
 import shutil
 import tempfile
 import uuid
@@ -51,15 +50,29 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, values: dict[str, str]):
+    """Within it, the session has these settings."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage once, without the second computation that checkpoint() makes, and the table outlives
-    any executor.
+    any executor.  The shuffles that made it go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with configured(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -84,26 +97,6 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-@contextlib.contextmanager
-def sized_batches(spark: SparkSession, rows: int, size: int):
-    """Within it, Arrow functions that run get so many rows or bytes at once, whichever is less."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
-    before = [spark.conf.get(name) for name in names]
-    try:
-        for name, value in zip(names, (rows, size), strict=True):
-            spark.conf.set(name, str(value))
-        yield
-    finally:
-        for name, value in zip(names, before, strict=True):
-            spark.conf.set(name, value)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles deleted that no table needs any longer, which else waits until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes; together a key on which collisions need not be considered."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]

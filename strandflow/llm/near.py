@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import connected_components, discard, free_shuffles, hash128, materialize, sized_batches, small_batches, words_of
+from strandflow.llm.common import connected_components, discard, hash128, materialize, small_batches, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,8 +32,10 @@ SHORT = 9
 PER_TOKEN = 16
 #: Bits of a token and of the class by which tokens are ordered; what is left of 64 numbers the texts that are sorted at once.
 TOKEN_BITS, RANK_BITS = 40, 12
-#: Rows of words or keys that one Arrow batch holds; those of tokens, and bytes of either.
-BATCH, SPOT_BATCH, BATCH_BYTES = 1000, 50_000, 8 << 20
+#: Tokens that are held and sorted at once: by a task that deals them out, and of a range of them where they meet.
+DEALT, MEET = 2_000_000, 500_000
+#: Rows of words or keys that one Arrow batch holds.
+BATCH = 1000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -288,7 +290,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _by_key(batches, made):
-    """made(columns) for the rows of batches, sorted by their first column, so cut that no value of it is in two calls."""
+    """made(table) for the rows of batches, sorted by their first column, so cut that no value of it is in two calls."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -302,19 +304,45 @@ def _by_key(batches, made):
         yield from made(held.combine_chunks())
 
 
+def _dealt(spot: np.ndarray, t: np.ndarray, n: np.ndarray, part: np.ndarray, size: np.ndarray, bits: int):
+    """Tokens and their texts, by text -> a row for each range of tokens: its number, and lists of what is left to say, in few bytes."""
+    at = spot >> (TOKEN_BITS - bits)
+    by = np.argsort(at, kind="stable")
+    starts = _runs(at[by])
+    sizes = np.diff(np.append(starts, len(at)))
+    step = np.diff(t[by], prepend=0)
+    step[starts] = t[by][starts]
+    rest = (spot[by] & ((1 << (TOKEN_BITS - bits)) - 1)).astype(np.uint32).view(np.int32)
+    lists = [_lists(sizes, pa.array(c)) for c in (rest, step, n[by], (part - t)[by], size[by])]
+    return pa.RecordBatch.from_arrays([pa.array(at[by][starts]), *lists], ["range", "spot", "step", "n", "part", "size"])
+
+
 def _met_batches(batches):
-    """Rows (spot, t, n, part, size), sorted by spot -> of every spot that several parts have, its texts in the order of their parts, the largest
-    last, and those that others stand behind, with the place where these begin.
+    """Rows of _dealt(), sorted by range -> of every spot that several parts have, its texts in the order of their parts, the largest last, and
+    those that others stand behind, with the place where these begin.
     """
     def made(table):
-        spot, part = table.column(0).to_numpy(), table.column(3).to_numpy()
+        # One range at a time is sorted, however many the table has.
+        number = table.column(0).to_numpy()
+        starts = _runs(number)
+        for lo, hi in zip(starts, np.append(starts[1:], len(number)), strict=True):
+            lists = table.slice(lo, hi - lo).combine_chunks()
+            spot, step, n, part, size = (lists.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in range(1, 6))
+            sizes = np.diff(lists.column(1).combine_chunks().offsets.to_numpy())
+            t, first = np.cumsum(step), np.cumsum(sizes) - sizes
+            t -= np.repeat(t[first] - step[first], sizes)
+            by = np.argsort(spot, kind="stable")
+            yield from meet(spot[by], t[by], n[by], (part + t)[by], size[by])
+
+    def meet(spot, *columns):
+        part = columns[2]
         starts = _runs(spot)
         several = np.minimum.reduceat(part, starts) < np.maximum.reduceat(part, starts)
         if not several.any():
             return
         sizes = np.diff(np.append(starts, len(spot)))
         kept = np.repeat(several, sizes)
-        t, n, part, size = (table.column(c).to_numpy()[kept] for c in range(1, 5))
+        t, n, part, size = (c[kept] for c in columns)
         sizes = sizes[several]
         of, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
         by = np.lexsort((t, part, size, of))
@@ -418,7 +446,6 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # One row a text from here on, under a number that the written table fixes.
     sketches = materialize(sketched.mapInArrow(_sketch_batches, "k1 long, k2 long, n int, keys array<long>, words array<int>").dropDuplicates(["k1", "k2"])
                            .select(F.monotonically_increasing_id().alias("t"), "*"), "near-sketches")
-    free_shuffles(spark)
     keyed = sketches.select("t", "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(_unplanned("key").alias("j"))
     members = materialize(keyed.withColumn("j", _unplanned("key")).join(shared, "j", "left_semi").select("key", "t", "n"), "near-members")
@@ -440,7 +467,6 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     maps = _joined(maps, materialize(_verified(others, words), "near-found"))
     for table in (members, words, stars):
         discard(table)
-    free_shuffles(spark)
 
     counts = np.zeros(CLASSES, np.int64)
     # One row a class at most.
@@ -448,25 +474,35 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     counts[got["c"].to_numpy()] = got["n"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
 
+    # Of a token 32 bits are left behind its range at most.
+    bits = max(TOKEN_BITS - 32, (int(counts.sum()) // MEET).bit_length())
+
     def rare(batches):
+        kept, total = [], 0
         for batch in batches:
             flat, lengths = _words_of_batch(batch, 4)
             ends = np.concatenate([[0], np.cumsum(lengths)])
+            own = [batch.column(c).to_numpy() for c in range(4)]
             for lo, hi in _chunks(lengths):
                 tokens, of = rarest(flat[ends[lo]:ends[hi]], lengths[lo:hi], held.value)
-                at = pa.array(of + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *[batch.column(c).take(at) for c in range(4)]], ["spot", "t", "n", "part", "size"])
+                kept.append([tokens.view(np.int64), *[c[of + lo] for c in own]])
+                total += len(tokens)
+                if total >= DEALT:
+                    spot, *columns = (np.concatenate(c) for c in zip(*kept, strict=True))
+                    kept, total = [], 0
+                    yield _dealt(spot, *columns, bits)
+        if total:
+            spot, *columns = (np.concatenate(c) for c in zip(*kept, strict=True))
+            yield _dealt(spot, *columns, bits)
 
     parts = _with_parts(maps, sketches.select("t", "n"), ("t", "part"))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1").select(_unplanned("part").alias("j"), "size")
     parts = parts.withColumn("j", _unplanned("part")).join(sizes, "j", "left").select("t", "n", "part", F.coalesce("size", F.lit(1)).alias("size"))
     parts = materialize(parts, "near-parts")
     spots = (parts.join(sketches.select("t", "words"), "t").select("t", "n", "part", "size", "words")
-             .mapInArrow(rare, "spot long, t long, n int, part long, size int"))
-    with sized_batches(spark, SPOT_BATCH, BATCH_BYTES):
-        spots = spots.repartition("spot").sortWithinPartitions("spot")
-        met = materialize(spots.mapInArrow(_met_batches, "met array<struct<t: long, n: int>>, own array<struct<t: long, n: int, at: int>>"), "near-met")
-    free_shuffles(spark)
+             .mapInArrow(rare, "range long, spot array<int>, step array<long>, n array<int>, part array<long>, size array<int>"))
+    met = (spots.repartition("range").sortWithinPartitions("range")
+           .mapInArrow(_met_batches, "met array<struct<t: long, n: int>>, own array<struct<t: long, n: int, at: int>>"))
     # The texts of a smaller part ask for those of a larger one, under whatever spot, so a large part adds rows of its own number only.
     x = F.col("own")
     near = lambda y: F.least(y["n"], x["n"]) >= F.greatest(y["n"], x["n"]) * SIMILARITY - 1e-9
@@ -477,7 +513,7 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     words = _words_for(sketches, cross.select(F.col("a").alias("t")).unionByName(cross.select(F.col("b").alias("t"))))
     maps = _joined(maps, materialize(_verified(cross, words), "near-cross"))
-    for table in (best, others, parts, met, cross, words):
+    for table in (best, others, parts, cross, words):
         discard(table)
     return sketches.select("t", "k1", "k2"), maps
 
