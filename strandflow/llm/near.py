@@ -36,6 +36,8 @@ TOKEN_BITS, RANK_BITS = 40, 12
 DEALT, MEET = 2_000_000, 500_000
 #: Rows of words or keys that one Arrow batch holds.
 BATCH = 1000
+#: Pairs that carry the words of both their texts at once; more are verified in parts, one after the other.
+AT_ONCE = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -512,7 +514,10 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     tried = best.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     words = _words_for(sketches, cross.select(F.col("a").alias("t")).unionByName(cross.select(F.col("b").alias("t"))))
-    maps = _joined(maps, materialize(_verified(cross, words), "near-cross"))
+    # The same pairs, all of them: only the words that they carry through the joins are on disk for one part at a time.
+    steps = 1 + cross.count() // AT_ONCE
+    found = [materialize(_verified(cross.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == step), words), "near-cross") for step in range(steps)]
+    maps = _joined(maps, functools.reduce(DataFrame.unionByName, found))
     for table in (best, others, parts, cross, words):
         discard(table)
     return sketches.select("t", "k1", "k2"), maps
