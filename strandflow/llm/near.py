@@ -38,6 +38,11 @@ DEALT, MEET = 2_000_000, 500_000
 BATCH = 1000
 #: Pairs that carry the words of both their texts at once; more are verified in parts, one after the other.
 AT_ONCE = 200_000
+#: A text that is to be verified against more others than these is sieved first, so pairs that carry words are MANY a text, and those
+#: whose words agree.  For fewer, sending the text through the sieve costs as much as its pairs.
+MANY = 16
+#: Words of the texts that a block of the sieve holds.
+HELD = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -360,7 +365,7 @@ def _met_batches(batches):
 
 
 def _tally_batches(batches):
-    """Rows (x, n, ys), sorted by x -> the pairs (a, b) of an x and those of its ys that it has often enough."""
+    """Rows (x, n, ys), sorted by x -> a row for each x, with those of its ys that it has often enough."""
     def made(table):
         x, n, ys = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
         sizes = np.diff(ys.offsets.to_numpy())
@@ -373,11 +378,82 @@ def _tally_batches(batches):
         shared = np.diff(np.append(first, len(y)))
         least = least_shared(np.ceil(SIMILARITY * n[starts] - 1e-9).astype(np.int64))
         enough = first[shared >= least[of[first]]]
-        a, b = x[starts][of[enough]], y[enough]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        sizes = np.bincount(of[enough], minlength=len(starts))
+        yield pa.RecordBatch.from_arrays([pa.array(x[starts][sizes > 0]), _lists(sizes[sizes > 0], pa.array(y[enough]))], ["x", "ys"])
     yield from _by_key(batches, made)
 
 
+def _named_batches(batches):
+    """Rows (x, ys) -> (t), the texts that a batch names on either side."""
+    for batch in batches:
+        named = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()]))
+        yield pa.RecordBatch.from_arrays([pa.array(named)], ["t"])
+
+
+def labelled_words(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words of documents laid end to end, each with its occurrence in its document: sets of them agree as bags of words do."""
+    word, doc = flat.astype(np.uint64), np.repeat(np.arange(len(lengths)), lengths)
+    by = np.lexsort((word, doc))
+    run, there = np.arange(len(by)), word[by]
+    new = np.concatenate([[True], (there[1:] != there[:-1]) | (doc[by][1:] != doc[by][:-1])])[:len(by)]
+    occurrence = np.empty(len(by), np.uint64)
+    occurrence[by] = run - np.maximum.accumulate(np.where(new, run, 0))
+    return _mix(_mix(word) + occurrence * np.uint64(0xD1B54A32D192ED03))
+
+
+def agreeing(lengths: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    """Which documents of these lengths can be similar to one of n words, if they share so many words with it.
+
+    The edit distance is the longer length less the shared words at least, as bag_distance() says.
+    """
+    longer = np.maximum(lengths, n)
+    return longer - shared <= np.floor((1 - SIMILARITY) * longer + 1e-9)
+
+
+def _sieve_batches(batches):
+    """Rows (block, x, words, ys), sorted by block, those without ys first -> the pairs (a, b) of an x and those of its ys whose words agree.
+
+    Rows without ys are the texts of the block, of which ys has only such.
+    """
+    at, pieces, held = None, [], None
+    for batch in batches:
+        block, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        flat, lengths = _words_of_batch(batch, 2)
+        ends, asked = np.concatenate([[0], np.cumsum(lengths)]), batch.column(3)
+        words, token, a, b = flat.view(np.uint32), None, [], []
+        for i, sized in enumerate(np.diff(asked.offsets.to_numpy())):
+            if block[i] != at:
+                at, pieces, held = block[i], [], None
+            if not sized:
+                pieces.append((x[i], words[ends[i]:ends[i + 1]].copy()))
+                continue
+            if held is None:
+                number = np.array([t for t, _ in pieces])
+                by = np.argsort(number)
+                pieces = [pieces[j] for j in by]
+                sizes = np.array([len(w) for _, w in pieces])
+                every, place = np.unique(labelled_words(np.concatenate([w for _, w in pieces]), sizes), return_inverse=True)
+                held, pieces = (number[by], sizes, np.cumsum(sizes) - sizes, every, place, np.zeros(len(every), np.int64)), []
+            if token is None:
+                token = labelled_words(words, lengths)
+            number, sizes, firsts, every, place, mark = held
+            own = token[ends[i]:ends[i + 1]]
+            hit = np.minimum(np.searchsorted(every, own), len(every) - 1)
+            hit = hit[every[hit] == own]
+            mark[hit] = 1
+            ys = asked[i].values.to_numpy()
+            y = np.searchsorted(number, ys)
+            starts = np.cumsum(sizes[y]) - sizes[y]
+            spots = np.repeat(firsts[y] - starts, sizes[y]) + np.arange(sizes[y].sum())
+            shared = np.add.reduceat(mark[place[spots]], starts)
+            mark[hit] = 0
+            near = ys[agreeing(sizes[y], shared, int(lengths[i]))]
+            a.append(np.minimum(near, x[i]))
+            b.append(np.maximum(near, x[i]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
 def _verify_batches(batches):
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
@@ -392,6 +468,35 @@ def _words_for(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(sketches.select("t", "words").join(wanted.select("t").distinct(), "t", "left_semi"), "near-words")
 
 
+def _sieved(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (x, ys) of distinct texts -> the pairs (a, b) of an x and those of its ys that share as many words as similar ones must.
+
+    Texts are dealt out in blocks by their number, once each; an x goes once to each block that has some of its ys.  No pair is left out
+    that is similar.
+    """
+    total = words.agg(F.sum(F.size("words"))).first()[0]
+    blocks = 1 + (total or 0) // HELD
+
+    def to_blocks(batches):
+        for batch in batches:
+            ys = batch.column(2)
+            y, of = ys.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(ys.offsets.to_numpy()))
+            by = np.lexsort((y, y % blocks, of))
+            y, of = y[by], of[by]
+            starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (y[1:] % blocks != y[:-1] % blocks)])[:len(y)])
+            for lo in range(0, len(starts), BATCH):
+                some = starts[lo:lo + BATCH]
+                stop = starts[lo + BATCH] if lo + BATCH < len(starts) else len(y)
+                row = pa.array(of[some])
+                yield pa.RecordBatch.from_arrays([pa.array(y[some] % blocks), batch.column(0).take(row), batch.column(1).take(row),
+                                                  _lists(np.diff(np.append(some, stop)), pa.array(y[some[0]:stop]))], ["block", "x", "words", "ys"])
+
+    held = words.select((F.col("t") % blocks).alias("block"), F.col("t").alias("x"), "words", F.expr("cast(array() as array<bigint>)").alias("ys"))
+    dealt = asked.join(words.withColumnRenamed("t", "x"), "x").select("x", "words", "ys").mapInArrow(to_blocks, "block long, x long, words array<int>, ys array<long>")
+    rows = held.unionByName(dealt).repartition("block").sortWithinPartitions("block", F.size("ys") > 0)
+    return rows.mapInArrow(_sieve_batches, "a long, b long")
+
+
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct texts -> those whose aligned words are similar enough, with similarity."""
     left = words.select(F.col("t").alias("a"), F.col("words").alias("aw"))
@@ -437,8 +542,9 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     so shifted, that lengths as near as the similarity demands are in one cell of one of them.  First all texts are verified
     against the shortest of a bucket and joined into components, which takes a large group of near copies in rows, not
     pairs.  Then no link is left out: every text is dealt out under its rarest() grams, of which similar texts share some, and all texts of
-    different components that share as many as similar ones must are verified against each other.  That is exact; its pairs can grow with
-    the square of a group whose texts share rare passages and are no links.
+    different components that share as many as similar ones must are verified against each other.  Texts with more than MANY such others are
+    _sieved() first, so that only pairs whose words agree carry texts.  That is exact; numbers of texts that meet, and pairs with nearly
+    the same words in another order or just under the threshold, can still grow with the square of a group.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -510,7 +616,13 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     near = lambda y: F.least(y["n"], x["n"]) >= F.greatest(y["n"], x["n"]) * SIMILARITY - 1e-9
     asked = met.select(F.explode("own").alias("own"), "met").select(
         x["t"].alias("x"), x["n"].alias("n"), F.filter(F.slice("met", x["at"], F.size("met")), near)["t"].alias("ys")).where(F.size("ys") > 0)
-    cross = asked.repartition("x").sortWithinPartitions("x").mapInArrow(_tally_batches, "a long, b long")
+    asked = materialize(asked.repartition("x").sortWithinPartitions("x").mapInArrow(_tally_batches, "x long, ys array<long>"), "near-asked")
+    few, many = asked.where(F.size("ys") <= MANY), asked.where(F.size("ys") > MANY)
+    cross = few.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if not many.isEmpty():
+        words = _words_for(sketches, many.mapInArrow(_named_batches, "t long"))
+        cross = cross.unionByName(materialize(_sieved(many, words), "near-sieved"))
+        discard(words)
     tried = best.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     words = _words_for(sketches, cross.select(F.col("a").alias("t")).unionByName(cross.select(F.col("b").alias("t"))))
@@ -518,7 +630,7 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     steps = 1 + cross.count() // AT_ONCE
     found = [materialize(_verified(cross.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == step), words), "near-cross") for step in range(steps)]
     maps = _joined(maps, functools.reduce(DataFrame.unionByName, found))
-    for table in (best, others, parts, cross, words):
+    for table in (best, others, parts, asked, cross, words):
         discard(table)
     return sketches.select("t", "k1", "k2"), maps
 
