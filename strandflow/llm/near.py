@@ -38,6 +38,8 @@ DEALT, MEET = 2_000_000, 500_000
 BATCH = 1000
 #: Pairs that carry the words of both their texts at once; more are verified in parts, one after the other.
 AT_ONCE = 200_000
+#: Numbers of texts that meet, dealt out at once to those that ask for them, if the texts have fewer grams; else as many as these.
+LISTED = 40_000_000
 #: A text that is to be verified against more others than these is sieved first, so pairs that carry words are MANY a text, and those
 #: whose words agree.  For fewer, sending the text through the sieve costs as much as its pairs.
 MANY = 16
@@ -325,8 +327,8 @@ def _dealt(spot: np.ndarray, t: np.ndarray, n: np.ndarray, part: np.ndarray, siz
 
 
 def _met_batches(batches):
-    """Rows of _dealt(), sorted by range -> of every spot that several parts have, its texts in the order of their parts, the largest last, and
-    those that others stand behind, with the place where these begin.
+    """Rows of _dealt(), sorted by range -> of every spot that several parts have, its texts in the order of their parts, the largest last, those
+    that others stand behind, with the place where these begin, and how many stand behind them together.
     """
     def made(table):
         # One range at a time is sorted, however many the table has.
@@ -360,7 +362,8 @@ def _met_batches(batches):
         asks = np.flatnonzero(stop < ends[of])
         met = pa.StructArray.from_arrays([pa.array(t), pa.array(n, pa.int32())], ["t", "n"])
         own = pa.StructArray.from_arrays([pa.array(t[asks]), pa.array(n[asks], pa.int32()), pa.array((stop - (ends - sizes)[of])[asks] + 1, pa.int32())], ["t", "n", "at"])
-        yield pa.RecordBatch.from_arrays([_lists(sizes, met), _lists(np.bincount(of[asks], minlength=len(sizes)), own)], ["met", "own"])
+        behind = np.bincount(of[asks], (ends[of] - stop)[asks], len(sizes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([_lists(sizes, met), _lists(np.bincount(of[asks], minlength=len(sizes)), own), pa.array(behind)], ["met", "own", "behind"])
     yield from _by_key(batches, made)
 
 
@@ -463,6 +466,25 @@ def _verify_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
 
 
+def _asked(met: DataFrame, grams: int) -> list[DataFrame]:
+    """Rows of _met_batches() -> tables of rows (x, ys), a row for each text that asks, with those of the texts it meets that it meets often enough.
+
+    The texts of a smaller part ask for those of a larger one, under whatever spot, so a large part adds rows of its own number only.  A large
+    group under many spots has its square of numbers under each, so they are dealt out for some of the asking texts at a time: no more
+    at once than the texts have grams or LISTED, about, and all of them one after the other.
+    """
+    steps = 1 + (met.agg(F.sum("behind")).first()[0] or 0) // max(LISTED, grams)
+    x = F.col("own")
+    near = lambda y: F.least(y["n"], x["n"]) >= F.greatest(y["n"], x["n"]) * SIMILARITY - 1e-9
+    tables = []
+    for step in range(steps):
+        mine = F.filter("own", lambda o: F.pmod(F.xxhash64(o["t"]), F.lit(steps)) == step) if steps > 1 else F.col("own")  # noqa: B023
+        rows = met.select(F.explode(mine).alias("own"), "met").select(
+            x["t"].alias("x"), x["n"].alias("n"), F.filter(F.slice("met", x["at"], F.size("met")), near)["t"].alias("ys")).where(F.size("ys") > 0)
+        tables.append(materialize(rows.repartition("x").sortWithinPartitions("x").mapInArrow(_tally_batches, "x long, ys array<long>"), "near-asked"))
+    return tables
+
+
 def _words_for(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
     """(t, words) of the texts that wanted has, so that joins of pairs deal out no other words."""
     return materialize(sketches.select("t", "words").join(wanted.select("t").distinct(), "t", "left_semi"), "near-words")
@@ -577,8 +599,10 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         discard(table)
 
     counts = np.zeros(CLASSES, np.int64)
-    # One row a class at most.
-    got = sketches.select("words").mapInArrow(_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    # One row a class at most; as a table, so that the shuffle, which has a row a class and task, goes.
+    classes = materialize(sketches.select("words").mapInArrow(_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")), "near-counts")
+    got = classes.toArrow()
+    discard(classes)
     counts[got["c"].to_numpy()] = got["n"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
 
@@ -609,15 +633,13 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     parts = materialize(parts, "near-parts")
     spots = (parts.join(sketches.select("t", "words"), "t").select("t", "n", "part", "size", "words")
              .mapInArrow(rare, "range long, spot array<int>, step array<long>, n array<int>, part array<long>, size array<int>"))
-    met = (spots.repartition("range").sortWithinPartitions("range")
-           .mapInArrow(_met_batches, "met array<struct<t: long, n: int>>, own array<struct<t: long, n: int, at: int>>"))
-    # The texts of a smaller part ask for those of a larger one, under whatever spot, so a large part adds rows of its own number only.
-    x = F.col("own")
-    near = lambda y: F.least(y["n"], x["n"]) >= F.greatest(y["n"], x["n"]) * SIMILARITY - 1e-9
-    asked = met.select(F.explode("own").alias("own"), "met").select(
-        x["t"].alias("x"), x["n"].alias("n"), F.filter(F.slice("met", x["at"], F.size("met")), near)["t"].alias("ys")).where(F.size("ys") > 0)
-    asked = materialize(asked.repartition("x").sortWithinPartitions("x").mapInArrow(_tally_batches, "x long, ys array<long>"), "near-asked")
-    few, many = asked.where(F.size("ys") <= MANY), asked.where(F.size("ys") > MANY)
+    # As a table, so that the words and tokens that made it go before the numbers of texts are dealt out.
+    met = materialize(spots.repartition("range").sortWithinPartitions("range")
+                      .mapInArrow(_met_batches, "met array<struct<t: long, n: int>>, own array<struct<t: long, n: int, at: int>>, behind long"), "near-met")
+    asked = _asked(met, int(counts.sum()))
+    discard(met)
+    meet = functools.reduce(DataFrame.unionByName, asked)
+    few, many = meet.where(F.size("ys") <= MANY), meet.where(F.size("ys") > MANY)
     cross = few.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if not many.isEmpty():
         words = _words_for(sketches, many.mapInArrow(_named_batches, "t long"))
@@ -630,7 +652,7 @@ def _near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     steps = 1 + cross.count() // AT_ONCE
     found = [materialize(_verified(cross.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == step), words), "near-cross") for step in range(steps)]
     maps = _joined(maps, functools.reduce(DataFrame.unionByName, found))
-    for table in (best, others, parts, asked, cross, words):
+    for table in (best, others, parts, *asked, cross, words):
         discard(table)
     return sketches.select("t", "k1", "k2"), maps
 
