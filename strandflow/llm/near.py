@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import connected_components, discard, hash128, materialize, small_batches, words_of
+from strandflow.llm.common import configured, connected_components, discard, hash128, materialize, small_batches, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,9 +33,9 @@ PER_TOKEN = 16
 #: Bits of a token and of the class by which tokens are ordered; what is left of 64 numbers the texts that are sorted at once.
 TOKEN_BITS, RANK_BITS = 40, 12
 #: Tokens that are held and sorted at once: by a task that deals them out, and of a range of them where they meet.
-DEALT, MEET = 2_000_000, 500_000
-#: Rows of words or keys that one Arrow batch holds.
-BATCH = 1000
+DEALT, MEET = 1_000_000, 500_000
+#: Rows of words or keys that one Arrow batch holds, and its bytes, about: rows of _dealt() are long.
+BATCH, BYTES = 1000, 8 << 20
 #: Pairs that carry the words of both their texts at once; more are verified in parts, one after the other.
 AT_ONCE = 200_000
 #: Numbers of texts that meet, dealt out at once to those that ask for them, if the texts have fewer grams; else as many as these.
@@ -551,7 +551,7 @@ def _unplanned(key: Column | str) -> Column:
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """The same as _near_links(), with Arrow batches that fit the length of texts."""
-    with small_batches(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession, BATCH), configured(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BYTES)}):
         return _near_links(docs)
 
 
