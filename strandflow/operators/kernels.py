@@ -296,9 +296,15 @@ def reverse_rows(rows: np.ndarray, lengths: np.ndarray, complement: bool) -> np.
 # ---- column expressions -----------------------------------------------------------------------------------------------
 
 
+def once(f):
+    """A function whose calls Spark doesn't repeat: it would write the call of a column into every filter and step that reads it."""
+    return f.asNondeterministic()
+
+
 def span_column(kind: str, seq, qual, **options) -> Column:
     """struct<left int, right int>, the kept span of reads by Mott's or the window's rule."""
 
+    @once
     @F.arrow_udf("left int, right int")
     def spans(seq: pa.Array, qual: pa.Array) -> pa.Array:
         s, n = matrix(seq)
@@ -313,6 +319,7 @@ def polyx_column(seq, bases: str, threshold: int) -> Column:
     """struct<base string, n int>: the longest tail of one of the bases; the first in the order A, C, G, T wins ties."""
     bases = "".join(b for b in "ACGT" if b in bases)
 
+    @once
     @F.arrow_udf("base string, n int")
     def tails(seq: pa.Array) -> pa.Array:
         s, n = matrix(seq)
@@ -349,10 +356,12 @@ def align_single_column(seq, adapters: list[str], shift: int, group=None, by_gro
     codes = [a.encode() for a in adapters]
     own = {k: [a.encode() for a in v] for k, v in (by_group or {}).items()}
 
+    @once
     @F.arrow_udf(ALIGNMENT)
     def align(seq: pa.Array) -> pa.Array:
         return _alignment(align_single(*matrix(seq), codes, shift))
 
+    @once
     @F.arrow_udf(ALIGNMENT)
     def align_groups(seq: pa.Array, group: pa.Array) -> pa.Array:
         s, n = matrix(seq)
@@ -365,10 +374,12 @@ def align_pair_column(seq1, rc2, pairs: list[tuple[str, str]], shift: int, group
     codes = [(a.encode(), b.encode()) for a, b in pairs]
     own = {k: [(a.encode(), b.encode()) for a, b in v] for k, v in (by_group or {}).items()}
 
+    @once
     @F.arrow_udf(ALIGNMENT)
     def align(seq1: pa.Array, rc2: pa.Array) -> pa.Array:
         return _alignment(align_pair(*matrix(seq1), *matrix(rc2), codes, shift))
 
+    @once
     @F.arrow_udf(ALIGNMENT)
     def align_groups(seq1: pa.Array, rc2: pa.Array, group: pa.Array) -> pa.Array:
         (s1, n1), (s2, n2) = matrix(seq1), matrix(rc2)
@@ -379,6 +390,7 @@ def align_pair_column(seq1, rc2, pairs: list[tuple[str, str]], shift: int, group
 
 
 def merge_column(seq1, qual1, rc2, rq2, offset, strategy: str, most: int) -> Column:
+    @once
     @F.arrow_udf("seq string, qual string, resolved int, unresolved int, ns_resolved int")
     def consensus(seq1: pa.Array, qual1: pa.Array, rc2: pa.Array, rq2: pa.Array, offset: pa.Array) -> pa.Array:
         (s1, n1), (q1, _), (s2, n2), (q2, _) = matrix(seq1), matrix(qual1), matrix(rc2), matrix(rq2)

@@ -23,18 +23,23 @@ BARCODES_PE = [Barcode("alpha", "ACGTAC", "GTACGT", "forward"), Barcode("alpha",
                Barcode("gamma", "GTACGT", "GTACGT"), Barcode("delta", "TTGACA", "ACGTAC")]
 
 
+#: Bytes of files that are one task, so that tasks grow in number and not in size.
+TASK_BYTES = 8 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few large files are dealt out again, so that one file isn't one task."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.repartition(max(spark.sparkContext.defaultParallelism, 8), "doc_id")
+    """Few large files are dealt out again, so that one file isn't one task, nor a share of all files that grows with them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.select("doc_id", "text").repartition(max(spark.sparkContext.defaultParallelism, 8, -(-size // TASK_BYTES)), "doc_id")
 
 
 def _pieces(docs: DataFrame, size: int) -> DataFrame:
-    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    got = docs.select("doc_id", letters.alias("letters")).where(F.length("letters") >= size)
-    n = F.floor(F.length("letters") / size).cast("int")
-    got = got.select("doc_id", "letters", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    return got.select("doc_id", F.col("piece").cast("long").alias("piece"), F.substr("letters", F.col("piece") * size + 1, F.lit(size)).alias("l"))
+    """Texts are cut in one pass, and only the pieces go on: with the text beside each of them, a row for every piece holds it whole, and
+    so does all that waits for a Python function, which grows with the square of a text's length."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", ""))
+    cut = F.posexplode(F.regexp_extract_all(letters, F.lit(f".{{{size}}}"), 0)).alias("piece", "l")
+    return docs.select("doc_id", cut).select("doc_id", F.col("piece").cast("long").alias("piece"), "l")
 
 
 def reads_se(spark: SparkSession, sf_dir: str) -> DataFrame:
