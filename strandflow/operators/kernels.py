@@ -35,6 +35,8 @@ def matrix(strings: pa.Array, fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = as_bytes(strings)
     lengths = np.diff(offsets)
     width = int(lengths.max(initial=0))
+    if len(flat) == width * len(lengths):
+        return flat.reshape(len(lengths), width), lengths
     out = np.full((len(lengths), width), fill, np.uint8)
     inside = np.arange(width) < lengths[:, None]
     out[inside] = flat
@@ -58,6 +60,8 @@ def struct(**columns) -> pa.StructArray:
 # ---- quality trimming -------------------------------------------------------------------------------------------------
 
 SCALE = 2.0**48
+#: Reads that are worked on at once, so that what is made of them stays in the processor's cache.
+BLOCK = 2048
 
 
 def mott_spans(seq: np.ndarray, qual: np.ndarray, lengths: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +70,20 @@ def mott_spans(seq: np.ndarray, qual: np.ndarray, lengths: np.ndarray, limit: fl
     With prefix sums S the right end is the first place where S exceeds its least value so far by most, the left end the
     first place of that least value.  Scores below 3 and Ns count as 3.  No positive segment keeps nothing: (0, 0).
     """
-    scores = np.where(seq == N, 0, np.maximum(qual.astype(np.int64) - QUALITY_OFFSET, 0))
-    errors = np.trunc(10.0 ** (np.maximum(np.arange(256), 3) / -10.0) * SCALE).astype(np.int64)
-    gain = np.int64(np.trunc(limit * SCALE)) - errors[scores]
+    errors = np.trunc(10.0 ** (np.maximum(np.arange(256) - QUALITY_OFFSET, 3) / -10.0) * SCALE).astype(np.int64)
+    gains = np.int64(np.trunc(limit * SCALE)) - errors
+    left, right = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for at in range(0, len(lengths), BLOCK // 4):
+        rows = slice(at, at + BLOCK // 4)
+        left[rows], right[rows] = _mott_block(seq[rows], qual[rows], lengths[rows], gains)
+    return left, right
+
+
+def _mott_block(seq: np.ndarray, qual: np.ndarray, lengths: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gain = gains[np.where(seq == N, 0, qual)]
     gain[np.arange(seq.shape[1]) >= lengths[:, None]] = 0
-    sums = np.concatenate([np.zeros((len(lengths), 1), np.int64), np.cumsum(gain, axis=1)], axis=1)
+    sums = np.zeros((len(lengths), seq.shape[1] + 1), np.int64)
+    np.cumsum(gain, axis=1, out=sums[:, 1:])
     least = np.minimum.accumulate(sums, axis=1)
     over = sums - least
     right = over.argmax(axis=1)
@@ -159,42 +172,140 @@ def allowed_mismatches(aligned: np.ndarray, rate: float) -> np.ndarray:
 
 
 class Best:
-    """The best alignment so far of every read: by score, then length, then fewer ambiguous columns; the first wins ties."""
+    """The best alignment so far of every read: by score, then length, then fewer ambiguous columns; the first wins ties.
+
+    What is compared is one number a read: score, length and the columns that aren't ambiguous as its digits, of which base - 1
+    stands for no alignment.  Scores below 0 and lengths of 0 never exceed it.
+    """
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, most: int = 0):
         self.score, self.length, self.ambiguous, self.mismatches, self.offset = (np.zeros(n, np.int64) for _ in range(5))
         self.adapter = np.full(n, -1, np.int64)
+        self._base = 1 << int(most + 1).bit_length()
+        self._type = np.int32 if self._base <= 1 << 9 else np.int64
+        self._key, self._which = np.full(n, self._base - 1, self._type), np.full(n, -1, np.int32)
+        self._tried: list[tuple[int, int]] = []
+
+    def offer(self, adapter: int, offset: int, length, aligned, mismatches, valid=None) -> None:
+        """length: columns, aligned: those without an unknown base; numbers or arrays."""
+        m, kind = self._base, self._type
+        key = np.multiply(aligned, m * m + 1, dtype=kind)
+        key -= np.multiply(mismatches, 2 * m * m, dtype=kind)
+        key += (np.asarray(length) * (m - 1) + (m - 1)).astype(kind)
+        if valid is not None:
+            key[~valid] = -1
+        better = key > self._key
+        np.copyto(self._which, len(self._tried), where=better)
+        np.maximum(self._key, key, out=self._key)
+        self._tried.append((adapter, offset))
+
+    def settle(self) -> Best:
+        found = np.flatnonzero(self._which >= 0)
+        if len(found):
+            m, key = self._base, self._key[found].astype(np.int64)
+            score, length, ambiguous = key // (m * m), key // m % m, m - 1 - key % m
+            tried = np.array(self._tried, np.int64)[self._which[found]]
+            for name, value in (("score", score), ("length", length), ("ambiguous", ambiguous), ("mismatches", (length - ambiguous - score) // 2),
+                                ("adapter", tried[:, 0]), ("offset", tried[:, 1])):
+                getattr(self, name)[found] = value
+        return self
+
+
+FIELDS = ("score", "length", "ambiguous", "mismatches", "offset", "adapter")
+
+
+def _blocks(n: int, align) -> Best:
+    """The alignments that align(rows) gives for blocks of rows, put together again."""
+    best = Best(n)
+    for at in range(0, n, BLOCK):
+        rows = slice(at, at + BLOCK)
+        got = align(rows)
+        for name in FIELDS:
+            getattr(best, name)[rows] = getattr(got, name)
+    return best
+
+
+class Planes:
+    """Bases as bits, 64 columns a word: planes of the base's number, and last one of the columns that hold a known base.
+
+    Two rows are compared in all columns with an exclusive or and two ands, and counted by the bits that are left.
+    """
+
+    def __init__(self, *texts: np.ndarray):
+        self.table = self._of(b"ACGT")
+        if any((self.table[t] == 255).any() for t in texts):
+            self.table = self._of(bytes(set().union(*(np.unique(t).tolist() for t in texts)) - {0, N}))
+
+    def _of(self, letters: bytes) -> np.ndarray:
+        self.bits = max(1, (len(letters) - 1).bit_length())
+        table = np.full(256, 255, np.uint16)
+        table[[0, N]] = 0
+        for i, c in enumerate(letters):
+            table[c] = i | 1 << self.bits
+        return table
+
+    def rows(self, text: np.ndarray) -> np.ndarray:
+        """(planes, words and one that is empty, rows)"""
+        n, width = text.shape
+        words = -(-width // 64)
+        numbers = self.table[text]
+        out = np.zeros((self.bits + 1, words + 1, n), np.uint64)
+        for i in range(self.bits + 1):
+            packed = np.zeros((n, words * 8), np.uint8)
+            packed[:, :-(-width // 8)] = np.packbits(numbers & (1 << i) != 0, axis=1, bitorder="little")
+            out[i, :words] = packed.view("<u8").T
+        return out
+
+    def one(self, text: bytes) -> list[int]:
+        """The planes of one text as numbers of any size."""
+        numbers = self.table[np.frombuffer(text, np.uint8)]
+        return [sum(1 << at for at, v in enumerate(numbers.tolist()) if v >> i & 1) for i in range(self.bits + 1)]
+
 
-    def offer(self, adapter: int, offset, length, ambiguous, mismatches, valid) -> None:
-        score = length - ambiguous - 2 * mismatches
-        better = valid & (length > 0) & (score >= 0) & (
-            (score > self.score) | (score == self.score) & ((length > self.length) | (length == self.length) & (ambiguous < self.ambiguous)))
-        for name, value in (("score", score), ("length", length), ("ambiguous", ambiguous), ("mismatches", mismatches), ("offset", offset), ("adapter", adapter)):
-            getattr(self, name)[better] = value[better] if isinstance(value, np.ndarray) else value
+def _total(bits: np.ndarray) -> np.ndarray:
+    """Bits that are set in all words of every row; of more than three words the sum may exceed a byte."""
+    counts = np.bitwise_count(bits)
+    return counts[0] if len(counts) == 1 else counts.sum(axis=0, dtype=np.uint8 if len(counts) <= 3 else np.int32)
+
+
+def _same(values: np.ndarray):
+    """The one value of an array that holds no other, else the array."""
+    return int(values[0]) if len(values) and (values == values[0]).all() else values
 
 
 def align_single(seq: np.ndarray, lengths: np.ndarray, adapters: list[bytes], shift: int) -> Best:
     """Adapters against reads without gaps, from -shift to the last base."""
-    n, width = seq.shape
-    best, columns = Best(n), np.arange(width)
-    seen: set[bytes] = set()
-    for k, adapter in enumerate(adapters):
-        if not adapter or adapter in seen:
-            continue
-        seen.add(adapter)
-        codes = np.frombuffer(adapter, np.uint8)
-        for offset in range(-min(shift, len(codes) - 1), width):
+    adapters = [(k, a) for k, a in enumerate(adapters) if a and a not in adapters[:k]]
+    if not adapters:
+        return Best(len(lengths))
+    planes = Planes(seq, *(np.frombuffer(a, np.uint8) for _, a in adapters))
+    coded = [(k, len(a), planes.one(a)) for k, a in adapters]
+    return _blocks(len(lengths), lambda rows: _single_block(planes, seq[rows], lengths[rows], coded, shift))
+
+
+def _single_block(planes: Planes, seq: np.ndarray, lengths: np.ndarray, adapters: list[tuple[int, int, list[int]]], shift: int) -> Best:
+    width = seq.shape[1]
+    *codes, known = planes.rows(seq)
+    best, lengths = Best(len(seq), width), _same(lengths)
+    word = (1 << 64) - 1
+    for k, size, own in adapters:
+        for offset in range(-min(shift, size - 1), width):
             lo, skip = max(offset, 0), max(-offset, 0)
-            wide = min(width - lo, len(codes) - skip)
-            if wide <= 0:
+            if min(width - lo, size - skip) <= 0:
                 continue
-            part, own = seq[:, lo:lo + wide], codes[skip:skip + wide]
-            inside = columns[lo:lo + wide] < lengths[:, None]
-            unknown = inside & ((part == N) | (own == N))
-            wrong = inside & ~unknown & (part != own)
-            length = np.clip(lengths - lo, 0, len(codes) - skip)
-            best.offer(k, offset, length, unknown.sum(axis=1), wrong.sum(axis=1), offset < lengths)
-    return best
+            # The adapter is moved, not the reads: its words are numbers.
+            there = [b >> skip << lo for b in own]
+            aligned, wrong = 0, 0
+            for w in range(lo // 64, -(-min(width, lo + size - skip) // 64)):
+                *mine, inside = (np.uint64(b >> 64 * w & word) for b in there)
+                both = known[w] & inside
+                differ = codes[0][w] ^ mine[0]
+                for c, m in zip(codes[1:], mine[1:]):
+                    differ |= c[w] ^ m
+                differ &= both
+                aligned, wrong = aligned + np.bitwise_count(both).astype(np.int32), wrong + np.bitwise_count(differ).astype(np.int32)
+            best.offer(k, offset, np.clip(lengths - lo, 0, size - skip), aligned, wrong)
+    return best.settle()
 
 
 def align_pair(seq1: np.ndarray, n1: np.ndarray, rc2: np.ndarray, n2: np.ndarray, pairs: list[tuple[bytes, bytes]], shift: int) -> Best:
@@ -203,39 +314,57 @@ def align_pair(seq1: np.ndarray, n1: np.ndarray, rc2: np.ndarray, n2: np.ndarray
     Offsets of -length(r2) and more are of rc(r2) against r1.  Offsets beyond the start of r1 are tried with the first
     pair only, as adapters have no part in them.  Without adapters the reads must overlap end to end.
     """
+    planes = Planes(seq1, rc2, *(np.frombuffer(a, np.uint8) for pair in pairs for a in pair))
+    return _blocks(len(n1), lambda rows: _pair_block(planes, seq1[rows], n1[rows], rc2[rows], n2[rows], pairs, shift))
+
+
+def _pair_block(planes: Planes, seq1: np.ndarray, n1: np.ndarray, rc2: np.ndarray, n2: np.ndarray, pairs: list[tuple[bytes, bytes]], shift: int) -> Best:
     n = len(n1)
-    best = Best(n)
-    none = not pairs
+    most = max((len(a) for pair in pairs for a in pair), default=0) + max(seq1.shape[1], rc2.shape[1])
+    best = Best(n, most)
     for k, (a1, a2) in enumerate(pairs or [(b"", b"")]):
         left, right = np.frombuffer(a2, np.uint8), np.frombuffer(a1, np.uint8)
         s1 = np.concatenate([np.broadcast_to(left, (n, len(left))), seq1], axis=1)
-        m1 = n1 + len(left)
         # rc(r2) + a1 has a1 right behind each read's own end.
         s2 = np.zeros((n, rc2.shape[1] + len(right)), np.uint8)
         s2[:, :rc2.shape[1]] = rc2
         at = n2[:, None] + np.arange(len(right))
         np.put_along_axis(s2, at, np.broadcast_to(right, (n, len(right))), axis=1)
-        m2 = n2 + len(right)
-        if none:
-            low = n1 - np.minimum(n1, n2)
-        else:
-            low = np.maximum(len(left) - n2 - shift, 1 - m2)
+        m1, m2 = n1 + len(left), n2 + len(right)
+        low = np.maximum(len(left) - n2 - shift, 1 - m2) if pairs else n1 - np.minimum(n1, n2)
         high = (m1 if k == 0 else np.minimum(m1, len(left))) - 1
-        if not n:
-            continue
         width1, width2 = s1.shape[1], s2.shape[1]
-        for offset in range(int(low.min()), int(high.max()) + 1):
+        x, y = planes.rows(s1), planes.rows(s2)
+        moved, rest = (np.empty((len(x), max(x.shape[1], y.shape[1]), n), np.uint64) for _ in range(2))
+        first, last, sure = int(low.min()), int(high.max()), (int(low.max()), int(high.min()))
+        m1, m2 = _same(m1), _same(m2)
+        for offset in range(first, last + 1):
             lo, skip = max(offset, 0), max(-offset, 0)
             wide = min(width1 - lo, width2 - skip)
             if wide <= 0:
                 continue
-            length = np.maximum(np.minimum(m1 - lo, m2 - skip), 0)
-            inside = np.arange(wide) < length[:, None]
-            x, y = s1[:, lo:lo + wide], s2[:, skip:skip + wide]
-            unknown = inside & ((x == N) | (y == N))
-            wrong = inside & ~unknown & (x != y)
-            best.offer(k, offset - len(left), length, unknown.sum(axis=1), wrong.sum(axis=1), (offset >= low) & (offset <= high))
-    return best
+            words = -(-wide // 64)
+            p, q = _moved(x, lo, words, moved, rest), _moved(y, skip, words, moved, rest)
+            both = p[-1] & q[-1]
+            differ = p[0] ^ q[0]
+            for i in range(1, len(p) - 1):
+                differ |= p[i] ^ q[i]
+            differ &= both
+            valid = None if sure[0] <= offset <= sure[1] else (offset >= low) & (offset <= high)
+            best.offer(k, offset - len(left), np.maximum(np.minimum(m1 - lo, m2 - skip), 0), _total(both), _total(differ), valid)
+    return best.settle()
+
+
+def _moved(planes: np.ndarray, by: int, words: int, out: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """So many words of the planes from column `by` on; only one of two that are compared is moved."""
+    word, bit = divmod(by, 64)
+    if not bit:
+        return planes[:, word:word + words]
+    # Words end with one that is empty, so there is a next one.
+    out, rest = out[:, :words], rest[:, :words]
+    np.right_shift(planes[:, word:word + words], np.uint64(bit), out=out)
+    np.left_shift(planes[:, word + 1:word + 1 + words], np.uint64(64 - bit), out=rest)
+    return np.bitwise_or(out, rest, out=out)
 
 
 # ---- merging ----------------------------------------------------------------------------------------------------------
@@ -246,39 +375,52 @@ def merge(seq1, qual1, n1, rc2, rq2, n2, offset, additive: bool, most: int) -> d
 
     Returns rows of bases and qualities, lengths, and the counts of resolved and unresolved mismatches and of resolved Ns.
     """
-    n = len(n1)
-    start = np.maximum(offset, 0)
-    overlap = n1 - start
-    total = n1 + np.maximum(n2 - overlap, 0)
-    width = int(total.max(initial=0))
-    columns = np.arange(width)
-    i1 = np.minimum(columns, max(seq1.shape[1] - 1, 0)) + np.zeros((n, 1), np.int64)
-    i2 = columns - start[:, None]
-    in1, in2 = columns < n1[:, None], (i2 >= 0) & (i2 < n2[:, None])
-    i2 = np.clip(i2, 0, max(rc2.shape[1] - 1, 0))
+    total = n1 + np.maximum(n2 - (n1 - np.maximum(offset, 0)), 0)
+    n, width = len(n1), int(total.max(initial=0))
+    out = {"seq": np.zeros((n, width), np.uint8), "qual": np.zeros((n, width), np.uint8), "length": total, **{c: np.zeros(n, np.int64) for c in ("resolved", "unresolved", "ns")}}
+    for at in range(0, n, BLOCK // 4):
+        rows = slice(at, at + BLOCK // 4)
+        got = _merge_block(seq1[rows], qual1[rows], n1[rows], rc2[rows], rq2[rows], n2[rows], np.maximum(offset[rows], 0), total[rows], additive, most)
+        for name in ("seq", "qual"):
+            out[name][rows, :got[name].shape[1]] = got[name]
+        for name in ("resolved", "unresolved", "ns"):
+            out[name][rows] = got[name]
+    return out
 
-    def take(rows, at):
-        return np.take_along_axis(rows, at.astype(np.int64), axis=1) if rows.shape[1] else np.zeros(at.shape, np.uint8)
 
-    b1, q1 = take(seq1, i1), take(qual1, i1).astype(np.int64) - QUALITY_OFFSET
-    b2, q2 = take(rc2, i2), take(rq2, i2).astype(np.int64) - QUALITY_OFFSET
+def _merge_block(seq1, qual1, n1, rc2, rq2, n2, start, total, additive: bool, most: int) -> dict:
+    width = int(total.max(initial=0))
+    columns = np.arange(width, dtype=np.int32)
+    held = min(width, seq1.shape[1])
+    b1, q1 = np.zeros((len(n1), width), np.uint8), np.zeros((len(n1), width), np.int16)
+    b1[:, :held], q1[:, :held] = seq1[:, :held], qual1[:, :held]
+    i2 = columns - start[:, None].astype(np.int32)
+    in1, in2 = columns < n1[:, None], (i2 >= 0) & (i2 < n2[:, None])
+    if rc2.shape[1]:
+        np.clip(i2, 0, rc2.shape[1] - 1, out=i2)
+        i2 += (np.arange(len(n1), dtype=np.int32) * rc2.shape[1])[:, None]
+        b2, q2 = rc2.ravel().take(i2), rq2.ravel().take(i2).astype(np.int16)
+    else:
+        b2, q2 = np.zeros_like(b1), np.zeros_like(q1)
+    q1 -= QUALITY_OFFSET
+    q2 -= QUALITY_OFFSET
     both = in1 & in2
     un1, un2 = b1 == N, b2 == N
     base, score = np.where(in1, b1, b2), np.where(in1, q1, q2)
-    same = both & ~un1 & ~un2 & (b1 == b2)
-    score = np.where(same, np.minimum(most, q1 + q2) if additive else np.maximum(q1, q2), score)
-    differ = both & ~un1 & ~un2 & (b1 != b2)
-    base = np.where(differ & (q2 > q1), b2, base)
-    score = np.where(differ, np.abs(q1 - q2), score)
+    called = both & ~un1 & ~un2
+    differ = called & (b1 != b2)
+    np.copyto(score, np.minimum(most, q1 + q2) if additive else np.maximum(q1, q2), where=called & ~differ, casting="unsafe")
+    np.copyto(base, b2, where=differ & (q2 > q1))
+    np.copyto(score, np.abs(q1 - q2), where=differ)
     tie = differ & (q1 == q2)
-    base = np.where(tie, N, base)
+    np.copyto(base, N, where=tie)
     one = both & (un1 ^ un2)
-    base, score = np.where(one & un1, b2, base), np.where(one & un1, q2, score)
-    none = both & un1 & un2
-    score = np.where(none | tie, 0, score)
-    inside = columns < total[:, None]
-    return {"seq": base.astype(np.uint8), "qual": (score + QUALITY_OFFSET).astype(np.uint8), "length": total,
-            "resolved": (differ & ~tie & inside).sum(axis=1), "unresolved": (tie & inside).sum(axis=1), "ns": (one & inside).sum(axis=1)}
+    np.copyto(base, b2, where=one & un1)
+    np.copyto(score, q2, where=one & un1)
+    np.copyto(score, 0, where=tie | both & un1 & un2)
+    # Columns beyond a merged read are in neither mate, so there is nothing to count there.
+    count = lambda x: np.count_nonzero(x, axis=1)
+    return {"seq": base, "qual": (score + QUALITY_OFFSET).astype(np.uint8), "resolved": count(differ & ~tie), "unresolved": count(tie), "ns": count(one)}
 
 
 COMPLEMENT = np.arange(256, dtype=np.uint8)
@@ -346,8 +488,9 @@ def _by_group(groups: np.ndarray, align) -> Best:
     best = Best(len(groups))
     for group in np.unique(groups):
         rows = np.flatnonzero(groups == group)
-        for name, value in vars(align(int(group), rows)).items():
-            getattr(best, name)[rows] = value
+        got = align(int(group), rows)
+        for name in FIELDS:
+            getattr(best, name)[rows] = getattr(got, name)
     return best
 
 
