@@ -30,19 +30,10 @@ def fixed(df: DataFrame, n5: int | Column = 0, n3: int | Column = 0, seq: str =
 
 
 def per_base(df: DataFrame, threshold: int = 2, preserve5p: bool = False, seq: str = "seq", qual: str = "qual", prefix: str = "quality") -> DataFrame:
-    """Removes bases of a score up to the threshold and Ns from both ends.
-
-    Bases become a string of 0 and 1 with two translations: what is left after cutting zeros off an end shows its length.
-    """
-    low = "".join(chr(c) for c in range(33, 34 + threshold))
-    high = "".join(chr(c) for c in range(34 + threshold, 127))
-    marks = F.translate(F.col(qual), low + high, "0" * len(low) + "1" * len(high))
-    pairs = F.zip_with(F.split(marks, ""), F.split(F.col(seq), ""), lambda m, b: F.when((m == "1") & (b != "N"), F.lit("1")).otherwise(F.lit("0")))
-    df = df.withColumn("_good", F.array_join(pairs, ""))
-    right = F.length(F.rtrim(F.translate("_good", "0", " ")))
-    left = F.length("_good") - F.length(F.ltrim(F.translate("_good", "0", " ")))
-    left = F.lit(0) if preserve5p else F.when(right > 0, left).otherwise(F.lit(0))
-    return keep_span(df, left, right, seq, qual, prefix).drop("_good")
+    """Removes bases of a score up to the threshold and Ns from both ends."""
+    df = df.withColumn("_span", kernels.span_column("per-base", F.col(seq), F.col(qual), threshold=threshold))
+    left = F.lit(0) if preserve5p else F.col("_span.left")
+    return keep_span(df, left, F.col("_span.right"), seq, qual, prefix).drop("_span")
 
 
 def mott(df: DataFrame, rate: float = 0.05, preserve5p: bool = False, seq: str = "seq", qual: str = "qual", prefix: str = "quality") -> DataFrame:
