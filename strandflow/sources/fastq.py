@@ -47,18 +47,24 @@ def records(lines: DataFrame, file: str = "file_ord", line: str = "line_no") ->
     return parts.select("file_ord", "rec", header.alias("header"), seq.alias("seq"), qual.alias("qual"))
 
 
-def concatenated(reads: DataFrame, order: str = "rec") -> DataFrame:
-    """Files one after the other: read_idx counts all records in the order of file and record.
+def concatenated(reads: DataFrame, order: str = "rec", first: int | None = None) -> DataFrame:
+    """Files one after the other: read_idx counts all records in the order of file and record; the first so many of them, or all.
 
-    Records are counted by blocks of a file; only the number of each block's records meets in one window.
+    Records are counted by blocks of a file; only the number of each block's records meets in one window.  Of the first records no more
+    than the blocks that hold them are numbered.
     """
     blocks = reads.withColumn("_block", F.floor(F.col(order) / 1_000_000))
     sizes = blocks.groupBy("file_ord", "_block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy().orderBy("file_ord", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file_ord", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("file_ord", "_block").orderBy(order)
+    if first is not None:
+        starts = starts.where(F.col("_start") < first)
+        last = starts.agg(F.max(F.struct("file_ord", "_block")).alias("last")).first()["last"] or (-1, -1)
+        blocks = blocks.where((F.col("file_ord") < last[0]) | (F.col("file_ord") == last[0]) & (F.col("_block") <= last[1]))
     out = blocks.join(starts, ["file_ord", "_block"])
-    return out.withColumn("read_idx", F.col("_start") + F.row_number().over(inside) - 1).drop("_block", "_start")
+    out = out.withColumn("read_idx", F.col("_start") + F.row_number().over(inside) - 1).drop("_block", "_start")
+    return out if first is None else out.where(F.col("read_idx") < first)
 
 
 def pair_files(first: DataFrame, second: DataFrame) -> DataFrame:
