@@ -76,10 +76,11 @@ def truncate_paired(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "seq1": truncate("seq1", 0, F.col("_k1")), "qual1": truncate("qual1", 0, F.col("_k1")),
         "rc2": truncate("rc2", F.col("_n2") - F.col("_k2"), F.col("_k2")), "rq2": truncate("rq2", F.col("_n2") - F.col("_k2"), F.col("_k2")),
+        "seq2": truncate("seq2", 0, F.col("_k2")), "qual2": truncate("qual2", 0, F.col("_k2")),
         "adapter_bp": (F.col("_n1") - F.col("_k1") + F.col("_n2") - F.col("_k2")).cast("int"),
         "adapter_reads": (F.when(F.col("_k1") < F.col("_n1"), 1).otherwise(0) + F.when(F.col("_k2") < F.col("_n2"), 1).otherwise(0)),
     })
-    return df.withColumns({"seq2": reverse_complement("rc2"), "qual2": F.reverse("rq2")}).drop("_k1", "_k2", "_n1", "_n2")
+    return df.drop("_k1", "_k2", "_n1", "_n2")
 
 
 def fragments(df: DataFrame, most: int = 42) -> DataFrame:

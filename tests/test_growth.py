@@ -57,3 +57,9 @@ def test_duplication_without_a_bound(spark):
     wanted = {label(n): round(n * k / len(keys), 6) for n, k in levels.items()}
     got = {r["label"]: r["total_frac"] for r in stats.duplication(reads, most=None).collect()}
     assert got == wanted
+
+
+def test_mates_are_cut_without_turning_them_back(spark):
+    said = plan(catalogue.QUERIES["adapter_trim_pe"](spark, SF_DIR))
+    above = said[:said.index("ArrowEvalPython")]
+    assert "translate(" not in above and "reverse(" not in above
